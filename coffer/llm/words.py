@@ -46,7 +46,7 @@ def powers(base: int, n: int) -> np.ndarray:
         out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         out[0] = 1
         have = np.multiply.accumulate(out)
-        if len(have) <= 1 << 25:
+        if len(have) <= 1 << 22:
             _powers[base] = have
     return have[:n]
 
@@ -69,6 +69,24 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def slices(batch: pa.RecordBatch, column: int | str, size: int = 2_000_000):
+    """Parts of a batch with about size bytes of text, so that what is worked out for each byte
+    stays small however many rows a batch has; a longer text is a part of its own."""
+    texts = batch.column(column)
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    offsets = texts.buffers()[1] if len(texts) else None
+    if offsets is None:
+        if len(batch):
+            yield batch
+        return
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    start = 0
+    while start < len(batch):
+        end = max(int(np.searchsorted(at, at[start] + size, "right")) - 1, start + 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 class Words:
     """start, end: byte range of each word in data; at: n + 1 offsets of the texts' first words."""
 

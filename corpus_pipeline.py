@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coffer.llm import exact_dedup, jaccard_join, mixing
+from coffer.llm import bpe, exact_dedup, jaccard_join, langid, mixing
+from coffer.llm.queries import PATTERN, PIECES, RANKS
 from coffer.llm.workspace import keep, table
 
 
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any language, as those without a letter, go."""
+    return langid.drop_unknown(docs, PIECES)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
     return exact_dedup.drop_copies(docs)
@@ -23,7 +29,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("exact dedup", drop_copies), ("n-gram Jaccard join", drop_similar), ("mixing", mix)]
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's text in token ids, and what they decode to, as counts and digests."""
+    return bpe.token_digests(docs, RANKS, PATTERN)
+
+
+STAGES = [("language ID", identify), ("exact dedup", drop_copies), ("n-gram Jaccard join", drop_similar), ("mixing", mix), ("byte-level BPE", tokenize)]
 
 #: None: language ID, the similarity join's components and the tokens have no SQL.
 ORACLE_SQL = None
