@@ -152,7 +152,7 @@ def fit(words: dict[str, dict[str, int]], pieces: Pieces) -> tuple[list[str], np
             seen = _expected(own, counts, pieces, prob)[:-1] + 0.01
             prob = np.r_[seen / seen.sum(), UNKNOWN]
         columns.append(prob)
-    return languages, np.stack(columns, 1)
+    return languages, np.stack(columns, 1) if columns else np.zeros((pieces.n + 1, 0))
 
 
 def _word(raw: bytes) -> str:

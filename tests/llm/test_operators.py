@@ -1,0 +1,571 @@
+"""Each operator against brute force on small inputs, with nulls, empty and long texts, ties,
+repeated rows, empty tables and columns whose names clash with the operators' own."""
+
+import base64
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from coffer.llm import bpe, components, embed_dedup, exact_dedup, jaccard_join, langid, lm, mixing, pii, substring_dedup, warc, words
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, n long, size long, doc string, words string"
+
+
+def vocabulary(seed, n=60):
+    r = random.Random(seed)
+    return ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 7))) for _ in range(n)]
+
+
+def texts(seed=0, n=60):
+    r, v = random.Random(seed), vocabulary(seed)
+    out = [None, "", "   ", "one", "one two three", "!!! 123 ...", "Ünïcode wörds ñ 日本 語 　 x", "a\tb\nc\r\nd\x0be\x0cf", "the " * 300, "x" * 20000]
+    base = [" ".join(r.choice(v) for _ in range(r.randint(1, 200))) for _ in range(n)]
+    out += base
+    for t in base[:20]:
+        w = t.split()
+        for _ in range(max(1, len(w) // 40)):
+            w[r.randrange(len(w))] = r.choice(v)
+        out += [" ".join(w), t, t.upper()]
+    shared = " ".join(r.choice(v) for _ in range(70))
+    out += [f"{t} {shared} {u}" for t, u in zip(base[20:30], base[30:40])]
+    return out
+
+
+def documents(spark, seed=0, n=60):
+    rows = [(i * 3 + 1, t, [None, "en", "fr"][i % 3], [None, "s1", "s2", "s3", "s4"][i % 5], len(t or ""), 7, "k", 8, 9, "d", "w") for i, t in enumerate(texts(seed, n))]
+    random.Random(1).shuffle(rows)
+    return spark.createDataFrame(rows, SCHEMA).repartition(5), {r[0]: r[1] or "" for r in rows}, rows
+
+
+def collected(df, key="doc_id"):
+    rows = df.collect()
+    assert len({r[key] for r in rows}) == len(rows)
+    return {r[key]: r for r in rows}
+
+
+def test_words_match_the_pattern():
+    import re
+
+    for lower in (False, True):
+        col = pa.array(texts(3, 10))
+        w = words.Words(col)
+        for i, t in enumerate(col.to_pylist()):
+            raw = (t or "").encode()
+            want = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+            at, to = w.at[i], w.at[i + 1]
+            assert [w.data[s:e].tobytes() for s, e in zip(w.start[at:to], w.end[at:to])] == want
+    assert len(words.Words(pa.array([], pa.string()))) == 0
+    a = words.Words(pa.array(["Ab ab", "xx ab"])).hashes(True)
+    assert a[0] == a[1] == a[3] != a[2]
+    b = words.Words(pa.array(["Ab ab"])).hashes(False)
+    assert b[0] != b[1]
+
+
+def test_slices_cover_all_rows():
+    b = pa.RecordBatch.from_arrays([pa.array(texts(1))], names=["t"]).slice(3)
+    parts = list(words.slices(b, 0, 100))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == b.column(0).to_pylist() and len(parts) > 3
+
+
+# Exact dedup
+
+
+@pytest.mark.parametrize("fanout", [None, 2, 5])
+def test_exact_dedup(spark, fanout):
+    df, by_id, _ = documents(spark)
+    got = collected(exact_dedup.exact_dedup(df, fanout=fanout))
+    groups = {}
+    for i, t in by_id.items():
+        groups.setdefault(t, []).append(i)
+    for i, t in by_id.items():
+        r = got[i]
+        assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (max(groups[t]), len(groups[t]), i == max(groups[t]), hashlib.sha256(t.encode()).hexdigest())
+    kept = exact_dedup.drop_copies(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(max(g) for g in groups.values())
+
+
+def test_exact_dedup_hot_group_and_edges(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
+    got = collected(exact_dedup.exact_dedup(df))
+    assert sum(r.kept for r in got.values()) == 2001 and got[0].keep_id == 2997 and got[0].group_size == 1000
+    assert exact_dedup.exact_dedup(df.limit(0)).collect() == []
+    odd = spark.createDataFrame([(None, "a"), (1, "a"), (1, "a"), (None, None), (2, "")], "doc_id long, text string")
+    rows = sorted((r.doc_id is None, r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(odd).collect())
+    assert rows == sorted([(True, 0, 1, 3, False), (False, 1, 1, 3, True), (False, 1, 1, 3, True), (True, 0, 2, 2, False), (False, 2, 2, 2, True)])
+
+
+# Jaccard join
+
+
+def shingle_sets(by_id):
+    out = {}
+    for i, t in by_id.items():
+        w = t.encode().lower().split()
+        out[i] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+    return out
+
+
+def brute_components(sets, linked):
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for a in range(len(ids)):
+        for b in range(a):
+            if linked(sets[ids[a]], sets[ids[b]]):
+                x, y = find(ids[a]), find(ids[b])
+                up[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def similar(a, b):
+    return bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_jaccard_groups(spark, seed):
+    df, by_id, _ = documents(spark, seed)
+    got = collected(jaccard_join.jaccard_groups(df))
+    sets = shingle_sets(by_id)
+    want = brute_components(sets, similar)
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(sets[i]), want[i]) for i in sets}
+    assert len(set(want.values())) < len(want) - 20
+    kept = {r.doc_id for r in jaccard_join.drop_similar(df).collect()}
+    assert kept == set(want.values())
+
+
+def test_jaccard_without_round_one(spark, monkeypatch):
+    """Posting lists alone find every link, with long lists and small blocks as well."""
+    monkeypatch.setattr(jaccard_join, "SHORT", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    df, by_id, _ = documents(spark, 2, 30)
+    got = collected(jaccard_join.jaccard_groups(df))
+    sets = shingle_sets(by_id)
+    assert {i: r.component_id for i, r in got.items()} == brute_components(sets, similar)
+
+
+def test_trie_finds_what_brute_force_finds():
+    r = random.Random(5)
+    for trial in range(40):
+        base = r.sample(range(400), r.randint(4, 60))
+        sets = []
+        for _ in range(r.randint(2, 25)):
+            own = set(base) if r.random() < 0.8 else set(r.sample(range(400), len(base)))
+            for _ in range(r.randint(0, 8)):
+                own.discard(r.choice(base))
+                own.add(r.randrange(400))
+            sets.append(own)
+        arrays = [np.array(sorted(s), np.uint64) for s in sets]
+        links = jaccard_join.link_group(arrays, list(range(len(sets))))
+        forest = components.Forest()
+        for a, b in links:
+            assert similar(sets[a], sets[b])
+            forest.union(a, b)
+        want = brute_components(dict(enumerate(sets)), similar)
+        assert [forest.find(i) for i in range(len(sets))] == [want[i] for i in range(len(sets))]
+
+
+def test_prefix_bound():
+    for n in range(1, 200):
+        p = jaccard_join.prefix_length(n)
+        assert 1 <= p <= n and all(jaccard_join.needed(n, m) > n - p for m in range(n, n * 4 // 3 + 1))
+
+
+def test_jaccard_edges(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
+    rows = sorted(((r.doc_id or 0), r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(df).collect() if r.doc_id is not None)
+    assert rows == [(1, 2, 1), (1, 2, 1), (2, 0, 2)]
+    assert jaccard_join.jaccard_groups(df.limit(0)).collect() == []
+
+
+def test_components(spark):
+    r = random.Random(3)
+    for edges in ([], [(1, 2)], [(i, i + 1) for i in range(300)], [(0, i) for i in range(1, 400)], [(r.randrange(500), r.randrange(500)) for _ in range(350)]):
+        df = spark.createDataFrame(edges, "u long, v long").repartition(4)
+        forest = components.Forest()
+        for a, b in edges:
+            if a != b:
+                forest.union(a, b)
+        want = {x: forest.find(x) for x in list(forest.up)}
+        assert {x.node: x.component for x in components.components(df).collect()} == want
+
+
+# Substring dedup
+
+
+def brute_repeats(by_id):
+    w = {i: t.encode().split() for i, t in by_id.items()}
+    first = {}
+    for i in sorted(w):
+        for k in range(len(w[i]) - 49):
+            first.setdefault(tuple(w[i][k : k + 50]), i)
+    out = {}
+    for i, own in w.items():
+        gone = [False] * len(own)
+        for k in range(len(own) - 49):
+            if first[tuple(own[k : k + 50])] < i:
+                gone[k : k + 50] = [True] * 50
+        kept = b" ".join(x for x, g in zip(own, gone) if not g)
+        out[i] = (len(own), sum(gone), hashlib.sha256(kept).hexdigest(), kept.decode())
+    return out
+
+
+@pytest.mark.parametrize("seed,block", [(0, 4096), (1, 2)])
+def test_substring_dedup(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    df, by_id, _ = documents(spark, seed)
+    got = collected(substring_dedup.remove_repeats(df, with_text=True))
+    want = brute_repeats(by_id)
+    assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items()} == {i: x[:3] for i, x in want.items()}
+    assert all(r.kept_text == want[i][3] for i, r in got.items() if r.n_removed)
+    assert sum(x[1] for x in want.values()) > 500
+
+
+def test_anchors_depend_on_the_window_alone():
+    rng = np.random.default_rng(0)
+    for most in (1, 2, 3, 50, 5000):
+        core = words.mix(rng.integers(1, most + 1, 120).astype(np.uint64))
+        seen = []
+        for before, after in ((0, 0), (30, 40), (7, 0), (0, 90), (61, 3)):
+            around = [words.mix(rng.integers(1, 6000, k).astype(np.uint64)) for k in (before, after)]
+            seen.append(substring_dedup.anchors(np.concatenate([around[0], core, around[1]]), np.arange(before, before + 71)))
+        assert all((s == seen[0]).all() for s in seen)
+
+
+def test_substring_edges(spark):
+    t = " ".join(str(i) for i in range(80))
+    df = spark.createDataFrame([(None, t), (1, t), (1, t), (2, None), (3, "")], "doc_id long, text string")
+    rows = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df).collect())
+    assert rows == [(False, 1, 80, 0), (False, 1, 80, 0), (False, 2, 0, 0), (False, 3, 0, 0), (True, 0, 80, 80)]
+    assert substring_dedup.remove_repeats(df.limit(0)).collect() == []
+
+
+# Byte-level BPE
+
+
+def tokenizer():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_the_library(spark):
+    df, by_id, _ = documents(spark)
+    ref = tokenizer()
+    got = collected(bpe.token_digests(df, RANKS, public_tokenizers.PATTERN))
+    for i, t in by_id.items():
+        ids = ref.encode_ordinary(t)
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    encoded = bpe.encode(df, RANKS, public_tokenizers.PATTERN)
+    assert {r.doc_id: bytes(r.raw).decode() for r in bpe.decode(encoded, RANKS, public_tokenizers.PATTERN).collect()} == by_id
+    assert bpe.token_digests(df.limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
+
+
+def test_bpe_random_and_special():
+    ref, own, r = tokenizer(), bpe.encoder(RANKS, public_tokenizers.PATTERN), random.Random(1)
+    parts = [" ", "  ", "\n", "\t", " a", "b", "the", "é", "1", "23", ".", "!!", "'s", "\x1c", "\x85", "\xa0", "日本", "𝔸", "aaaa", "　", "ing ", "<|endoftext|>"]
+    for _ in range(3000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        assert own.encode(t) == ref.encode_ordinary(t), repr(t)
+    for t in ("ab" * 30000, "a" * 5000, "\n" * 3000):
+        assert own.encode(t) == ref.encode_ordinary(t)
+
+
+# Language ID
+
+
+def test_language_id(spark):
+    r = random.Random(0)
+    v = {"xx": ["the", "then", "thing", "with", "this"], "yy": ["le", "la", "que", "pour", "elle"], "zz": ["der", "die", "und", "nicht", "ein"]}
+    rows = []
+    for i in range(150):
+        lang = r.choice(list(v))
+        rows.append((i, " ".join(r.choice(v[lang]) for _ in range(r.randint(3, 30))), lang if i % 10 else None))
+    rows += [(1000, None, "xx"), (1001, "", "yy"), (1002, "123 ... !", "zz"), (1003, "thewiththing " + "q" * 5000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"id": F.lit(1), "score": F.lit(0.5), "language": F.lit("x")})
+    got = collected(langid.language_id(df, PIECES))
+    for i, t, lang in rows:
+        g = got[i]
+        assert g.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= g.score <= 1
+        if i in (1000, 1001, 1002):
+            assert g.lang_pred == "und" and g.score == 0
+        elif i < 1000 and lang and g.held_out:
+            assert g.lang_pred == lang
+    kept = langid.drop_unknown(df, PIECES)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, *_ in rows} - {1000, 1001, 1002}
+    assert langid.language_id(df.limit(0), PIECES).collect() == []
+    assert {r.lang_pred for r in langid.language_id(df.withColumn("lang", F.lit(None).cast("string")), PIECES).collect()} == {"und"}
+
+
+def test_forward_sums_all_segmentations():
+    pieces = langid.Pieces(["a", "b", "ab", "ba", "aba"])
+    rng = np.random.default_rng(0)
+    prob = rng.random((6, 2)) * 0.2
+    at = {p: i for i, p in enumerate(["a", "b", "ab", "ba", "aba"])}
+
+    def total(w):
+        if not w:
+            return np.ones(2)
+        out = np.zeros(2)
+        for n in range(1, len(w) + 1):
+            p = w[:n]
+            if p in at or n == 1:
+                out = out + prob[at.get(p, 5)] * total(w[n:])
+        return out
+
+    for w in ("a", "ab", "abab", "abcab", "bababa", "ccc"):
+        assert np.allclose(langid.word_scores([w], pieces, prob)[0], np.log(total(w)))
+    long = "ab" * 40
+    assert np.isfinite(langid.word_scores([long], pieces, prob)).all()
+
+
+# Mixing
+
+
+def test_mixing(spark):
+    df, by_id, rows = documents(spark)
+    got = collected(mixing.mix_sources(df))
+    size = {i: len(t.encode().split()) for i, t in by_id.items()}
+    sources = {}
+    for r in rows:
+        sources.setdefault(r[3], []).append(r[0])
+    order = sorted(sources, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    total = {s: sum(size[i] for i in ids) for s, ids in sources.items()}
+    want, left, open_ = {}, 1.5 * sum(total.values()), set(order)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > 2 * total[s]}
+        if not over:
+            want |= {s: level * weight[s] for s in open_}
+            break
+        for s in over:
+            want[s] = 2 * total[s]
+            left -= 2 * total[s]
+        open_ -= over
+    for s, ids in sources.items():
+        assert all(got[i].size == size[i] and got[i].source_size == total[s] and math.isclose(got[i].target, want[s], rel_tol=1e-9) for i in ids)
+        assert abs(sum(got[i].taken for i in ids) - want[s]) <= 0.5
+        assert all(0 <= got[i].taken <= 2 * size[i] for i in ids)
+    again = collected(mixing.mix_sources(df.repartition(2)))
+    assert {i: r.taken for i, r in got.items()} == {i: r.taken for i, r in again.items()}
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    words_out = Counter()
+    for r in out.collect():
+        words_out[r.doc_id] += len(r.text.encode().split())
+        assert (by_id[r.doc_id] or "").startswith(r.text)
+    assert {i: n for i, n in words_out.items() if n} == {i: r.taken for i, r in got.items() if r.taken}
+
+
+def test_mixing_edges(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, "x y", None)], "doc_id long, text string, source string")
+    got = collected(mixing.mix_sources(df))
+    assert got[1].target == 0 and got[1].taken == 0 and got[3].target == 3 and got[3].taken == 3
+    assert mixing.mix_sources(df.limit(0)).collect() == []
+
+
+# WARC
+
+
+def test_warc_round_trip(spark):
+    html = [None, "", "<p>short</p>", "é" * 5000, "日本語 text " * 800, "<p>short</p>", "x\r\n\r\nWARC/1.1\r\n\r\n0\r\n\r\n", "<p>short</p>"]
+    rows = [(i * 2, f"http://e.org/{i}?a b" if i % 3 else None, h, "clash") for i, h in enumerate(html)]
+    df = spark.createDataFrame([*rows, rows[3], (None, "u", "lost", "c")], "page_id long, url string, html string, archive string")
+    got = collected(warc.archive_pages(df, segment=1000), "page_id")
+    by_payload = {}
+    for i, _, h, _ in rows:
+        by_payload.setdefault(h or "", []).append(i)
+    for i, _, h, _ in rows:
+        raw, last = (h or "").encode(), max(by_payload[h or ""])
+        r = got[i]
+        assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if i == last else "revisit", None if i == last else last)
+    assert len(got) == len(rows)
+    assert warc.archive_pages(df.limit(0)).collect() == []
+
+
+def test_warc_segments():
+    parts = warc.segments(1, "http://x/", "日本".encode() * 3000, 700)
+    assert len(parts) > 10 and all(len(list(warc.parse(r))) == 1 for _, r in parts)
+    read = []
+    for h, block in (next(iter(warc.parse(r))) for _, r in parts):
+        read.append((int(h["warc-segment-number"]), int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, block))
+    random.Random(0).shuffle(read)
+    assert warc.http_payload(warc.reassemble(read + read[:3])) == "日本".encode() * 3000
+    for broken in (read[1:], [(n, t and t + 1, b) for n, t, b in read]):
+        with pytest.raises(warc.WarcError):
+            warc.reassemble(broken)
+    assert warc.unchunked(b"4;ext=1\r\nwiki\r\n5\r\npedia\r\n0\r\nTrailer: x\r\n\r\n") == b"wikipedia"
+    for bad in (b"zz\r\n", b"4\r\nwi", b"4\r\nwikiXX", b""):
+        with pytest.raises(warc.WarcError):
+            warc.unchunked(bad)
+    with pytest.raises(warc.WarcError):
+        list(warc.parse(parts[0][1][:-3]))
+
+
+# Embeddings
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(0)
+    base = rng.standard_normal((60, 16))
+    x = np.vstack([base, base[:30] + 0.05 * rng.standard_normal((30, 16)), base[:20], base[:20] * 3, rng.standard_normal((40, 16))])
+    rows = [(i * 2, [float(v) for v in row], int(i % 60) % 3) for i, row in enumerate(x)]
+    rows += [(1001, None, 0), (1003, [0.0] * 16, 0), (1005, [float("nan")] + [1.0] * 15, 1), (1007, [None] + [1.0] * 15, 1), (1009, rows[0][1], None), (1011, [], 0), (1013, [1.0, 2.0], 0), (1015, [1.0, 2.0], 0), (1017, [float("inf")] * 16, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"id": F.lit(0), "code": F.lit(1), "x": F.lit(2)})
+    got = collected(embed_dedup.similar_vectors(df), "vec_id")
+    links = Counter()
+    up = {i: i for i, *_ in rows}
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    total = 0
+    for a, (i, v, lab) in enumerate(rows):
+        for j, w, m in rows[:a]:
+            if lab is None or lab != m or not v or not w or len(v) != len(w) or any(q is None or not math.isfinite(q) for q in v + w) or not any(v) or not any(w):
+                continue
+            if np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98:
+                links[i] += 1
+                links[j] += 1
+                total += 2
+                p, q = find(i), find(j)
+                up[max(p, q)] = min(p, q)
+    found = sum(r.n_links for r in got.values())
+    assert total > 100 and 0.9 * total <= found <= total
+    assert all(got[i].n_links <= links[i] for i, *_ in rows)
+    assert got[1013].n_links == got[1015].n_links == 1 and got[1015].component_id == 1013 and not got[1015].kept
+    assert all(got[i].n_links == 0 and got[i].kept for i in (1001, 1003, 1005, 1007, 1009, 1011, 1017))
+    assert embed_dedup.similar_vectors(df.limit(0)).collect() == []
+
+
+# PII
+
+
+def test_pii(spark):
+    secret = "b7db7aa4a5fcc78305"
+    rows = [
+        (1, f"mail anna.b1@mail3.example.com or ANNA.B1@mail3.example.com, password={secret} end"),
+        (2, "call +1 (988) 555-2485 or +1 988-555-2485, card 4111111111111111 and 4111 1111 1111 1111"),
+        (3, "ip 42.144.35.254 ssn 123-45-6789 iban DE89 3704 0044 0532 0130 00."),
+        (4, "Frau Anna Müller met Mr. Smith and John Smith; Иван Петров left"),
+        (5, None), (6, ""), (7, "nothing here 12 3.4 v1.2.3 2020-01-02"), (8, "again anna.b1@mail3.example.com"), (9, "bob.c2@mail3.example.com cat.d3@mail3.example.com"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"entity": F.lit("e"), "kind": F.lit("k"), "id": F.lit(1), "row": F.lit(2)})
+    got = collected(pii.replace_private(df, "key"))
+    old = dict(rows)
+    for i in (5, 6, 7):
+        assert got[i].text == old[i] and got[i].n_entities == 0
+    for i, gone in ((1, ["anna.b1", secret]), (2, ["988", "4111111111111111", "2485"]), (3, ["42.144.35.254", "123-45-6789", "3704 0044"]), (4, ["Müller", "Smith", "Anna", "Петров", "John"]), (8, ["anna.b1"])):
+        assert got[i].n_entities and not any(x in got[i].text for x in gone), got[i].text
+    first = got[1].text.split()
+    assert first[1].lower() == first[3].rstrip(",").lower() == got[8].text.split()[1] and first[1].endswith(".com") and "password=" in got[1].text
+    assert first[1].split("@")[1] == got[9].text.split()[0].split("@")[1]  # one host, one surrogate
+    assert len(set(got[9].text.split())) == 2
+    words_ = got[2].text.replace(",", "").split()
+    digits = lambda s: "".join(c for c in s if c.isdigit())
+    phone = digits(got[2].text.split(" or ")[0])
+    assert phone == digits(got[2].text.split(" or ")[1].split(",")[0]) and phone.startswith("1")
+    card = words_[words_.index("card") + 1]
+    assert card[0] == "4" and got[2].text.endswith(f"{card[:4]} {card[4:8]} {card[8:12]} {card[12:]}")
+    assert sum(int(c) if k % 2 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(card)) % 10 == 0
+    smiths = [w.rstrip(";") for w in got[4].text.split()]
+    assert smiths[0] == "Frau" and smiths[smiths.index("Mr.") + 1] == smiths[smiths.index("and") + 2]
+    assert smiths[1] in pii.GIVEN["latin_f"] and smiths[smiths.index("and") + 1] in pii.GIVEN["latin_m"] and smiths[-3] in pii.GIVEN["cyrillic_m"]
+    other = collected(pii.replace_private(df, "another"))
+    assert other[1].text != got[1].text
+    assert collected(pii.replace_private(df.repartition(3), "key"))[2].text == got[2].text
+    assert pii.replace_private(df.limit(0), "key").collect() == []
+
+
+def test_pii_surrogates_are_distinct(spark):
+    forms = [("ip", f"10.0.{a}.{b}", "") for a in range(30) for b in range(20)] + [("name", f"{a}{b}", "") for a in "aeiou" for b in "bcdfg"] + [("ssn", f"{i:09d}", "") for i in range(200)]
+    parts = spark.createDataFrame(forms, "kind string, form string, tail string")
+    rows = pii.surrogates(parts, "key").collect()
+    assert len(rows) == len(forms) == len({(r.kind, r.to) for r in rows})
+    known = {(k, f) for k, f, _ in forms}
+    assert not any((r.kind, r.to) in known for r in rows)
+
+
+# Language model
+
+
+def test_lm_scores(spark):
+    r = random.Random(0)
+    v = vocabulary(9, 40)
+    rows = [(i, " ".join(r.choice(v) for _ in range(r.randint(1, 120)))) for i in range(80)]
+    rows += [(1000, None), (1001, ""), (1002, "A a"), (1003, "unseen" * 50), (1004, "z" * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"word": F.lit("w"), "key": F.lit(1), "score": F.lit(1.0), "id": F.lit(3)})
+    got = collected(lm.score_texts(df, PIECES))
+    tokens = {i: (t or "").encode().lower().split() + [None] for i, t in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    counts = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, distinct = sum(counts.values()), len(counts)
+    for i, ws in tokens.items():
+        g = got[i]
+        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held[i], len(ws), sum(counts[w] > 0 for w in ws), n)
+        assert math.isclose(g.base_score, sum(math.log10((counts[w] + 1) / (n + distinct + 1)) for w in ws), rel_tol=1e-9)
+        assert math.isfinite(g.score) and g.score < 0
+    assert lm.score_texts(df.limit(0), PIECES).collect() == []
+
+
+def test_lm_is_causal_and_normalised():
+    subwords = lm.Subwords(PIECES)
+    model = lm.Model(50, 48, 49, seed=3)
+    rng = np.random.default_rng(0)
+    model.gate = rng.standard_normal(model.gate.shape).astype(np.float32)
+    model.normalise(rng.random((50, lm.EXPERTS)))
+    window = rng.integers(0, 48, (1, lm.WIDTH + 1))
+    k = 5
+    total = 0.0
+    for candidate in range(50):
+        w = window.copy()
+        w[0, lm.CONTEXT + 1 + k] = candidate
+        total += math.exp(model.score(w)[0, k])
+    assert math.isclose(total, 1, rel_tol=1e-4)
+    later = window.copy()
+    later[0, lm.CONTEXT + 1 + k + 1 :] = 7
+    assert np.allclose(model.score(window)[0, : k + 1], model.score(later)[0, : k + 1])
+    assert np.allclose(model.score(window), np.log(model.forward(window)[-1]), atol=1e-5)
+    assert subwords.size == subwords.pad + 1
+
+
+def test_lm_gradient_steps_help():
+    rng = np.random.default_rng(0)
+    model = lm.Model(20, 18, 19)
+    cycle = np.array([(start + np.arange(lm.WIDTH + 1)) % 7 for start in range(7)] * 10)
+    model.gate[np.arange(20), np.arange(20) % lm.EXPERTS] = 1.0
+    model.normalise(rng.random((20, lm.EXPERTS)) + 0.1)
+    squares, logs = {}, []
+    for _ in range(30):
+        counts = np.zeros((20, lm.EXPERTS), np.float32)
+        logs.append(model.train(cycle, squares, counts))
+        model.normalise(counts)
+    assert logs[-1] > logs[0] * 0.8 and logs[-1] > -0.9 * len(cycle) * lm.STEP * math.log(7)
+
+
+def test_windows_score_each_id_once():
+    subwords = lm.Subwords(PIECES)
+    s = lm.Stream(pa.array(["some words here", None, "", "x " * 100]), subwords)
+    seen = []
+    for d in range(4):
+        for w in range(s.n_windows[d]):
+            targets = s.windows(np.array([d]), np.array([w]))[0, lm.CONTEXT + 1 :]
+            seen += [t for t in targets if t != subwords.pad]
+    assert seen == s.ids.tolist() and s.n_windows.min() == 1
