@@ -84,25 +84,10 @@ def lzw_dynamic(raw: bytes, most: int, clear: bool = True, start: int = 257, lim
     return bytes(out)
 
 
-class _HighBits:
-    def __init__(self, raw: bytes):
-        self.value, self.left = int.from_bytes(raw + bytes(16), "big"), 8 * len(raw) + 128
-        self.least = 0
-
-    def take(self, n: int) -> int:
-        self.left -= n
-        if self.left < self.least:
-            raise corrupt("bit stream is cut short")
-        return self.value >> self.left & (1 << n) - 1
-
-
 def lzh(raw: bytes, size: int, window: int, n_positions: int, position_bits: int) -> bytes:
     """The later LHarc scheme: blocks of a count, three tables of code lengths and codes, lengths
     from 3 and distances by the number of their bits."""
-    out = bytearray()
-    # Chunks keep the big number of _HighBits short.
-    bits = _Stream(raw)
-    left = 0
+    out, bits, left = bytearray(), _Stream(raw), 0
     while len(out) < size:
         if not left:
             left = bits.take(16) or 65536
@@ -233,3 +218,66 @@ def powerpacker(raw: bytes) -> bytes:
             distance = take(width)
         copy(out, distance + 1, count)
     return bytes(out[:size][::-1])
+
+
+class HuffmanTree:
+    """A tree that stands before its data: bit 1 and eight bits are a leaf, bit 0 two subtrees."""
+
+    def __init__(self, bits: _Stream):
+        self.bits = bits
+        self.root = self._read(0)
+
+    def _read(self, depth: int):
+        if depth > 256:
+            raise corrupt("Huffman tree is too deep")
+        if self.bits.take(1):
+            return self.bits.take(8)
+        return self._read(depth + 1), self._read(depth + 1)
+
+    def take(self, n: int) -> bytes:
+        out = bytearray()
+        for _ in range(n):
+            node = self.root
+            while isinstance(node, tuple):
+                node = node[self.bits.take(1)]
+            out.append(node)
+        return bytes(out)
+
+
+def huffman(raw: bytes, size: int) -> bytes:
+    return HuffmanTree(_Stream(raw)).take(size)
+
+
+#: What a block of Compact Pro holds: two for a literal, three for a match.
+_BLOCK = 0x1FFF0
+
+
+def compact_lzh(raw: bytes, size: int | None = None) -> bytes:
+    """Blocks of three tables of code lengths, of a nibble each, then literals (bit 1) and matches
+    of a length, the high bits of a distance and six low ones."""
+    out, bits, left, begin = bytearray(), _Stream(raw), 0, None
+
+    def table(n: int):
+        k = bits.take(8)
+        if 2 * k > n:
+            raise corrupt("Compact Pro code lengths")
+        return codes([bits.take(4) for _ in range(2 * k)])
+
+    while size is None or len(out) < size:
+        if size is None and bits.at >= len(raw) and bits.n < 8 and not bits.have:
+            break
+        if left <= 0:
+            if begin is not None:  # blocks end at an even place, and two bytes on
+                bits.take(bits.n % 8)
+                place = bits.at - bits.n // 8
+                bits.take(24 if (place - begin) & 1 else 16)
+            literal, length, distance = table(256), table(64), table(128)
+            left, begin = _BLOCK, bits.at - bits.n // 8
+        if bits.take(1):
+            out.append(_next(bits, literal))
+            left -= 2
+        else:
+            n = _next(bits, length)
+            copy(out, _next(bits, distance) << 6 | bits.take(6), n)
+            left -= 3
+    return bytes(out)

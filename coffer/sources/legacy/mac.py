@@ -7,7 +7,7 @@ import zlib
 
 from ...errors import ArchiveError, corrupt, unsupported
 from ...schema import Archive, Entry, Options
-from .decoders import lzw_dynamic, rle90
+from .decoders import HuffmanTree, _Stream, compact_lzh, huffman, lzw_dynamic, rle90
 from .dos import stem
 
 # The characters of BinHex 4.0.
@@ -153,9 +153,11 @@ def open_compactpro(buf: bytes, name: str, options: Options) -> Archive:
             def read(start=start + packed_resource, packed=packed, size=data, flags=flags) -> bytes:
                 if flags & 1:
                     raise unsupported("Compact Pro encryption")
+                data = buf[start : start + packed]
                 if flags & 4:
-                    raise unsupported("Compact Pro compression")
-                out = _escaped(buf[start : start + packed])
+                    # Runs shrink what the matches give, so it ends where the input does.
+                    data = _until(compact_lzh, data, lambda part: len(_escaped(part)) >= size)
+                out = _escaped(data)
                 if len(out) < size:
                     raise corrupt("Compact Pro data is cut short")
                 return out[:size]
@@ -166,6 +168,16 @@ def open_compactpro(buf: bytes, name: str, options: Options) -> Archive:
     return Archive("CompactPro", entries)
 
 
+def _until(decode, raw: bytes, enough) -> bytes:
+    """The shortest output, by doubling, that is enough."""
+    n = 4096
+    while True:
+        part = decode(raw, n)
+        if enough(part):
+            return part
+        n *= 2
+
+
 def _escaped(raw: bytes) -> bytes:
     """Runs: 0x81 0x82 n repeats, 0x81 0x82 0 is the two bytes, another byte after 0x81 is itself."""
     out, at = bytearray(), 0
@@ -190,17 +202,25 @@ def open_packit(buf: bytes, name: str, options: Options) -> Archive:
     while buf[at : at + 3] == b"PMa" and at + 98 <= len(buf):
         kind = buf[at + 3 : at + 4]
         h = buf[at + 4 : at + 98]
-        if kind != b"g":
-
-            def read(kind=kind) -> bytes:
-                if kind in b"56":
-                    raise ArchiveError("ENCRYPTED") if options.password is None else unsupported("PackIt encryption")
-                raise unsupported("PackIt compression")
-
-            entries.append(Entry(stem(name) if not entries else b"%s-%d" % (stem(name), len(entries)), encrypted=kind in b"56", read=read))
-            break  # sizes of what follows are packed as well
+        if kind in b"56":
+
+            def read() -> bytes:
+                raise ArchiveError("ENCRYPTED") if options.password is None else unsupported("PackIt encryption")
+
+            entries.append(Entry(stem(name) if not entries else b"%s-%d" % (stem(name), len(entries)), encrypted=True, read=read))
+            break  # sizes of what follows are locked as well
+        if kind == b"4":
+            bits = _Stream(buf[at + 4 :])
+            tree = HuffmanTree(bits)
+            h = tree.take(94)
+            data, resource = struct.unpack_from(">II", h, 76)
+            body = tree.take(data)
+            tree.take(resource + 2)
+            entries.append(Entry(h[1 : 1 + min(h[0], 63)], size=data, read=lambda b=body: b))
+            at += 4 + bits.at - bits.n // 8
+            continue
         own = h[1 : 1 + min(h[0], 63)]
-        data, resource = struct.unpack_from(">II", h, 74 + 2)
+        data, resource = struct.unpack_from(">II", h, 76)
         start = at + 98
         if start + data > len(buf):
             raise corrupt("PackIt data is cut short")
@@ -246,6 +266,8 @@ def open_stuffit(buf: bytes, name: str, options: Options) -> Archive:
                 return rle90(data)[:size]
             if how == 2:
                 return lzw_dynamic(data, 14, limit=size)[:size]
+            if how == 3:
+                return huffman(data, size)
             raise unsupported(f"StuffIt method {how}")
 
         entries.append(Entry(path, size=size, encrypted=bool(how & 0x80), read=read))

@@ -477,6 +477,39 @@ def test_legacy_small():
     assert listing("disk.dms", dms)[1] == {"disk.adf": b"hello"}
 
 
+def high_bits(bits):
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big") if bits else b""
+
+
+def test_huffman_formats():
+    head = bytes([3]) + b"abc".ljust(63, b"\0") + bytes(12) + struct.pack(">II", 5, 0) + bytes(10)
+    assert len(head) == 94
+    plain = head + b"hello" + b"\0\0"
+    symbols = sorted(set(plain))
+    code, tree = {}, []
+
+    def build(part, prefix):
+        if len(part) == 1:
+            code[part[0]] = prefix
+            tree.append("1" + f"{part[0]:08b}")
+        else:
+            tree.append("0")
+            build(part[: len(part) // 2], prefix + "0")
+            build(part[len(part) // 2 :], prefix + "1")
+
+    build(symbols, "")
+    raw = high_bits("".join(tree) + "".join(code[b] for b in plain))
+    assert listing("x.pit", b"PMa4" + raw + b"PEnd")[1] == {"abc": b"hello"}
+    assert decoders.huffman(raw, 94) == head
+    # Literals a and b, a match of three from two back.
+    nibbles = lambda lengths: f"{len(lengths) // 2:08b}" + "".join(f"{n:04b}" for n in lengths)
+    literal = [0] * 98 + [0, 0]
+    literal[97], literal[98] = 1, 1
+    bits = nibbles(literal) + nibbles([0, 0, 0, 1]) + nibbles([1, 0]) + "10" + "11" + "0" + "0" + "0" + f"{2:06b}"
+    assert decoders.compact_lzh(high_bits(bits), 5) == b"ababa"
+
+
 def test_names():
     assert names.vote([b"a", "é".encode()]) == "utf-8"
     assert names.vote(["Привет мир как дела".encode("cp1251")]) == "cp1251"
