@@ -199,7 +199,7 @@ def is_packit(buf: bytes) -> bool:
 
 def open_packit(buf: bytes, name: str, options: Options) -> Archive:
     entries, at = [], 0
-    while buf[at : at + 3] == b"PMa" and at + 98 <= len(buf):
+    while buf[at : at + 3] == b"PMa":
         kind = buf[at + 3 : at + 4]
         h = buf[at + 4 : at + 98]
         if kind in b"56":
@@ -219,6 +219,8 @@ def open_packit(buf: bytes, name: str, options: Options) -> Archive:
             entries.append(Entry(h[1 : 1 + min(h[0], 63)], size=data, read=lambda b=body: b))
             at += 4 + bits.at - bits.n // 8
             continue
+        if len(h) < 94:
+            raise corrupt("PackIt header is cut short")
         own = h[1 : 1 + min(h[0], 63)]
         data, resource = struct.unpack_from(">II", h, 76)
         start = at + 98
