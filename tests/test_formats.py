@@ -82,6 +82,25 @@ def test_codec_vectors():
     assert pack.lzc(text)[:2] == b"\x1f\x9d" and codecs.lzw(pack.lzc(text * 40)) == text * 40
 
 
+def test_block_codecs_by_hand():
+    assert codecs.lzo(bytes([22]) + b"hello" + b"\x11\0\0") == b"hello"
+    assert codecs.lzo(bytes([20]) + b"abc" + bytes([5 << 5 | 2 << 2, 0]) + b"\x11\0\0") == b"abcabcabc"
+    lengths = [0] * 512
+    for symbol in (ord("a"), ord("b"), ord("c"), 256 + 16 + 3):
+        lengths[symbol] = 2
+    table = bytes(lengths[i] | lengths[i + 1] << 4 for i in range(0, 512, 2))
+    assert codecs.xpress_huffman(table + bytes.fromhex("801b0000"), 9) == b"abcabcabc"
+    with pytest.raises(ArchiveError):
+        codecs.xpress_huffman(table, 9)
+    raw = bytes(range(100))
+    bits = f"0{3:03b}{len(raw):024b}".ljust(32, "0")
+    words = b"".join(int(bits[i : i + 16], 2).to_bytes(2, "little") for i in (0, 16))
+    assert codecs.Lzx(15).frame(words + struct.pack("<III", 1, 1, 1) + raw, 100) == raw
+    z = zlib.compressobj(9, zlib.DEFLATED, -15)  # short matches are alike in both deflates
+    packed = z.compress(b"abcdefgh" * 5 + b"xyz") + z.flush()
+    assert codecs.inflate64(packed, 43) == b"abcdefgh" * 5 + b"xyz"
+
+
 def test_old_decoders():
     assert decoders.rle90(b"a\x90\x04b\x90\x00") == b"aaaab\x90"
     tree = struct.pack("<H", 2) + struct.pack("<hhhh", -(ord("a") + 1), 1, -(ord("b") + 1), -257)
