@@ -378,7 +378,8 @@ SELECT CAST(of AS VARCHAR) || '{ext}' AS archive, 'Warc' AS format, idx, base ||
 def warc_relation(spark, d):
     """The same naming and de-duplication as DataFrame windows, over records."""
     p = _table(spark, d, "pages")
-    visits = p.crossJoin(F.broadcast(spark.createDataFrame([(0, "response"), (1, "resource"), (2, "request")], "visit int, type string")))
+    kinds = [F.struct(F.lit(i).alias("visit"), F.lit(t).alias("type")) for i, t in enumerate(("response", "resource", "request"))]
+    visits = p.withColumn("v", F.explode(F.array(*kinds))).select("*", "v.*")
     head = F.when(F.col("type") == "response", F.lit(b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n")).otherwise(F.lit(b""))
     block = F.concat(head, F.coalesce("html", F.lit("")).cast("binary"))
     records = visits.select((F.expr("page_id div 100")).cast("string").alias("archive"), (F.col("visit") * 100 + F.col("page_id") % 100).alias("record_no"), "type", F.col("url").alias("uri"), F.lit("2024-03-01T12:00:00Z").alias("date"), block.alias("block"))
