@@ -87,8 +87,8 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Rows link if their labels are equal and not null and the cosine in double precision is at
     least threshold. Vectors that are null, empty, zero or hold null or non-finite components link
     with nothing, nor do vectors of different lengths. Equal vectors of a label are one class with
-    a number of rows, so copies are never paired with each other. Ids name vectors; a null id
-    counts for others' links but has none of its own. Ties and the order of rows don't matter; an
+    a number of rows, so copies are never paired with each other. Ids name vectors; a row
+    without an id links with nothing. Ties and the order of rows don't matter; an
     empty table gives an empty one.
     """
     spark = vectors.sparkSession
@@ -99,7 +99,7 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     good = rows.where("ok")
     classes = good.groupBy("label", "x").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
     classes = keep(classes, "classes")
-    dims = sorted(r[0] for r in classes.select(F.size("x")).distinct().limit(1000).collect())
+    dims = sorted(r[0] for r in classes.select(F.size("x")).distinct().toLocalIterator())
     pairs = spark.createDataFrame([], "u long, v long, n_u long, n_v long")
     for dim in dims:
         pairs = pairs.unionByName(_pairs(classes.where(F.size("x") == dim), dim, threshold))

@@ -37,10 +37,15 @@ def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def groups(rows: DataFrame, fanout: int | None = None) -> DataFrame:
-    """(digest, n_bytes, check, keep_id, size) of each distinct text from digests()."""
+#: Rows of digests for a task of the tree.
+ROWS = 500_000
+
+
+def groups(rows: DataFrame, total: int, fanout: int | None = None) -> DataFrame:
+    """(digest, n_bytes, check, keep_id, size) of each distinct text from digests(), of which there
+    are total rows. The tree has fanout ** 2 tasks: as many as shuffles have, and more for more rows."""
     if fanout is None:
-        fanout = max(4, math.isqrt(max(rows.rdd.getNumPartitions(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))) - 1) + 1)
+        fanout = math.isqrt(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // ROWS, 16) - 1) + 1
     tasks = fanout * fanout
     first, second = F.pmod("check", F.lit(fanout)), F.pmod(F.shiftright("check", 32), F.lit(fanout))
     runs = rows.select(*_KEY, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("size"), F.pmod(F.spark_partition_id(), F.lit(tasks)).alias("run"))
@@ -57,7 +62,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = keep(digests(docs, id_col, text_col), "digests")
     total = rows.count()
-    merged = keep(groups(rows, fanout), "groups")
+    merged = keep(groups(rows, total, fanout), "groups")
     same = F.struct("digest", "n_bytes", "check").alias("same")
     found = join_unique(rows.select("id", "digest", same), merged.select(same, "keep_id", "size"), "same", "size", total, "inner")
     return found.select(
@@ -69,7 +74,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup() keeps, with all their columns."""
     rows = keep(digests(docs, id_col, text_col), "digests")
-    merged = groups(rows).select("digest", F.col("keep_id").alias("_id"), F.col("n_bytes").alias("_n"))
+    merged = groups(rows, rows.count()).select("digest", F.col("keep_id").alias("_id"), F.col("n_bytes").alias("_n"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     merged = merged.withColumnRenamed("digest", "_digest")
     same = (F.unhex(F.sha2(text, 256)) == F.col("_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.octet_length(text) == F.col("_n"))
