@@ -14,6 +14,7 @@ from ..errors import ArchiveError, corrupt, unknown, unsupported
 from ..schema import DIR, FILE, SYMLINK, Archive, Entry, Options
 from . import times
 from .codecs import Lzx, adc, lz4_block, lzo, unzstd, xpress_huffman
+from .lzfse import lzfse, lzvn
 
 # ISO 9660
 
@@ -509,11 +510,28 @@ def _decmpfs(header: bytes, resource) -> tuple[int, object]:
                 part = raw[at + off : at + off + length]
                 out.append(part[1:] if part[0] & 15 == 15 else zlib.decompress(part))
             return b"".join(out)
+        if kind in (7, 11):
+            return inline[1 : 1 + size] if inline[:1] == b"\x06" else _apple(kind, inline, size)
+        if kind in (8, 12):
+            raw = resource()
+            n, = struct.unpack_from("<I", raw)
+            places = struct.unpack_from(f"<{n // 4}I", raw)
+            out = []
+            for i, (start, end) in enumerate(zip(places, places[1:])):
+                part, want = raw[start:end], min(65536, size - 65536 * i)
+                if want <= 0:
+                    break
+                out.append(part[1 : 1 + want] if part[:1] == b"\x06" else _apple(kind, part, want))
+            return b"".join(out)
         raise unsupported(f"file compression {kind}")
 
     return size, read
 
 
+def _apple(kind: int, raw: bytes, size: int) -> bytes:
+    return lzvn(raw, size) if kind in (7, 8) else lzfse(raw)
+
+
 def open_hfs(buf: bytes, name: str, options: Options, format: str = "HfsPlus") -> Archive:
     try:
         volume = _Hfs(buf)
@@ -622,7 +640,7 @@ def dmg_image(buf: bytes) -> bytes:
             elif kind == 0x80000006:
                 part = bz2.decompress(raw)
             elif kind == 0x80000007:
-                raise unsupported("LZFSE compression")
+                part = lzfse(raw)
             elif kind == 0x80000008:
                 part = lzma.decompress(raw)
             else:

@@ -101,6 +101,71 @@ def test_block_codecs_by_hand():
     assert codecs.inflate64(packed, 43) == b"abcdefgh" * 5 + b"xyz"
 
 
+def test_lzvn_and_lzfse():
+    from coffer.sources.lzfse import _states, lzfse, lzvn
+
+    raw = bytes([0xE3]) + b"abc" + bytes([3 << 3, 3]) + bytes([0xF4]) + bytes([0x40 | 7, 9, 0]) + b"z" + b"\x06" + bytes(7)
+    # abc; six from three back; four more; then z and three from nine back.
+    assert lzvn(bytes([0xE3]) + b"abc" + bytes([3 << 3, 3]) + bytes([0xF4]) + b"\x06" + bytes(7), 13) == (b"abc" * 5)[:13]
+    assert lzvn(raw, 17) == (b"abc" * 5)[:13] + b"z" + ((b"abc" * 5)[:13] + b"z")[-9:][:3]
+    assert lzvn(bytes([0xE0, 0]) + b"0123456789abcdef" + bytes([0xA0 | 1, 1 | 16 << 2 & 0xFF, 0]) + b"\x06", 24)[:16] == b"0123456789abcdef"
+    body = bytes([0xE3]) + b"abc" + bytes([3 << 3, 3]) + b"\x06" + bytes(7)
+    packed = b"bvx-" + struct.pack("<I", 2) + b"hi" + b"bvxn" + struct.pack("<II", 9, len(body)) + body + b"bvx$"
+    assert lzfse(packed) == b"hi" + b"abc" * 3
+    for cut in range(1, len(packed) - 1, 3):
+        with pytest.raises(ArchiveError):
+            lzfse(packed[:cut])
+    # Every state of a table is reached from exactly one state of each symbol.
+    for counts, total in (([3, 0, 5, 56], 64), ([1] * 64, 64), ([1000, 24], 1024)):
+        table = _states(counts, total)
+        assert len(table) == total
+        for symbol in {t[2] for t in table}:
+            reach = sorted(d + x for k, d, s in table if s == symbol for x in range(1 << k))
+            assert reach == list(range(total))
+
+
+def test_lzfse_block():
+    """One block of literals a b a b and a match, coded by walking the tables back."""
+    from coffer.sources.lzfse import _DISTANCE_BITS, _LITERAL_BITS, _MATCH_BITS, _bases, _states, lzfse
+
+    literal = [0] * 256
+    literal[97], literal[98] = 512, 512
+    runs, lengths, distances = [0] * 20, [0] * 20, [0] * 64
+    runs[4], lengths[6], distances[2] = 64, 64, 256  # a run of 4, a match of 6, two back
+    assert (_bases(_LITERAL_BITS)[4], _bases(_MATCH_BITS)[6], _bases(_DISTANCE_BITS)[2]) == (4, 6, 2)
+
+    def count(c):
+        if c < 8:
+            small = {0: ("0", 2, 0), 1: ("", 2, 2), 2: ("", 3, 1), 3: ("", 3, 5), 4: ("", 5, 3), 5: ("", 5, 11), 6: ("", 5, 19), 7: ("", 5, 27)}[c]
+            return small[2], small[1]
+        return (7 | (c - 8) << 4, 8) if c < 24 else (15 | (c - 24) << 4, 14)
+
+    value = at = 0
+    for c in [*runs, *lengths, *distances, *literal]:
+        v, n = count(c)
+        value |= v << at
+        at += n
+    table = value.to_bytes(-(-at // 8), "little")
+    of = _states(literal, 1024)
+    bits, first = "", []
+    for k, symbol in enumerate(b"abab"):
+        state = next(i for i, t in enumerate(of) if t[2] == symbol)
+        first.append(state)
+        bits += "0" * of[state][0]
+    payload = lambda b: (int(b, 2) if b else 0).to_bytes(-(-len(b) // 8), "little")
+    lack = lambda b: -(-len(b) % 8)
+    literals = payload(bits)
+    moves = "".join("0" * _states(c, n)[0][0] for c, n in ((runs, 64), (lengths, 64), (distances, 256)))
+    matches = payload(moves)
+    header = 32 + len(table)
+    a = 4 | len(literals) << 20 | 1 << 40 | (lack(bits) + 7) << 60
+    b = sum(s << 10 * k for k, s in enumerate(first)) | len(matches) << 40 | (lack(moves) + 7) << 60
+    raw = b"bvx2" + struct.pack("<IQQQ", 10, a, b, header) + table + literals + matches + b"bvx$"
+    assert lzfse(raw) == b"abab" + b"ab" * 3
+    dmg = pack.dmg_bytes(b"", 1)
+    assert dmg[-512:-508] == b"koly"
+
+
 def test_old_decoders():
     assert decoders.rle90(b"a\x90\x04b\x90\x00") == b"aaaab\x90"
     tree = struct.pack("<H", 2) + struct.pack("<hhhh", -(ord("a") + 1), 1, -(ord("b") + 1), -257)
