@@ -47,6 +47,19 @@ _CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "äöü", "àâáé
 _HEX = "0123456789abcdef"
 
 
+def _may(text: Column) -> Column:
+    """False only for texts in which no pattern can match, and much cheaper than the patterns: all
+    have a digit, an @, an equals sign or colon, a key's prefix, a title or a listed name."""
+    out = text.contains("@") | text.contains("=") | text.contains(":") | text.rlike("[0-9]")
+    for part in ("sk-", "sk_", "pk-", "pk_", "ghp", "xox", "AKIA", *TITLES, *(n for group in GIVEN.values() for n in group)):
+        out = out | text.contains(part)
+    return out
+
+
+def _has(text: Column) -> Column:
+    return F.coalesce(_may(text) & text.rlike(PATTERN), F.lit(False))
+
+
 def _draw(seed: Column, i: Column) -> Column:
     """A number that follows from seed and place."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", seed, i.cast("string")), 256), 1, 12), 16, 10).cast("long")
@@ -89,7 +102,7 @@ def _surrogate(kind: Column, form: Column, key: str, attempt: Column) -> Column:
 def _kind(entity: Column) -> Column:
     out = None
     for name, pattern in PATTERNS.items():
-        test = entity.rlike(f"^(?:{pattern.replace('(?<=', '(?<=') if name != 'phone' else PATTERNS['phone']})$")
+        test = entity.rlike(f"^(?:{pattern})$")
         out = F.when(test, name) if out is None else out.when(test, name)
     return out
 
@@ -199,10 +212,10 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     """
     text = F.col(text_col)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    has = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
+    has = _has(F.col("text"))
     print_of = F.struct("id", F.xxhash64("text"), F.octet_length("text"))
-    found = docs.where(has).select(print_of.alias("row"), F.array_distinct(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("entities"))
-    found = keep(found.select("row", F.explode("entities").alias("entity")), "entities")
+    private = keep(docs.where(has).select("id", "text", print_of.alias("row"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("hits")), "private")
+    found = keep(private.select("row", F.explode(F.array_distinct("hits")).alias("entity")).distinct(), "entities")
 
     # Distinct entities, how many rows have them, and their parts.
     entities = found.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
@@ -221,11 +234,11 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
 
     total = max(found.count(), 1)
     by_row = join_unique(found, table, "entity", "n", total, "inner").groupBy("row").agg(F.collect_set(F.struct("entity", "kind", "written")).alias("found"))
-    changed = docs.where(has).withColumn("row", print_of).join(by_row, "row")
+    changed = private.join(by_row, "row")
     lookup = F.map_from_entries(F.transform("found", lambda x: F.struct(x["entity"], x["written"])))
-    between, hits = F.split("text", PATTERN, -1), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
+    between = F.split("text", PATTERN, -1)
     new = F.array_join(F.transform(F.arrays_zip(F.col("between"), F.col("hits")), lambda x: F.concat(x["between"], F.coalesce(F.element_at(F.col("lookup"), x["hits"]), F.lit("")))), "")
-    changed = changed.select("id", between.alias("between"), hits.alias("hits"), lookup.alias("lookup"), "found")
+    changed = changed.select("id", between.alias("between"), "hits", lookup.alias("lookup"), "found")
     changed = changed.select(F.col("id").alias(id_col), new.alias("text"), F.size("hits").cast("long").alias("n_entities"), F.array_sort(F.array_distinct(F.transform("found", lambda x: x["kind"]))).alias("kinds"))
     same = docs.where(~has).select(F.col("id").alias(id_col), "text", F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
     return same.unionByName(changed)
