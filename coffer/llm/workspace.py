@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship as ship
+
 _own: dict[str, str] = {}
-_shipped: set[str] = set()
 
 
 def folder(spark: SparkSession) -> str:
@@ -29,20 +28,6 @@ def folder(spark: SparkSession) -> str:
     return _own.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="coffer-"))
 
 
-def ship(spark: SparkSession) -> None:
-    """Let executors import this package, once per application."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    _shipped.add(context.applicationId)
-    package = Path(__file__).resolve().parent.parent
-    to = Path(tempfile.mkdtemp(prefix="coffer-code-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    context.addPyFile(str(to))
-
-
 def keep(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: what follows doesn't depend on executors
     that may be lost."""
@@ -69,7 +54,3 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str, total:
     hot = left.join(heavy, key)
     rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)
     return hot.unionByName(rest)
-
-
-def one_row(column: Column | str, kind: str = "long") -> Column:
-    return F.coalesce(F.sum(column), F.lit(0)).cast(kind)
