@@ -9,7 +9,7 @@ whatever surrounds them, so a window's anchor, the smallest name of its interior
 its copies, and neighbouring windows mostly have the same one.
 
 1. Every document states the anchors of its windows: a few for a hundred words.
-2. Only windows whose anchor occurs in two documents are compared, by 128 bits of their words,
+2. Only windows whose anchor occurs in two documents are compared, by 96 bits of their words,
    in groups by anchor. An anchor of very many documents is dealt into blocks, from which only
    the smallest document of each window goes on to a second level.
 3. Documents that lose words are written anew.
@@ -33,7 +33,7 @@ ROUNDS = 5
 BLOCK = 4096
 _LAST = (1 << 63) - 1
 _SALTS = mix(np.arange(1, 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_WINDOW = np.dtype([("anchor", "<u8"), ("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("at", "<i4")])
+_WINDOW = np.dtype([("anchor", "<u8"), ("one", "<u8"), ("two", "<u4"), ("doc", "<i8"), ("key", "<i8"), ("at", "<i4")])
 
 
 def anchors(names: np.ndarray, first: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -113,7 +113,7 @@ def _state(batches):
                 got = np.zeros(0, np.uint64)
             n, m = len(b), len(got)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.r_[docs, docs[owner]]), pa.array(np.r_[keys, keys[owner]]),
+                pa.concat_arrays([pa.array(docs), pa.nulls(m, pa.int64())]), pa.array(np.r_[keys, keys[owner]]),
                 pa.concat_arrays([pa.array(words.counts()), pa.nulls(m, pa.int64())]),
                 pa.concat_arrays([pa.array(digest, pa.string()), pa.nulls(m, pa.string())]),
                 pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(got.view(np.int64))]),
@@ -149,7 +149,7 @@ def _compare(buckets: int):
                 rows = np.empty(len(hit), _WINDOW)
                 rows["anchor"], rows["doc"], rows["key"], rows["at"] = got, docs[owner], keys[owner], at - words.at[owner]
                 rows["one"] = windows(names, SIZE)[at]
-                rows["two"] = windows(mix(names ^ _SALTS[32]), SIZE)[at]
+                rows["two"] = (windows(mix(names ^ _SALTS[32]), SIZE)[at] >> np.uint64(32)).astype(np.uint32)
                 deal = mix(keys.astype(np.int64).view(np.uint64))[owner] % block
                 hot = block > 1
                 bucket = (mix(got ^ mix(deal + np.uint64(1))) % np.uint64(buckets)).astype(np.int64)
@@ -164,7 +164,38 @@ def _packed(rows: np.ndarray, bucket: np.ndarray, hot: np.ndarray) -> pa.RecordB
     rows, code = rows[order], code[order]
     cut = np.flatnonzero(np.r_[True, code[1:] != code[:-1], True])
     code = code[cut[:-1]]
-    return pa.RecordBatch.from_arrays([pa.array((code // 2).astype(np.int32)), pa.array((code % 2).astype(bool)), pa.array([rows[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary())], names=["bucket", "hot", "rows"])
+    return pa.RecordBatch.from_arrays([pa.array((code // 2).astype(np.int32)), pa.array((code % 2).astype(bool)), pa.array([_runs(rows[a:z]) for a, z in zip(cut[:-1], cut[1:])], pa.binary())], names=["bucket", "hot", "rows"])
+
+
+_RUN = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("at", "<i4"), ("n", "<i4")])
+
+
+def _runs(rows: np.ndarray) -> bytes:
+    """Windows that follow each other in a document at one anchor take twelve bytes each."""
+    if not len(rows):
+        return b""
+    new = np.r_[True, (rows["key"][1:] != rows["key"][:-1]) | (rows["doc"][1:] != rows["doc"][:-1]) | (rows["anchor"][1:] != rows["anchor"][:-1]) | (rows["at"][1:] != rows["at"][:-1] + 1)]
+    start = np.flatnonzero(new)
+    runs = np.empty(len(start), _RUN)
+    for name in ("anchor", "doc", "key", "at"):
+        runs[name] = rows[name][start]
+    runs["n"] = np.diff(np.r_[start, len(rows)])
+    return np.array([len(runs), len(rows)], np.int64).tobytes() + runs.tobytes() + rows["one"].tobytes() + rows["two"].tobytes()
+
+
+def _of_runs(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, _WINDOW)
+    k, n = np.frombuffer(raw, np.int64, 2).tolist()
+    runs = np.frombuffer(raw, _RUN, k, 16)
+    at = 16 + k * _RUN.itemsize
+    rows = np.empty(n, _WINDOW)
+    for name in ("anchor", "doc", "key", "at"):
+        rows[name] = np.repeat(runs[name], runs["n"])
+    rows["at"] += (np.arange(n) - np.repeat(np.cumsum(runs["n"]) - runs["n"], runs["n"])).astype(np.int32)
+    rows["one"] = np.frombuffer(raw, "<u8", n, at)
+    rows["two"] = np.frombuffer(raw, "<u4", n, at + 8 * n)
+    return rows
 
 
 def _judge(final: bool, buckets: int):
@@ -172,8 +203,9 @@ def _judge(final: bool, buckets: int):
     of blocks of hot anchors also the windows of the smallest documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(x, _WINDOW) for x in table.column("rows").to_pylist()])
-        hot = np.repeat(table.column("hot").to_numpy(), [len(x) // _WINDOW.itemsize for x in table.column("rows").to_pylist()])
+        parts = [_of_runs(x) for x in table.column("rows").to_pylist()]
+        hot = np.repeat(table.column("hot").to_numpy(), [len(x) for x in parts])
+        rows = np.concatenate(parts)
         order = np.lexsort((rows["doc"], rows["two"], rows["one"]))
         rows, hot = rows[order], hot[order]
         new = np.r_[True, (rows["one"][1:] != rows["one"][:-1]) | (rows["two"][1:] != rows["two"][:-1])]
@@ -185,6 +217,7 @@ def _judge(final: bool, buckets: int):
         n = np.diff(np.r_[start, len(out)])
         out = out[start]
         onward = rows[(rows["doc"] == least) & hot & (not final)]
+        onward = onward[np.lexsort((onward["at"], onward["anchor"], onward["key"]))]
         packed = _packed(onward, (mix(onward["anchor"]) % np.uint64(buckets)).astype(np.int64), np.ones(len(onward), np.int64)) if len(onward) else None
         k = packed.num_rows if packed else 0
         join = lambda a, kind, b=None: pa.concat_arrays([pa.array(a, kind) if a is not None else pa.nulls(len(out), kind), b if b is not None else pa.nulls(k, kind)])
@@ -238,21 +271,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = stated.where("anchor is null").select("doc", "key", "n_words", "digest")
     total = max(whole.count(), 1)
     buckets = int(max(64, min(total // 1000, 1 << 20)))
+    repeats = whole.groupBy("doc", "key").count().where("count > 1").limit(1).count() > 0
 
-    found = stated.where("anchor is not null").select("anchor", "doc", "key")
-    shared = found.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("z"), F.count(F.lit(1)).alias("n")).where("a < z")
+    found = stated.where("anchor is not null").select("anchor", "key")
+    shared = found.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.count(F.lit(1)).alias("n")).where("a < z")
     shared = keep(shared.select("anchor", "n", F.ceil(F.col("n") / BLOCK).alias("blocks")), "shared")
     n_found = max(shared.agg(F.sum("n")).first()[0] or 1, 1)
     mine = join_unique(found, shared, "anchor", "n", n_found, "inner")
-    mine = mine.groupBy("doc", "key").agg(F.collect_set(F.struct("anchor", "blocks")).alias("shared"))
-    met = docs.select("doc", "key", "text").join(mine, ["doc", "key"]).dropDuplicates(["doc", "key"])
+    mine = mine.groupBy("key").agg(F.collect_set(F.struct("anchor", "blocks")).alias("shared"))
+    met = docs.select("doc", "key", "text").join(mine, "key")
+    if repeats:
+        met = met.dropDuplicates(["doc", "key"])
     compared = met.mapInArrow(_compare(buckets), "bucket int, hot boolean, rows binary")
     first = keep(compared.groupBy("bucket").applyInArrow(_judge(False, buckets), _JUDGED), "judged")
     again = first.where("bucket is not null").select("bucket", F.lit(True).alias("hot"), "rows")
     second = again.groupBy("bucket").applyInArrow(_judge(True, buckets), _JUDGED)
     runs = first.where("key is not null").unionByName(second.where("key is not null")).groupBy("doc", "key").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
-    changed = docs.select("doc", "key", "text").join(keep(runs, "runs"), ["doc", "key"]).dropDuplicates(["doc", "key"])
+    changed = docs.select("doc", "key", "text").join(keep(runs, "runs"), ["doc", "key"])
+    if repeats:
+        changed = changed.dropDuplicates(["doc", "key"])
     changed = changed.mapInArrow(_cut(with_text), "key long, doc long, n_removed long, digest string, kept_text string")
     changed = changed.withColumnRenamed("digest", "new")
     out = whole.join(changed, ["doc", "key"], "left")
