@@ -13,6 +13,7 @@ the order of their numbers and checked against the total length; then the chunks
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 
@@ -24,6 +25,7 @@ from .workspace import folder, join_unique, keep, ship
 
 SEGMENT = 64 * 1024
 CHUNK = 8 * 1024
+ARCHIVE = 32 << 20
 CRLF = b"\r\n"
 _END = CRLF * 2
 
@@ -157,8 +159,9 @@ def _records(size: int, archives: int):
     return run
 
 
-def write_archives(pages: DataFrame, path: str, archives: int, segment: int = SEGMENT, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write a WARC record for each row of pages to files under path, at least ``archives`` of them.
+def write_archives(pages: DataFrame, path: str, archives: int | None = None, segment: int = SEGMENT, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+    """Write a WARC record for each row of pages to files under path, about ``archives`` of them: by
+    default so many that each has ARCHIVE bytes of payloads.
 
     Of rows with equal payloads of at least least_bytes bytes that with the largest id is a
     response and the others revisit it. Only digests are shuffled to find out which; a payload of
@@ -167,8 +170,10 @@ def write_archives(pages: DataFrame, path: str, archives: int, segment: int = SE
     ship(pages.sparkSession)
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.unhex(F.sha1(html.cast("binary"))).alias("sha1"))
-    prints = rows.select("page", "sha1", F.octet_length(html).alias("n")).where(F.col("n") >= least_bytes)
-    prints = keep(prints, "prints")
+    prints = keep(rows.select("page", "sha1", F.octet_length(html).alias("n")), "prints")
+    if archives is None:
+        archives = max(4, (prints.agg(F.sum("n")).first()[0] or 0) // ARCHIVE)
+    prints = prints.where(F.col("n") >= least_bytes)
     total = max(prints.count(), 1)
     if prints.select("page").distinct().count() < total:
         rows = rows.dropDuplicates(["page"])
@@ -179,7 +184,7 @@ def write_archives(pages: DataFrame, path: str, archives: int, segment: int = SE
     joined = rows.join(keep(older, "older"), "page", "left")
     joined = joined.select("page", "url", F.when(F.col("last").isNull(), F.col("html")).alias("html"), "sha1", "last")
     records = joined.mapInArrow(_records(segment, archives), "archive int, value string")
-    records.repartition(archives, "archive").select("value").write.option("lineSep", "\r\n").text(path)
+    records.repartition(archives, "archive").select("value").write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def _parsed(batches):
@@ -187,7 +192,7 @@ def _parsed(batches):
     for b in batches:
         for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             rows = []
-            for h, block in parse(content):
+            for h, block in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
                 kind = h.get("warc-type")
                 if kind not in ("response", "revisit", "continuation"):
                     continue
@@ -265,8 +270,7 @@ def archive_pages(pages: DataFrame, segment: int = SEGMENT, least_bytes: int = 0
     spark = pages.sparkSession
     pages = pages.where(F.col("page_id").isNotNull())
     path = f"{folder(spark)}/warc-{uuid.uuid4().hex}"
-    archives = max(pages.rdd.getNumPartitions(), 4)
-    write_archives(pages, path, archives, segment, least_bytes)
+    write_archives(pages, path, None, segment, least_bytes)
     return read_archives(spark, path)
 
 
