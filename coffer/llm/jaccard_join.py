@@ -19,11 +19,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, components
-from .words import mix, shingles
+from .words import mix, shingles, slices
 from .workspace import keep, ship
 
 SIZE = 5
@@ -31,7 +32,7 @@ NUM, DEN = 75, 100
 #: Counters of the sketch, its parts, and documents of a block of a group.
 SLOTS, PARTS, BLOCK = 1 << 20, 16, 512
 #: Posting lists up to here are joined pair by pair, at most SHORT ** 2 / 2 of them.
-SHORT = 32
+SHORT = 64
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -144,7 +145,7 @@ def _describe(batches):
     packed."""
     counters = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        for b in (batch.slice(i, 1000) for i in range(0, len(batch), 1000)):
+        for b in slices(batch, 1):
             grams, at = shingles(b.column(1), SIZE)
             n, full = np.diff(at), np.flatnonzero(np.diff(at))
             counters += np.bincount((grams >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
@@ -189,48 +190,83 @@ def _sketch(described: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _post(counts: np.ndarray, buckets: int):
-    """Prefix postings: per batch and bucket, the n-grams, document ids, families and sizes."""
-    # Only what is common enough to make long lists needs to go behind; hashes order the rest.
-    mean = max(counts.mean(), 1)
-    level = np.where(counts > 4 * mean, np.log2(counts / mean + 1).astype(np.int64), 0).astype(np.uint8)
+def _prefixes(counts: np.ndarray):
+    """Size and prefix of each document's set, six bytes of an n-gram."""
+    # What stands out from the chance sums of a counter is common and goes behind, the more common
+    # the later; hashes order the rest.
+    unit = 4 * np.sqrt(counts.mean()) + 4
+    level = np.ceil(np.log2(np.maximum((counts - counts.mean()) / unit, 1))).astype(np.uint8)
+    level += counts - counts.mean() > unit
 
     def run(batches):
         for batch in batches:
-            for b in (batch.slice(i, 4000) for i in range(0, len(batch), 4000)):
+            for b in slices(batch, "text"):
                 grams, at = shingles(b.column("text"), SIZE)
-                docs, families = _ids(b.column("doc")), _ids(b.column("family"))
-                out, owner = [], []
-                for i in np.flatnonzero(np.diff(at)):
-                    own = grams[at[i] : at[i + 1]]
-                    p = prefix_length(len(own))
+                out = []
+                for start, end in zip(at[:-1].tolist(), at[1:].tolist()):
+                    own, p = grams[start:end], prefix_length(end - start)
                     how = level[(own >> np.uint64(44)).astype(np.int64)]
                     if how[:p].any():
                         own = own[np.argsort(how, kind="stable")]
-                    out.append(own[:p])
-                    owner.append(np.full(p, i))
-                if not out:
-                    continue
-                key, owner = np.concatenate(out), np.concatenate(owner)
+                    out.append(_six(own[:p]))
+                yield pa.RecordBatch.from_arrays([b.column("doc").cast(pa.int64()), pa.array(np.diff(at)), pa.array(out, pa.binary())], names=["doc", "n", "grams"])
+
+    return run
+
+
+def _six(grams: np.ndarray) -> bytes:
+    """The low 48 bits. Those that agree in them but not in all are candidates in vain, no more."""
+    return np.ascontiguousarray(grams.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _of_six(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
+def _post(buckets: int):
+    """Postings by bucket of the n-gram: n-grams, ids, families and sizes, packed."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(1).compress
+        for batch in batches:
+            for b in slices(batch, "grams", 3_000_000):
+                raw = b.column("grams").to_pylist()
+                sizes = np.array([len(x) // 6 for x in raw], np.int64)
+                key = _of_six(b"".join(raw))
+                owner = np.repeat(np.arange(len(b)), sizes)
+                docs, families, n = (_ids(b.column(c)) for c in ("doc", "family", "n"))
                 bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
+                order = np.lexsort((docs[owner], bucket))
                 key, owner, bucket = key[order], owner[order], bucket[order]
-                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-                sizes = np.diff(at)
-                rows = np.empty(len(key), _POSTING)
-                rows["gram"], rows["doc"], rows["family"], rows["n"] = key, docs[owner], families[owner], sizes[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array([rows[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])])], names=["bucket", "rows"])
+                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(key) else np.zeros(1, np.int64)
+                packed = []
+                for start, end in zip(cut[:-1], cut[1:]):
+                    own = owner[start:end]
+                    rest = np.diff(docs[own], prepend=0), families[own] - docs[own], n[own]
+                    packed.append(np.uint32(end - start).tobytes() + _six(key[start:end]) + pack(b"".join(x.tobytes() for x in rest)))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "rows"])
 
     return run
 
 
+def _unpacked(raw: bytes) -> np.ndarray:
+    k = int(np.frombuffer(raw, np.uint32, 1)[0])
+    rest = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[4 + 6 * k :]), np.int64).reshape(3, k)
+    out = np.empty(k, _POSTING)
+    out["gram"], out["doc"], out["n"] = _of_six(raw[4 : 4 + 6 * k]), np.cumsum(rest[0]), rest[2]
+    out["family"] = rest[1] + out["doc"]
+    return out
+
+
 _POSTING = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("family", "<i8"), ("n", "<i4")])
 
 
 def _lists(table: pa.Table) -> pa.Table:
     """Of a bucket's postings, the lists of two families at least, cut where sizes are too far
     apart for any link across; short ones as pairs of documents of different families."""
-    rows = np.concatenate([np.frombuffer(x, _POSTING) for x in table.column("rows").to_pylist()])
+    rows = np.concatenate([_unpacked(x) for x in table.column("rows").to_pylist()])
     rows = rows[np.lexsort((rows["n"], rows["gram"]))]
     apart = (rows["gram"][1:] != rows["gram"][:-1]) | (DEN * rows["n"][:-1].astype(np.int64) < NUM * rows["n"][1:].astype(np.int64))
     start = np.flatnonzero(np.r_[True, apart])
@@ -261,11 +297,30 @@ def _lists(table: pa.Table) -> pa.Table:
     ], names=["a", "n", "b", "m", "shared", "gram"])
 
 
-def _sets(batches):
-    for batch in batches:
-        for b in (batch.slice(i, 1000) for i in range(0, len(batch), 1000)):
-            grams, at = shingles(b.column("text"), SIZE)
-            yield pa.RecordBatch.from_arrays([b.column("doc").cast(pa.int64()), pa.array([grams[s:e].tobytes() for s, e in zip(at[:-1], at[1:])], pa.binary())], names=["doc", "grams"])
+def _bitmap(docs: DataFrame) -> np.ndarray:
+    """SLOTS * 8 bits, those set that ids of docs fall on: of fixed size, whatever their number."""
+    slot = F.pmod(F.xxhash64("doc"), F.lit(SLOTS * 8))
+    # Spark counts from one: numbers 1 to 32768 are the bits of bucket 1.
+    rows = docs.groupBy(F.bitmap_bucket_number(slot + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("bits"))
+    out = np.zeros((SLOTS * 8 // 32768, 4096), np.uint8)
+    for row in rows.toLocalIterator():
+        out[row.bucket - 1] = np.frombuffer(bytes(row.bits), np.uint8)
+    return out.reshape(-1)
+
+
+def _sets(bits: np.ndarray):
+    """The sets of documents whose slot (third column) is set: those that are asked for, and a few
+    more, without the texts having to move."""
+
+    def run(batches):
+        for batch in batches:
+            slot = _ids(batch.column("slot"))
+            batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
+            for b in slices(batch, "text"):
+                grams, at = shingles(b.column("text"), SIZE)
+                yield pa.RecordBatch.from_arrays([b.column("doc").cast(pa.int64()), pa.array([grams[s:e].tobytes() for s, e in zip(at[:-1], at[1:])], pa.binary())], names=["doc", "grams"])
+
+    return run
 
 
 def _join_group(table: pa.Table) -> pa.Table:
@@ -275,11 +330,14 @@ def _join_group(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([docs[a] for a, _ in links], pa.int64()), pa.array([docs[b] for _, b in links], pa.int64())], names=["u", "v"])
 
 
-def _linked(docs: DataFrame, members: DataFrame) -> DataFrame:
+def _linked(docs: DataFrame, members: DataFrame, repeats: bool) -> DataFrame:
     """Verified links (u, v) in the groups of members (group, doc, family)."""
     members = keep(members, "members")
-    sets = docs.join(members.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", "text").mapInArrow(_sets, "doc long, grams binary")
-    sets = keep(sets, "sets")
+    slot = F.coalesce(F.pmod(F.xxhash64("doc"), F.lit(SLOTS * 8)), F.lit(0))
+    sets = docs.select("doc", "text", slot.alias("slot")).mapInArrow(_sets(_bitmap(members)), "doc long, grams binary")
+    sets = keep(sets.where("doc is not null"), "sets")
+    if repeats:
+        sets = sets.dropDuplicates(["doc"])
     return keep(members.join(sets, "doc").groupBy("group").applyInArrow(_join_group, "u long, v long"), "links")
 
 
@@ -313,7 +371,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = met.groupBy("k", "who").agg(F.min(F.struct("j", "sign")).alias("g")).select("k", "g.j", "g.sign")
     block = F.pmod(F.xxhash64("doc", "j"), F.ceil(F.col("k") / BLOCK))
     members = signed.join(met, ["j", "sign"]).select(F.xxhash64("j", "sign", block).alias("group"), "doc", F.col("doc").alias("family"))
-    links = _linked(docs, members)
+    repeats = _repeats(rows)
+    links = _linked(docs, members, repeats)
     family = keep(components(links), "family")
 
     # Round two: posting lists across families.
@@ -321,8 +380,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = int(max(64, min(n_docs // 1000, 1 << 20)))
     known = firsts.select(F.col("first").alias("doc")).join(family.withColumnRenamed("node", "doc"), "doc", "left")
     known = known.select("doc", F.coalesce("component", "doc").alias("family"))
-    posts = docs.join(known, "doc").dropDuplicates(["doc"]) if _repeats(rows) else docs.join(known, "doc")
-    lists = posts.mapInArrow(_post(counts, buckets), "bucket int, rows binary").groupBy("bucket").applyInArrow(_lists, "a long, n long, b long, m long, shared long, gram long")
+    prefixes = docs.where("doc is not null").mapInArrow(_prefixes(counts), "doc long, n long, grams binary")
+    posts = (prefixes.dropDuplicates(["doc"]) if repeats else prefixes).join(known, "doc")
+    lists = posts.mapInArrow(_post(buckets), "bucket int, rows binary").groupBy("bucket").applyInArrow(_lists, "a long, n long, b long, m long, shared long, gram long")
     lists = keep(lists, "lists")
     long_lists = lists.where("gram is not null").select("gram", F.col("a").alias("doc"), "n")
     per_doc = long_lists.groupBy("doc").agg(F.count(F.lit(1)).alias("more"))
@@ -332,14 +392,23 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = F.greatest(*(F.expr(f"({NUM} * {n} + {DEN - 1}) div {DEN} - 1") for n in ("n", "m")))
     most = F.col("shared") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0))) + rest
     pairs = pairs.where((NUM + DEN) * most >= NUM * (F.col("n") + F.col("m")))
-    pairs = pairs.select(F.xxhash64("a", "b").alias("group"), F.explode(F.array("a", "b")).alias("doc"))
+    # Documents that candidates connect make a group, so a set goes there once; those of a larger
+    # component go, a block of partners at a time, to groups around one document.
+    pairs = keep(pairs.select("a", "b"), "pairs")
+    near = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "doc")
+    near = keep(near.join(near.groupBy("component").agg(F.count(F.lit(1)).alias("k")), "component"), "near")
+    small = near.where(F.col("k") <= 2 * BLOCK).select(F.xxhash64("component", F.lit("candidates")).alias("group"), "doc")
+    large = pairs.join(near.where(F.col("k") > 2 * BLOCK).select(F.col("doc").alias("a")), "a")
+    large = large.join(large.groupBy("a").agg(F.count(F.lit(1)).alias("k")), "a")
+    around = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / (2 * BLOCK))))
+    pairs = small.unionByName(large.select(around.alias("group"), F.explode(F.array("a", "b")).alias("doc")).distinct())
     wide = long_lists.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who"))
     wide = wide.groupBy("k", "who").agg(F.min("gram").alias("gram"))
     wide = long_lists.join(wide.select("gram", F.ceil(F.col("k") / BLOCK).alias("blocks")), "gram").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks"))
     wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     wide = wide.select(F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "doc")
     members = pairs.unionByName(wide).join(known, "doc").select("group", "doc", "family")
-    late = _linked(docs, members)
+    late = _linked(docs, members, repeats)
 
     found = components(equal.unionByName(links).unionByName(late))
     out = rows.select("doc", "n").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left")
