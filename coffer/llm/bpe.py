@@ -15,15 +15,17 @@ import hashlib
 import ahocorasick
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles  # noqa: F401  (rank files may be shipped with addFile)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import release
 from .workspace import ship
 
-#: Entries of the caches of a worker; beyond, a cache starts anew.
-CACHE = 250_000
+#: Entries of the two halves of a worker's cache: a full half becomes the older one, and what is
+#: still in use moves to the new one. The memo of pairs starts anew when it is full.
+CACHE = 300_000
 PAIRS = 1_000_000
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Longer pieces of text aren't kept in the cache.
 CACHED_LENGTH = 48
 
@@ -38,6 +40,9 @@ class Encoder:
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
         self.find = regex.compile(pattern).findall
+        # Whether a blank and letters are one match and a mark behind them another, as in the
+        # patterns of the GPT-2 family.
+        self.by_kind = r" ?\p{L}+" in pattern and r" ?[^\s\p{L}\p{N}]+" in pattern
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for token in ranks:
             self.automaton.add_word(token.decode("latin-1"))
@@ -46,6 +51,8 @@ class Encoder:
         self._shorter: dict[bytes, int] = {}
         self._whole: dict[bytes, bool] = {}
         self._pieces: dict[str, tuple[int, str, bytes]] = {}
+        self._older: dict[str, tuple[int, str, bytes]] = {}
+        self._marks: dict[str, tuple[int, str, bytes]] = {}
 
     def merged(self, raw: bytes) -> list[bytes]:
         """The merges by rank, one at a time: the pair of lowest rank first, the leftmost of equal
@@ -91,59 +98,101 @@ class Encoder:
             if length > longest[end - length + 1]:
                 longest[end - length + 1] = length
         out: list[bytes] = []
-        dead = bytearray(n + 1)
-        at, length = 0, longest[0]
-        compatible, pairs = self._compatible, self._pairs
+        dead = None  # places that are come to in vain; mostly there are none
+        at, length, last = 0, longest[0], None
+        compatible, pairs, whole = self._compatible, self._pairs, self._whole
         while True:
-            token = raw[at : at + length]
             end = at + length
-            if not dead[end] and self._reached(token) and (not out or pairs.get((out[-1], token)) or compatible(out[-1], token)):
-                out.append(token)
-                if end == n:
-                    return out
-                at, length = end, longest[end]
-                continue
+            token = raw[at:end]
+            if dead is None or not dead[end]:
+                reached = whole.get(token)
+                if reached is None:
+                    reached = self._reached(token)
+                if reached:
+                    fits = True if last is None else pairs.get((last, token))
+                    if fits is None:
+                        fits = compatible(last, token)
+                    if fits:
+                        out.append(token)
+                        if end == n:
+                            return out
+                        at, length, last = end, longest[end], token
+                        continue
             length = self._less(token)
             while not length:
                 if not out:
                     raise ValueError("the ranks lack a single byte of the text")
+                if dead is None:
+                    dead = bytearray(n + 1)
                 dead[at] = 1
                 token = out.pop()
                 at -= len(token)
+                last = out[-1] if out else None
                 length = self._less(token)
 
+    def _told(self, found: list[bytes]) -> tuple[int, str, bytes]:
+        ids = [self.ranks[t] for t in found]
+        return len(ids), ",".join(map(str, ids)), b"".join([self.tokens[i] for i in ids])
+
     def _piece(self, text: str) -> tuple[int, str, bytes]:
         found = []
         for match in self.find(text):
             found += self.split(match.encode())
-        ids = [self.ranks[t] for t in found]
-        return len(ids), ",".join(map(str, ids)), b"".join([self.tokens[i] for i in ids])
+        return self._told(found)
+
+    def _keep(self, part: str, known: tuple[int, str, bytes]) -> None:
+        if len(part) <= CACHED_LENGTH:
+            if len(self._pieces) >= CACHE:
+                self._older, self._pieces = self._pieces, {}
+            self._pieces[part] = known
+
+    def _word(self, part: str) -> tuple[int, str, bytes]:
+        """A blank and a part of letters alone: one match of a pattern of such parts."""
+        known = self._pieces.get(part)
+        if known is None:
+            known = self._older.get(part) or self._told(self.split(b" " + part.encode()))
+            self._keep(part, known)
+        return known
+
+    def _part(self, part: str) -> tuple[int, str, bytes]:
+        """A blank and a part without white space at its ends."""
+        known = self._older.get(part)
+        if known is None:
+            if self.by_kind and part.isalpha():
+                return self._word(part)
+            if self.by_kind and part[-1] in MARKS and part[:-1].isalpha():
+                word, mark = self._word(part[:-1]), self._marks.get(part[-1])
+                if mark is None:
+                    mark = self._marks[part[-1]] = self._piece(part[-1])
+                known = word[0] + mark[0], f"{word[1]},{mark[1]}", word[2] + mark[2]
+            else:
+                known = self._piece(" " + part)
+        self._keep(part, known)
+        return known
 
     def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
         """Number of ids, ids and decoded bytes of parts of text. Parts end before a single blank
         between two other characters, which no match of a pattern crosses whose matches have white
         space only at their start or throughout."""
         parts = text.split(" ")
-        cache = self._pieces
-        if len(cache) > CACHE:
-            cache.clear()
-        out = list(map(cache.get, parts[1:]))
-        if None in out or not parts[0] or parts[0][-1].isspace():
-            for i, known in enumerate(out):
-                if known is None:
-                    part = parts[i + 1]
-                    if not part or part[0].isspace() or part[-1].isspace():
-                        return self._glued(parts)
-                    known = cache.get(part) or self._piece(" " + part)
-                    if len(part) <= CACHED_LENGTH:
-                        cache[part] = known
-                    out[i] = known
-            if out and (not parts[0] or parts[0][-1].isspace()):
-                return self._glued(parts)
-        return [self._piece(parts[0]), *out] if parts[0] else out
+        first = parts[0]
+        if len(parts) > 1 and (not first or first[-1].isspace()):
+            return self._glued(parts)
+        out = list(map(self._pieces.get, parts))
+        i = 0
+        out[0] = self._piece(first) if first else (0, "", b"")
+        try:
+            while True:
+                i = out.index(None, i)
+                part = parts[i]
+                if not part or part[0].isspace() or part[-1].isspace():
+                    return self._glued(parts)
+                out[i] = self._part(part)
+        except ValueError:
+            return out if first else out[1:]
 
     def _glued(self, parts: list[str]) -> list[tuple[int, str, bytes]]:
-        cache, out, part = self._pieces, [], [parts[0]]
+        out, part = [], [parts[0]]
         last = parts[0][-1:]
         for p in parts[1:]:
             if last and p and not last.isspace() and not p[0].isspace():
@@ -155,11 +204,17 @@ class Encoder:
         out.append("".join(part))
         got = []
         for text in out:
-            known = cache.get(text[1:]) if text[:1] == " " and text[1:2] and not text[1].isspace() else None
-            if text:
-                got.append(known or self._piece(text))
+            if text[:1] == " " and text[1:] and not text[1].isspace() and not text[-1].isspace():
+                got.append(self._pieces.get(text[1:]) or self._part(text[1:]))
+            elif text:
+                got.append(self._piece(text))
         return got
 
+    def forget(self) -> None:
+        """Drop the cached pieces, which take the most memory; the memo of pairs stays."""
+        self._pieces, self._older = {}, {}
+        release()
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for _, ids, _ in self.pieces(text) for i in ids.split(",")]
 
@@ -190,6 +245,7 @@ def _digest(path: str, pattern: str):
                     ids.append(hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest())
                     decoded.append(hashlib.sha256(b"".join([x[2] for x in found])).hexdigest())
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     return run
 
@@ -201,6 +257,7 @@ def _encode(path: str, pattern: str):
             for b in (batch.slice(i, 500) for i in range(0, len(batch), 500)):
                 ids = [own.encode(t) if t else [] for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
+        own.forget()
 
     return run
 
