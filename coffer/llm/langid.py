@@ -9,6 +9,7 @@ sample of labelled rows; every text is scored whole.
 from __future__ import annotations
 
 import re
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, mix, powers, slices
+from .words import Words, mix, powers, release, slices
 from .workspace import ship
 
 #: Labelled rows of each language that the model is fitted to, about; chosen by a hash of the id.
@@ -219,6 +220,8 @@ def _predict(path: str, languages: list[str], prob: np.ndarray):
                         k = int(np.argmax(own))
                         best[i], score[i] = languages[k], share[k] / share.sum()
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(best, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
+        del known, scores
+        release()
 
     return run
 
@@ -258,11 +261,21 @@ def drop_unknown(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = pa.RecordBatch.from_arrays([pa.array(range(len(batch)), pa.int64()), batch.column(at)], names=["id", "text"])
-            keep = pa.concat_arrays([b.column(1) for b in score([rows])])
-            yield batch.filter(pa.array([x != "und" for x in keep.to_pylist()]))
+        # One pass of the model over all batches, whose rows it gives in their order.
+        waiting = deque()
+
+        def texts():
+            for batch in batches:
+                if len(batch):
+                    waiting.append(batch)
+                    yield pa.RecordBatch.from_arrays([pa.array(range(len(batch)), pa.int64()), batch.column(at)], names=["id", "text"])
+
+        keep = []
+        for b in score(texts()):
+            keep += [x != "und" for x in b.column(1).to_pylist()]
+            while waiting and len(keep) >= len(waiting[0]):
+                batch = waiting.popleft()
+                yield batch.filter(pa.array(keep[: len(batch)]))
+                del keep[: len(batch)]
 
     return docs.mapInArrow(run, docs.schema)

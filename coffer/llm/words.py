@@ -7,6 +7,9 @@ UTF-8 character is one of the six. Null texts have no words.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,6 +20,17 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
+def release() -> None:
+    """Give memory that is free back to the system, at the end of a task: a worker that waits for
+    its next one then takes little beside the others of its executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(33))
