@@ -569,3 +569,20 @@ def test_windows_score_each_id_once():
             targets = s.windows(np.array([d]), np.array([w]))[0, lm.CONTEXT + 1 :]
             seen += [t for t in targets if t != subwords.pad]
     assert seen == s.ids.tolist() and s.n_windows.min() == 1
+
+
+def test_lm_trains_on_every_window():
+    subwords = lm.Subwords(PIECES)
+    v = vocabulary(4)
+    r = random.Random(4)
+    rows = ["one two", None, "", " ".join(r.choice(v) for _ in range(90_000)), " ".join(r.choice(v) for _ in range(700))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows)], names=["key", "text"])
+    gathered = [b.column("windows").drop_null() for b in lm._gather(PIECES)([batch])]
+    lines = pa.RecordBatch.from_arrays([pa.concat_arrays(gathered)], names=["windows"])
+    got = np.concatenate(list(lm._windows(lines)))
+    s = lm.Stream(batch.column(1), subwords)
+    doc = np.repeat(np.arange(len(rows)), s.n_windows)
+    number = np.concatenate([np.arange(n) for n in s.n_windows])
+    assert s.n_windows.max() > lm.READ and (got == s.windows(doc, number)).all()
+    targets = got[:, lm.CONTEXT + 1 :]
+    assert (targets[targets != subwords.pad] == s.ids).all()
