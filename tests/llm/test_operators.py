@@ -586,3 +586,22 @@ def test_lm_trains_on_every_window():
     assert s.n_windows.max() > lm.READ and (got == s.windows(doc, number)).all()
     targets = got[:, lm.CONTEXT + 1 :]
     assert (targets[targets != subwords.pad] == s.ids).all()
+
+
+@pytest.mark.parametrize("frequent", [0, 7])
+def test_lm_scores_do_not_depend_on_what_is_at_hand(spark, monkeypatch, frequent):
+    r = random.Random(5)
+    v = vocabulary(5, 40)
+    rows = [(i, " ".join(r.choice(v) for _ in range(r.randint(1, 60)))) for i in range(30)] + [(100, "unseen " * 20), (None, "a"), (None, "a"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    subwords = lm.Subwords(PIECES)
+    model = lm.Model(subwords.size, subwords.start, subwords.pad)
+    model.normalise(np.zeros((model.size, lm.EXPERTS)))
+    monkeypatch.setattr(lm, "fit", lambda windows, path: model)
+    key = lambda x: (x.doc_id is None, x.doc_id or 0, x.score)
+    whole = sorted(lm.score_texts(df, PIECES).collect(), key=key)
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    joined = sorted(lm.score_texts(df, PIECES).collect(), key=key)
+    assert len(whole) == len(joined) == len(rows)
+    for a, b in zip(whole, joined):
+        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9)
