@@ -39,6 +39,8 @@ PATTERNS = {
     "person": rf"\b(?:(?:{'|'.join(TITLES)})\.? (?:{_word} )?{_word}|(?:{_names}) {_word})\b",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Types whose entities have check digits, and what stands around an entity.
+CHECKED = {"iban": (r"\b", r"\b"), "card": (r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])")}
 #: Draws for an entity before what still collides is numbered.
 DRAWS = 8
 
@@ -87,6 +89,33 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, b: a + b)
 
 
+def _mod97(chars: Column) -> Column:
+    """The remainder of a number in which A is 10 and Z is 35."""
+    return F.aggregate(_chars(chars), F.lit(0), lambda a, c: F.pmod(F.when(c.rlike("[0-9]"), a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55), F.lit(97)))
+
+
+def _checked(text: Column) -> tuple[Column, Column]:
+    """Whether anything in the text has the form of an entity with check digits, and the pattern
+    in which of these forms only those of the text stand whose check digits are right."""
+    at_each = lambda kind: F.regexp_extract_all(text, F.lit(f"(?=({PATTERNS[kind]}))"), F.lit(1))
+    cards, ibans = at_each("card"), at_each("iban")
+    right = {"card": F.filter(F.array_distinct(cards), lambda c: F.pmod(_luhn(F.regexp_replace(c, "[^0-9]", "")), F.lit(10)) == 0)}
+    # Words after an IBAN can look like its last groups: all of its beginnings are tried, the
+    # longest first.
+    starts = F.flatten(F.transform(F.array_distinct(ibans), lambda c: F.transform(F.sequence(F.size(F.split(c, " ")), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(F.split(c, " "), F.lit(1), n), " "))))
+    plain = lambda c: F.regexp_replace(c, " ", "")
+    right["iban"] = F.filter(F.array_distinct(starts), lambda c: c.rlike(f"^(?:{PATTERNS['iban']})$") & (_mod97(F.concat(F.substring(plain(c), 5, 99), F.substring(plain(c), 1, 4))) == 1))
+    pattern = []
+    for name, general in PATTERNS.items():
+        if name in CHECKED:
+            before, after = CHECKED[name]
+            longest = F.reverse(F.array_sort(F.transform(right[name], lambda c: F.struct(F.length(c).alias("n"), c.alias("c")))))
+            pattern.append(F.when(F.size(right[name]) > 0, F.concat(F.lit(f"(?:{before}(?:"), F.array_join(F.transform(longest, lambda x: x["c"]), "|"), F.lit(f"){after})"))).otherwise(F.lit("(?!)")))
+        else:
+            pattern.append(F.lit(f"(?:{general})"))
+    return (F.size(cards) + F.size(ibans)) > 0, F.concat_ws("|", *pattern)
+
+
 def _surrogate(kind: Column, form: Column, key: str, attempt: Column) -> Column:
     """The canonical surrogate of a canonical form."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, form, attempt.cast("string")), 256)
@@ -96,7 +125,9 @@ def _surrogate(kind: Column, form: Column, key: str, attempt: Column) -> Column:
     body = F.concat(F.substring(form, 1, 1), F.expr("substring(_like, 2, length(_like) - 2)"))
     card = F.concat(body, F.pmod(_luhn(form) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
     octets = F.array_join(F.transform(F.split(form, r"\."), lambda o, i: (F.pmod(_draw(seed, i), F.lit(254)) + 1).cast("string")), ".")
-    return like, F.when(kind == "card", card).when(kind == "ip", octets).otherwise(F.col("_like"))
+    rest = F.expr("substring(_like, 3)")
+    iban = F.concat(F.lpad((98 - _mod97(F.concat(rest, F.col("tail"), F.lit("00")))).cast("string"), 2, "0"), rest)
+    return like, F.when(kind == "card", card).when(kind == "ip", octets).when(kind == "iban", iban).otherwise(F.col("_like"))
 
 
 def _kind(entity: Column) -> Column:
@@ -214,7 +245,10 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     docs = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     has = _has(F.col("text"))
     print_of = F.struct("id", F.xxhash64("text"), F.octet_length("text"))
-    private = keep(docs.where(has).select("id", "text", print_of.alias("row"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("hits")), "private")
+    shaped, own = _checked(F.col("text"))
+    private = docs.where(has).withColumn("pattern", F.when(shaped, own).otherwise(F.lit(PATTERN)))
+    private = keep(private.select("id", "text", "pattern", print_of.alias("row"), F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("hits")), "private")
+    none, private = private.where(F.size("hits") == 0).select("id", "text"), private.where(F.size("hits") > 0)
     found = keep(private.select("row", F.explode(F.array_distinct("hits")).alias("entity")).distinct(), "entities")
 
     # Distinct entities, how many rows have them, and their parts.
@@ -236,9 +270,9 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     by_row = join_unique(found, table, "entity", "n", total, "inner").groupBy("row").agg(F.collect_set(F.struct("entity", "kind", "written")).alias("found"))
     changed = private.join(by_row, "row")
     lookup = F.map_from_entries(F.transform("found", lambda x: F.struct(x["entity"], x["written"])))
-    between = F.split("text", PATTERN, -1)
+    between = F.split(F.col("text"), F.col("pattern"), F.lit(-1))
     new = F.array_join(F.transform(F.arrays_zip(F.col("between"), F.col("hits")), lambda x: F.concat(x["between"], F.coalesce(F.element_at(F.col("lookup"), x["hits"]), F.lit("")))), "")
     changed = changed.select("id", between.alias("between"), "hits", lookup.alias("lookup"), "found")
     changed = changed.select(F.col("id").alias(id_col), new.alias("text"), F.size("hits").cast("long").alias("n_entities"), F.array_sort(F.array_distinct(F.transform("found", lambda x: x["kind"]))).alias("kinds"))
-    same = docs.where(~has).select(F.col("id").alias(id_col), "text", F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
+    same = docs.where(~has).select("id", "text").unionByName(none).select(F.col("id").alias(id_col), "text", F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
     return same.unionByName(changed)

@@ -503,6 +503,23 @@ def test_pii_surrogates_are_distinct(spark):
     assert not any((r.kind, r.to) in known for r in rows)
 
 
+def test_pii_check_digits(spark):
+    rows = [
+        (1, "order 4111111111111112 or 5111 4111 1111 1113"), (2, "code GB82WEST12345698765433 only"),
+        (3, "wrong 4111111111111112, right 4111 1111 1111 1111"), (4, "5111 4111 1111 1111 1111 holds one"),
+        (5, "to DE89 3704 0044 0532 0130 00 USA THIS"),
+    ]
+    got = collected(pii.replace_private(spark.createDataFrame(rows, "doc_id long, text string"), "key"))
+    for i in (1, 2):
+        assert got[i].text == rows[i - 1][1] and got[i].n_entities == 0 and got[i].kinds == []
+    assert got[3].text.startswith("wrong 4111111111111112, right 4") and "4111 1111 1111 1111" not in got[3].text and got[3].kinds == ["card"]
+    assert got[4].text.startswith("5111 4") and "4111 1111 1111 1111" not in got[4].text and got[4].n_entities == 1
+    words_ = got[5].text.split()
+    assert words_[-2:] == ["USA", "THIS"] and "3704" not in words_ and got[5].kinds == ["iban"]
+    iban = "".join(words_[1:-2])
+    assert len(iban) == 22 and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
 # Language model
 
 
