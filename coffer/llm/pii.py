@@ -45,7 +45,15 @@ CHECKED = {"iban": (r"\b", r"\b"), "card": (r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z
 DRAWS = 8
 
 # Vowels and consonants of a script, each drawn for its like.
-_CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "äöü", "àâáéèêëíîïóôòúùû", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"]
+_CLASSES = [
+    "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "äöü", "àâáéèêëíîïóôòúùû", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ",
+    "ãåæõøœāăąēėęěīįōőūůűųýÿ", "çćčďđðğģķłļľñńņňřśşšșťțþźżžß", "ёєіїѐѝ", "йъьґђѓќћљњџўјѕ",
+    "αεηιουω", "άέήίόύώϊϋΐΰ", "βγδζθκλμνξπρσςτφχψ", "աեէըիոօ", "բգդզթժլխծկհձղճմյնշչպջռսվտրցւփքֆև",
+    "აეიოუ", "ბგდვზთკლმნპჟრსტფქღყშჩცძწჭხჯჰ",
+]
+#: Letters of no class, and longer forms, are drawn from consonants: of the script, else of Latin.
+_CONSONANTS = {"Cyrillic": "бвгджзклмнпрстфх", "Greek": "βγδζθκλμνξπρστφχ", "Armenian": "բգդզթժլխծկհձղճմն", "Georgian": "ბგდვზთკლმნპჟრსტფ"}
+_LATIN = "bcdfghjklmnpqrst"
 _HEX = "0123456789abcdef"
 
 
@@ -74,8 +82,11 @@ def _like(c: Column, draw: Column, hexadecimal: Column) -> Column:
     for chars in _CLASSES:
         out = out.when(F.lit(chars).contains(c), pick(chars))
     for chars in _CLASSES[1:]:
-        out = out.when(F.lit(chars.upper()).contains(c), pick(chars.upper()))
-    return out.otherwise(c)
+        upper = "".join(x.upper() for x in chars if len(x.upper()) == 1)
+        out = out.when(F.lit(upper).contains(c), pick(upper))
+    for script, chars in _CONSONANTS.items():
+        out = out.when(c.rlike(rf"^(?=\p{{L}})\p{{Is{script}}}$"), pick(chars))
+    return out.when(c.rlike(r"^\p{Lu}$"), pick(_LATIN.upper())).when(c.rlike(r"^\p{L}$"), pick(_LATIN)).otherwise(c)
 
 
 def _chars(s: Column) -> Column:
@@ -189,9 +200,14 @@ def surrogates(parts: DataFrame, key: str) -> DataFrame:
         if attempt + 1 == DRAWS or clash.limit(1).count() == 0:
             break
         drawn = own.drop("to").join(clash, ["kind", "form", "tail"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(False)).cast("int")).drop("again")
-    # Too few of the form are left, as for names of two letters: what still collides is made
-    # longer by a print of its own.
-    longer = F.concat("to", F.translate(F.substring(F.sha2(F.concat_ws("|", F.lit(key), "kind", "form", "tail"), 256), 1, 12), _HEX, "bcdfghjklmnpqrst"))
+    # Too few of the form are left, as for names of two letters: what still collides gives way to
+    # a print of its own, as it may be the form itself or another one that occurs.
+    print_of = F.substring(F.sha2(F.concat_ws("|", F.lit(key), "kind", "form", "tail"), 256), 1, 12)
+    letters = None
+    for script, chars in _CONSONANTS.items():
+        test, own_print = F.col("form").rlike(rf"\p{{Is{script}}}"), F.translate(print_of, _HEX, chars)
+        letters = F.when(test, own_print) if letters is None else letters.when(test, own_print)
+    longer = letters.otherwise(F.translate(print_of, _HEX, _LATIN))
     digits = F.concat("to", F.translate(F.substring(F.sha2(F.concat_ws("|", F.lit(key), "kind", "form", "tail"), 256), 1, 12), "abcdef", "012345"))
     return own.join(clash, ["kind", "form", "tail"], "left").select("kind", "form", "tail", F.when(~F.coalesce("again", F.lit(False)), F.col("to")).when(F.col("kind").isin("card", "ssn", "phone"), digits).otherwise(longer).alias("to"))
 

@@ -520,6 +520,19 @@ def test_pii_check_digits(spark):
     assert len(iban) == 22 and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def test_pii_keeps_no_letters_of_any_script(spark):
+    names = ["παπαδόπουλος", "սարգսյան", "ñßçłåø", "йёъь", "ⲁⲃⲅⲇ", "ქართველი", "ñ", "ς"]
+    parts = spark.createDataFrame([("name", n, "") for n in names] + [("secret", "........", "")], "kind string, form string, tail string")
+    to = {r.form: r.to for r in pii.surrogates(parts, "key").collect()}
+    for n in names:
+        same = sum(a == b for a, b in zip(n, to[n]))
+        assert n not in to[n] and same <= len(n) // 2, (n, to[n])
+    assert "........" not in to["........"]
+    text = "met Dr Παπαδόπουλος today"
+    got = collected(pii.replace_private(spark.createDataFrame([(1, text)], "doc_id long, text string"), "key"))[1]
+    assert got.kinds == ["person"] and "Παπαδόπουλος" not in got.text and len(got.text) == len(text)
+
+
 # Language model
 
 
