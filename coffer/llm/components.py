@@ -36,27 +36,54 @@ class Forest:
         return True
 
 
+#: Links that one task may get: what it holds of them takes some 60 bytes each.
+ONE = 1 << 22
+
+
+def smallest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links u - v in order, and the smallest that each reaches."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    up = np.arange(len(nodes))
+    a, b = place[: len(u)], place[len(u) :]
+    while True:
+        a, b = up[a], up[b]
+        a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+        if not len(a):
+            return nodes, nodes[up]
+        np.minimum.at(up, b, a)
+        while True:  # until every node points to a root
+            above = up[up]
+            if (above == up).all():
+                break
+            up = above
+
+
 def _contract(batches):
-    """The links of a partition as stars: at most one link for each node that it has. A full
-    forest is let go, as stars of parts are as good as stars of the whole."""
-    forest = Forest()
+    """The links of a partition as stars: at most one link for each node that it has. What exceeds
+    ONE links is let go, as stars of parts are as good as stars of the whole."""
+    waiting, n = [], 0
 
     def stars():
-        nodes = list(forest.up)
-        roots = [forest.find(x) for x in nodes]
-        u, v = np.array(nodes, np.int64), np.array(roots, np.int64)
+        u, v = smallest(*(np.concatenate(x) for x in zip(*waiting)))
         return pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
 
     for b in batches:
-        for a, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            forest.union(a, c)
-        if len(forest.up) > 1_000_000:
+        waiting.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        n += len(b)
+        if n > ONE:
             yield stars()
-            forest = Forest()
-    if forest.up:
+            waiting, n = [], 0
+    if n:
         yield stars()
 
 
+def _nodes(batches):
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if parts:
+        node, least = smallest(*(np.concatenate(x) for x in zip(*parts)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(least)], names=["node", "component"])
+
+
 def _star(links: DataFrame, both: bool) -> DataFrame:
     """Large-star (both) or small-star: every node's larger (smaller) neighbours and itself are
     hung below the smallest of its neighbours and itself."""
@@ -76,15 +103,18 @@ def _star(links: DataFrame, both: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each linked node reaches, for links (u, v) of
-    longs; nodes without a link have no row. Alternates large-star and small-star rounds until
-    nothing changes, each round read from the shared folder."""
+    longs; nodes without a link have no row. Every partition replaces its links by stars. Up to
+    ONE links are then joined in one task; more than that alternate large-star and small-star
+    rounds until nothing changes, each round read from the shared folder."""
     links = keep(links.where("u <> v").select("u", "v").mapInArrow(_contract, "u long, v long"), "links")
+    if links.count() <= ONE:
+        return links.coalesce(1).mapInArrow(_nodes, "node long, component long")
     before = None
     while True:
         large = keep(_star(links, True), "large")
         links = keep(_star(large, False), "small")
         now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
+        if now == before:
             break
         before = now
     out = links.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -1,39 +1,52 @@
 """N-gram Jaccard join: groups of documents that share most of their word shingles.
 
 Documents that may be similar meet in bounded groups, and each group is joined in a trie of its
-n-gram sets (link_group). Two rounds of groups make the join exact:
-
-1. Families. Documents that share one of four min-hashes; a group of any size is dealt into
+n-gram sets (link_group). All n-grams stand in one global order, that of their hashes, until rarer
+ones are known. What the steps rest on: if two sets of n and m n-grams have at least t in common,
+their first n - t + l and m - t + l in any one order have at least l in common.
+
+1. One pass over all texts posts every document's first n-grams, half of them and a few, by ranges
+   of the hash, and counts how many of them another document has too. Who has too few is similar
+   to nothing; only the others' sets are kept from here on, of equal sets one.
+2. Families: documents that share one of four min-hashes; a group of any size is dealt into
    blocks, each min-hash deals it anew. This joins nearly all links, with no claim to all.
-2. The rest. Every document is posted under its prefix: the n - ceil(t * n) + 1 n-grams that come
-   first in one order for all documents (rare before common, by a count sketch of fixed size over
-   all documents). Two similar documents share an n-gram of their prefixes, so each link between
-   families known from round one shows up in a posting list; lists within a family are dropped.
-   Pairs whose prefixes share too few n-grams for the lengths can't be similar. What is left is
-   joined in tries; a list beyond BLOCK documents is dealt into blocks and each two blocks meet.
+3. The rest. Over all n-grams of what is left it is counted how many documents have each, and
+   noted whether they are of one family. A document with too few n-grams that another family has
+   is done. The others are posted under their rarest n-grams; lists within a family are dropped,
+   and pairs whose prefixes share too few n-grams for the lengths. What remains is joined in
+   tries; a list beyond BLOCK documents is dealt into blocks and each two blocks meet.
+
+An n-gram that very many documents have takes one entry for each chunk of documents in steps 1
+and 3, so no task gets all of its documents.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, components
 from .words import mix, shingles, slices
-from .workspace import keep, ship
+from .workspace import join_unique, keep, ship
 
 SIZE = 5
 NUM, DEN = 75, 100
-#: Counters of the sketch, its parts, and documents of a block of a group.
-SLOTS, PARTS, BLOCK = 1 << 20, 16, 512
+#: Documents of a block of a group.
+BLOCK = 512
 #: Posting lists up to here are joined pair by pair, at most SHORT ** 2 / 2 of them.
 SHORT = 64
+#: N-grams of a chunk of documents, about, and of a bucket of the n-grams' order.
+CHUNK, BUCKET = 1_000_000, 2_000_000
+#: Bits of the filter that spares most texts the shingling of step 2.
+BITS = 1 << 23
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+#: In place of a document of a chunk: several have the n-gram. In place of a family: several have it.
+_SEVERAL, _FAMILIES = 0xFFFF, -(1 << 63)
 
 
 def needed(n: int, m: int) -> int:
@@ -41,8 +54,18 @@ def needed(n: int, m: int) -> int:
     return -(-NUM * (n + m) // (NUM + DEN))
 
 
+def least(n):
+    """The least intersection of a set of n with any set that it is similar to."""
+    return (NUM * n + DEN - 1) // DEN
+
+
 def prefix_length(n):
-    return n - (NUM * n + DEN - 1) // DEN + 1
+    return n - least(n) + 1
+
+
+def extra(n):
+    """How many n-grams more step 1 posts, and counts on."""
+    return n // 4
 
 
 class _Node:
@@ -139,128 +162,316 @@ def _ids(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _describe(batches):
-    """A row for each document: size, 128-bit print of its set and min-hashes; then the counters
-    of the partition. Counters that differ from zero are few in small partitions, so they are
-    packed."""
-    counters = np.zeros(SLOTS, np.int64)
-    for batch in batches:
-        for b in slices(batch, 1):
-            grams, at = shingles(b.column(1), SIZE)
-            n, full = np.diff(at), np.flatnonzero(np.diff(at))
-            counters += np.bincount((grams >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
-            prints = np.zeros((2, len(b)), np.uint64)
-            least = np.zeros((len(b), len(_SEEDS)), np.uint64)
-            if len(full):
-                starts = at[:-1][full]
-                prints[0, full] = np.add.reduceat(mix(grams ^ _SEEDS[0]), starts)
-                prints[1, full] = np.bitwise_xor.reduceat(mix(grams ^ _SEEDS[1]), starts)
-                for j, seed in enumerate(_SEEDS):
-                    least[full, j] = mix(np.minimum.reduceat(mix(grams * seed), starts) + np.uint64(j))
-            signs = pa.ListArray.from_arrays(np.arange(0, len(b) * len(_SEEDS) + 1, len(_SEEDS), dtype=np.int32), least.reshape(-1).view(np.int64))
-            nulls = pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), signs, *nulls], names=_DESCRIBED)
-    if counters.any():
-        for k, part in enumerate(counters.reshape(PARTS, -1)):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.list_(pa.int64())), pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names=_DESCRIBED)
+def _binary(parts) -> pa.Array:
+    return pa.array([x if isinstance(x, bytes) else x.tobytes() for x in parts], pa.binary())
 
 
-_DESCRIBED = ["doc", "n", "print0", "print1", "signs", "part", "counters"]
+def _pack(raw: bytes) -> bytes:
+    return zstandard.compress(raw, 1)
 
 
-def _add_counters(batches):
-    total = {}
-    for b in batches:
-        for k, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(packed), np.int64)
-    for k, part in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names=["part", "counters"])
-
-
-def _sketch(described: DataFrame) -> np.ndarray:
-    """The sum of all partitions' counters, added up in three levels of tasks; SLOTS numbers."""
-    parts = described.where("part is not null").select("part", "counters")
-    tasks = parts.rdd.getNumPartitions()
-    while tasks > 4:
-        tasks = max(tasks // 8, 1)
-        parts = keep(parts.repartition(max(tasks, 4), F.col("part"), F.pmod(F.xxhash64("counters"), F.lit(max(tasks // PARTS, 1)))).mapInArrow(_add_counters, "part int, counters binary"), "sketch")
-    out = np.zeros((PARTS, SLOTS // PARTS), np.int64)
-    for row in parts.toLocalIterator():
-        out[row.part] += np.frombuffer(zlib.decompress(row.counters), np.int64)
-    return out.reshape(-1)
+def _unpack(raw: bytes) -> bytes:
+    return zstandard.decompress(raw)
+
+
+def _six(keys: np.ndarray) -> np.ndarray:
+    """48 bits of keys by planes of a byte; those of keys in order mostly pack well. Keys that
+    agree in them but not in all count as shared in vain, no more."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].T)
+
+
+def _of_six(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
+    return out.view("<u8").reshape(-1)
 
 
-def _prefixes(counts: np.ndarray):
-    """Size and prefix of each document's set, six bytes of an n-gram."""
-    # What stands out from the chance sums of a counter is common and goes behind, the more common
-    # the later; hashes order the rest.
-    unit = 4 * np.sqrt(counts.mean()) + 4
-    level = np.ceil(np.log2(np.maximum((counts - counts.mean()) / unit, 1))).astype(np.uint8)
-    level += counts - counts.mean() > unit
+def _order(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of n-grams (a bijection's, so that prefixes by n-gram fall on all of them alike) in
+    order, where they come from, starts of equal ones, and for these the bucket."""
+    key = mix(grams) & ~np.uint64(0xFFFF)
+    order = np.argsort(key)
+    key = key[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    bucket = ((key[start] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return key, order, start, bucket
+
+
+def _cuts(bucket: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
+
+
+# Step 1: who has enough n-grams that others have?
+
+_POSTS = "bucket int, chunk binary, packed binary, docs binary"
+
+
+def _post(buckets: int):
+    """Chunks of documents: a row that describes its documents, and a piece of their first n-grams
+    for each bucket."""
+    def chunk(parts):
+        docs, n, one, two, grams, sizes = (np.concatenate(x) for x in zip(*parts))
+        name = xxhash.xxh3_128_digest(b"".join(x.tobytes() for x in (docs, n, one, two)))
+        key, order, start, bucket = _order(grams, buckets)
+        owner = np.repeat(np.arange(len(docs)), sizes)[order]
+        many = np.diff(np.r_[start, len(key)]) > 1
+        # What several documents of a chunk have is known to be shared by them.
+        alone = start[~many]
+        among = np.ones(len(key), bool)
+        among[alone] = False
+        local = np.bincount(owner[among], minlength=len(docs))
+        who = np.where(many, _SEVERAL, owner[start]).astype(np.uint16)
+        key, cut = key[start], _cuts(bucket)
+        pieces = [_pack(_six(key[a:z]).tobytes() + who[a:z].tobytes()) for a, z in zip(cut[:-1], cut[1:])]
+        about = np.array([docs, n, one.view(np.int64), two.view(np.int64), local])
+        at = int.from_bytes(name[:4], "little") % buckets
+        none = len(pieces)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.r_[bucket[cut[:-1]], at].astype(np.int32)), pa.array([name] * (none + 1), pa.binary()),
+            pa.array([*pieces, None], pa.binary()), pa.array([None] * none + [about.tobytes()], pa.binary()),
+        ], names=["bucket", "chunk", "packed", "docs"])
 
     def run(batches):
+        waiting, size, docs = [], 0, 0
         for batch in batches:
             for b in slices(batch, "text"):
                 grams, at = shingles(b.column("text"), SIZE)
-                out = []
-                for start, end in zip(at[:-1].tolist(), at[1:].tolist()):
-                    own, p = grams[start:end], prefix_length(end - start)
-                    how = level[(own >> np.uint64(44)).astype(np.int64)]
-                    if how[:p].any():
-                        own = own[np.argsort(how, kind="stable")]
-                    out.append(_six(own[:p]))
-                yield pa.RecordBatch.from_arrays([b.column("doc").cast(pa.int64()), pa.array(np.diff(at)), pa.array(out, pa.binary())], names=["doc", "n", "grams"])
+                n = np.diff(at)
+                prints = np.zeros((2, len(b)), np.uint64)
+                full = np.flatnonzero(n)
+                if len(full):
+                    prints[0, full] = np.add.reduceat(mix(grams ^ _SEEDS[0]), at[:-1][full])
+                    prints[1, full] = np.bitwise_xor.reduceat(mix(grams ^ _SEEDS[1]), at[:-1][full])
+                p = np.where(n > 0, prefix_length(n) + extra(n), 0)
+                first = grams[np.arange(p.sum()) + np.repeat(at[:-1] - (np.cumsum(p) - p), p)]
+                for k in range(0, len(b), _SEVERAL):  # more documents have no number in a chunk
+                    of = slice(k, k + _SEVERAL)
+                    ends = np.r_[0, np.cumsum(p)]
+                    own = first[ends[k] : ends[min(k + _SEVERAL, len(b))]]
+                    if waiting and (size + len(own) > CHUNK or docs + len(n[of]) > _SEVERAL):
+                        yield chunk(waiting)
+                        waiting, size, docs = [], 0, 0
+                    waiting.append((_ids(b.column("doc"))[of], n[of], prints[0, of], prints[1, of], own, p[of]))
+                    size, docs = size + len(own), docs + len(n[of])
+        if waiting:
+            yield chunk(waiting)
 
     return run
 
 
-def _six(grams: np.ndarray) -> bytes:
-    """The low 48 bits. Those that agree in them but not in all are candidates in vain, no more."""
-    return np.ascontiguousarray(grams.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _shared(table: pa.Table) -> pa.Table:
+    """Of a bucket, for each piece how often each document of its chunk has an n-gram that another
+    chunk has too; descriptions of chunks pass through."""
+    about = table.filter(pc.is_valid(table.column("docs"))).select(["chunk", "docs"])
+    table = table.filter(pc.is_valid(table.column("packed")))
+    keys, owners = [], []
+    for raw in table.column("packed").to_pylist():
+        raw = _unpack(raw)
+        m = len(raw) // 8
+        keys.append(_of_six(raw[: 6 * m]))
+        owners.append(np.frombuffer(raw, np.uint16, m, 6 * m))
+    counts = []
+    if keys:
+        sizes = [len(k) for k in keys]
+        keys = np.concatenate(keys)
+        order = np.argsort(keys)
+        same = keys[order][1:] == keys[order][:-1]
+        shared = np.zeros(len(keys), bool)
+        shared[order] = np.r_[False, same] | np.r_[same, False]
+        for own, hit in zip(owners, np.split(shared, np.cumsum(sizes)[:-1])):
+            own = own[hit]
+            who, k = np.unique(own[own != _SEVERAL], return_counts=True)
+            counts.append(who.tobytes() + k.astype(np.uint32).tobytes())
+    return pa.table([
+        pa.concat_arrays([*(c.cast(pa.binary()) for c in about.column("chunk").chunks), *(c.cast(pa.binary()) for c in table.column("chunk").chunks)]),
+        pa.concat_arrays([*about.column("docs").chunks, pa.nulls(len(counts), pa.binary())]),
+        pa.concat_arrays([pa.nulls(len(about), pa.binary()), _binary(counts)]),
+    ], names=["chunk", "docs", "counts"])
+
+
+def _described(table: pa.Table) -> pa.Table:
+    """The documents of a chunk: size and 128-bit print of the set, and whether enough of its
+    n-grams are shared for the document to be similar to any other."""
+    parts = []
+    # A chunk's name is a hash of its documents, so chunks of one name have the same ones.
+    for about in (x for x in table.column("docs").to_pylist() if x is not None):
+        parts.append(np.frombuffer(about, np.int64).reshape(5, -1).copy())
+    local = parts[0][4]
+    for raw in (x for x in table.column("counts").to_pylist() if x is not None):
+        m = len(raw) // 6
+        np.add.at(local, np.frombuffer(raw, np.uint16, m).astype(np.int64), np.frombuffer(raw[2 * m :], np.uint32))
+    doc, n, one, two = (np.concatenate([x[k] for x in parts]) for k in range(4))
+    known = np.tile(local, len(parts))
+    # A partner has least(n) n-grams or more, and of its own it counts on as many more.
+    some = (n > 0) & (known >= extra(least(n)) + 1)
+    return pa.table([pa.array(doc, mask=doc == _FAMILIES), pa.array(n), pa.array(one), pa.array(two), pa.array(some)], names=["doc", "n", "print0", "print1", "some"])
+
+
+# Step 2: sets and families
 
 
-def _of_six(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").reshape(-1)
+def _bitmap(docs: DataFrame) -> np.ndarray:
+    """BITS bits, those set that ids of docs fall on: of fixed size, whatever their number."""
+    slot = F.pmod(F.xxhash64("doc"), F.lit(BITS))
+    # Spark counts from one: numbers 1 to 32768 are the bits of bucket 1.
+    rows = docs.groupBy(F.bitmap_bucket_number(slot + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("bits"))
+    out = np.zeros((BITS // 32768, 4096), np.uint8)
+    for row in rows.toLocalIterator():
+        out[row.bucket - 1] = np.frombuffer(bytes(row.bits), np.uint8)
+    return out.reshape(-1)
 
 
-def _post(buckets: int):
-    """Postings by bucket of the n-gram: n-grams, ids, families and sizes, packed."""
+def _sets(bits: np.ndarray):
+    """The sets and min-hashes of documents whose slot (third column) is set: those that are asked
+    for, and a few more, without the texts having to move."""
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(1).compress
         for batch in batches:
-            for b in slices(batch, "grams", 3_000_000):
-                raw = b.column("grams").to_pylist()
-                sizes = np.array([len(x) // 6 for x in raw], np.int64)
-                key = _of_six(b"".join(raw))
-                owner = np.repeat(np.arange(len(b)), sizes)
-                docs, families, n = (_ids(b.column(c)) for c in ("doc", "family", "n"))
-                bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((docs[owner], bucket))
-                key, owner, bucket = key[order], owner[order], bucket[order]
-                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(key) else np.zeros(1, np.int64)
-                packed = []
-                for start, end in zip(cut[:-1], cut[1:]):
-                    own = owner[start:end]
-                    rest = np.diff(docs[own], prepend=0), families[own] - docs[own], n[own]
-                    packed.append(np.uint32(end - start).tobytes() + _six(key[start:end]) + pack(b"".join(x.tobytes() for x in rest)))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "rows"])
+            slot = _ids(batch.column("slot"))
+            batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
+            for b in slices(batch, "text"):
+                grams, at = shingles(b.column("text"), SIZE)
+                n = np.diff(at)
+                b, at, n = b.filter(pa.array(n > 0)), np.r_[at[:-1][n > 0], at[-1]], n[n > 0]
+                if not len(n):
+                    continue
+                signs = np.zeros((len(n), len(_SEEDS)), np.uint64)
+                for j, seed in enumerate(_SEEDS):
+                    signs[:, j] = mix(np.minimum.reduceat(mix(grams * seed), at[:-1]) + np.uint64(j))
+                signs = pa.ListArray.from_arrays(np.arange(0, len(n) * len(_SEEDS) + 1, len(_SEEDS), dtype=np.int32), signs.reshape(-1).view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column("doc").cast(pa.int64()), pa.array(n), signs, _binary(grams[s:e] for s, e in zip(at[:-1], at[1:]))], names=["doc", "n", "signs", "grams"])
 
     return run
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    k = int(np.frombuffer(raw, np.uint32, 1)[0])
-    rest = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[4 + 6 * k :]), np.int64).reshape(3, k)
-    out = np.empty(k, _POSTING)
-    out["gram"], out["doc"], out["n"] = _of_six(raw[4 : 4 + 6 * k]), np.cumsum(rest[0]), rest[2]
-    out["family"] = rest[1] + out["doc"]
-    return out
+def _join_group(table: pa.Table) -> pa.Table:
+    docs, known = table.column("doc").to_pylist(), table.column("family").to_pylist()
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
+    links = link_group(sets, known)
+    return pa.table([pa.array([docs[a] for a, _ in links], pa.int64()), pa.array([docs[b] for _, b in links], pa.int64())], names=["u", "v"])
+
+
+def _linked(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """Verified links (u, v) in the groups of members (group, doc, family)."""
+    found = members.join(sets.select("doc", "grams"), "doc").groupBy("group").applyInArrow(_join_group, "u long, v long")
+    return keep(found, "links")
+
+
+def _families(sets: DataFrame) -> DataFrame:
+    """Links in blocks of documents with the same min-hash; a group met before is left out."""
+    signed = sets.select("doc", F.posexplode("signs").alias("j", "sign")).select("doc", "j", F.struct("j", "sign").alias("same"))
+    met = signed.groupBy("same").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who")).where("k > 1")
+    met = keep(met.groupBy("k", "who").agg(F.min("same").alias("same")).select("k", "same"), "met")
+    block = F.pmod(F.xxhash64("doc", "j"), F.ceil(F.col("k") / BLOCK))
+    total = max(met.agg(F.sum("k")).first()[0] or 0, 1)
+    members = join_unique(signed, met, "same", "k", total, "inner").select(F.xxhash64("same", block).alias("group"), "doc", F.col("doc").alias("family"))
+    return _linked(sets, members)
+
+
+# Step 3: what families leave
+
+
+def _chunks(batches):
+    """Sets with their documents' families, many documents to a row."""
+
+    def row(parts):
+        docs, family, grams, sizes = (np.concatenate(x) for x in zip(*parts))
+        return pa.RecordBatch.from_arrays([_binary([x]) for x in (docs, family, sizes, grams)], names=["docs", "families", "sizes", "grams"])
+
+    waiting, size = [], 0
+    for b in batches:
+        for doc, family, raw in zip(b.column("doc").to_pylist(), b.column("family").to_pylist(), b.column("grams").to_pylist()):
+            own = np.frombuffer(raw, np.uint64)
+            if waiting and size + len(own) > CHUNK:
+                yield row(waiting)
+                waiting, size = [], 0
+            waiting.append((np.array([doc]), np.array([family]), own, np.array([len(own)])))
+            size += len(own)
+    if waiting:
+        yield row(waiting)
 
 
-_POSTING = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("family", "<i8"), ("n", "<i4")])
+def _chunk(b, i: int):
+    return tuple(np.frombuffer(b.column(c)[i].as_py(), t) for c, t in (("docs", np.int64), ("families", np.int64), ("sizes", np.int64), ("grams", np.uint64)))
+
+
+def _weigh(buckets: int):
+    """Of each chunk, by bucket: how many of its documents have each n-gram, and their family."""
+    def run(batches):
+        for b in batches:
+            for i in range(len(b)):
+                docs, families, sizes, grams = _chunk(b, i)
+                key, order, start, bucket = _order(grams, buckets)
+                family = np.repeat(families, sizes)[order]
+                low, high = np.minimum.reduceat(family, start), np.maximum.reduceat(family, start)
+                family = np.where(low == high, low, _FAMILIES)
+                count = np.diff(np.r_[start, len(key)]).astype(np.uint32)
+                key, cut = key[start], _cuts(bucket)
+                pieces = [_pack(_six(key[a:z]).tobytes() + family[a:z].tobytes() + count[a:z].tobytes()) for a, z in zip(cut[:-1], cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array([b.column("chunk")[i].as_py()] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], names=["bucket", "chunk", "packed"])
+
+    return run
+
+
+def _levels(table: pa.Table) -> pa.Table:
+    """For each piece of a bucket the level of its n-grams: 0 for those of one family, else one
+    more than the logarithm of how many documents have them."""
+    keys, families, counts = [], [], []
+    for raw in table.column("packed").to_pylist():
+        raw = _unpack(raw)
+        m = len(raw) // 18
+        keys.append(_of_six(raw[: 6 * m]))
+        families.append(np.frombuffer(raw, np.int64, m, 6 * m))
+        counts.append(np.frombuffer(raw, np.uint32, m, 14 * m))
+    sizes = [len(k) for k in keys]
+    _, place = np.unique(np.concatenate(keys), return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    start = np.flatnonzero(np.r_[True, np.diff(place[order]) > 0])
+    family, count = np.concatenate(families)[order], np.concatenate(counts)[order].astype(np.int64)
+    low, high, total = np.minimum.reduceat(family, start), np.maximum.reduceat(family, start), np.add.reduceat(count, start)
+    level = np.where((low == high) & (low != _FAMILIES), 0, np.log2(total).astype(np.int64) + 1).astype(np.uint8)[place]
+    levels = [_pack(x.tobytes()) for x in np.split(level, np.cumsum(sizes)[:-1])]
+    return pa.table([table.column("chunk"), table.column("bucket"), pa.array(levels, pa.binary())], names=["chunk", "bucket", "levels"])
+
+
+def _prefixes(buckets: int):
+    """Postings, by bucket, of the rarest n-grams of those documents of a chunk that have enough
+    n-grams of other families: keys, documents, families and sizes, packed."""
+    def run(chunk: pa.Table, levels: pa.Table) -> pa.Table:
+        docs, families, sizes, grams = _chunk(chunk, 0)
+        key, order, start, _ = _order(grams, buckets)
+        found = sorted(zip(levels.column("bucket").to_pylist(), levels.column("levels").to_pylist()))
+        level = np.frombuffer(b"".join(_unpack(x) for _, x in found), np.uint8)
+        level = np.repeat(level, np.diff(np.r_[start, len(key)]))
+        owner = np.repeat(np.arange(len(docs)), sizes)[order]
+        enough = np.bincount(owner[level > 0], minlength=len(docs)) >= least(sizes)
+        hit = np.flatnonzero(enough[owner])
+        # N-grams of one family can't be shared with another: they come first and aren't posted.
+        hit = hit[np.lexsort((key[hit], level[hit], owner[hit]))]
+        own = owner[hit]
+        new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+        place = np.arange(len(own)) - np.repeat(new, np.diff(np.r_[new, len(own)]))
+        hit = hit[(place < prefix_length(sizes[own])) & (level[hit] > 0)]
+        bucket = ((key[hit] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        hit = hit[np.argsort(bucket, kind="stable")]
+        cut = _cuts(np.sort(bucket))
+        pieces = []
+        for a, z in zip(cut[:-1], cut[1:]):
+            of = owner[hit[a:z]]
+            pieces.append(_pack(b"".join(x.tobytes() for x in (key[hit[a:z]], docs[of], families[of], sizes[of]))))
+        return pa.table([pa.array(np.sort(bucket)[cut[:-1]].astype(np.int32)), pa.array(pieces, pa.binary())], names=["bucket", "rows"])
+
+    return run
+
+
+_POSTING = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("family", "<i8"), ("n", "<i8")])
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    columns = np.frombuffer(_unpack(raw), np.int64).reshape(4, -1)
+    out = np.empty(columns.shape[1], _POSTING)
+    out["gram"], out["doc"], out["family"], out["n"] = columns[0].view(np.uint64), *columns[1:]
+    return out
 
 
 def _lists(table: pa.Table) -> pa.Table:
@@ -268,7 +479,7 @@ def _lists(table: pa.Table) -> pa.Table:
     apart for any link across; short ones as pairs of documents of different families."""
     rows = np.concatenate([_unpacked(x) for x in table.column("rows").to_pylist()])
     rows = rows[np.lexsort((rows["n"], rows["gram"]))]
-    apart = (rows["gram"][1:] != rows["gram"][:-1]) | (DEN * rows["n"][:-1].astype(np.int64) < NUM * rows["n"][1:].astype(np.int64))
+    apart = (rows["gram"][1:] != rows["gram"][:-1]) | (DEN * rows["n"][:-1] < NUM * rows["n"][1:])
     start = np.flatnonzero(np.r_[True, apart])
     size = np.diff(np.r_[start, len(rows)])
     low, high = np.minimum.reduceat(rows["family"], start), np.maximum.reduceat(rows["family"], start)
@@ -280,7 +491,7 @@ def _lists(table: pa.Table) -> pa.Table:
             continue
         i, j = np.triu_indices(k, 1)
         a, b = own[i], own[j]  # a is no longer than b
-        ok = (a["family"] != b["family"]) & (DEN * a["n"].astype(np.int64) >= NUM * b["n"].astype(np.int64))
+        ok = (a["family"] != b["family"]) & (DEN * a["n"] >= NUM * b["n"])
         pairs.append(np.stack([a["doc"][ok], b["doc"][ok], a["n"][ok], b["n"][ok]], 1))
     pairs = np.concatenate(pairs) if pairs else np.zeros((0, 4), np.int64)
     swap = pairs[:, 0] > pairs[:, 1]
@@ -288,7 +499,7 @@ def _lists(table: pa.Table) -> pa.Table:
     pairs, shared = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
     of = np.concatenate(long_lists) if long_lists else np.zeros(0, _POSTING)
     none = lambda n: pa.nulls(n, pa.int64())
-    columns = [np.r_[pairs[:, k], of[name].astype(np.int64)] for k, name in ((0, "doc"), (2, "n"))]
+    columns = [np.r_[pairs[:, k], of[name]] for k, name in ((0, "doc"), (2, "n"))]
     return pa.Table.from_arrays([
         pa.array(columns[0]), pa.array(columns[1]),
         pa.concat_arrays([pa.array(pairs[:, 1]), none(len(of))]), pa.concat_arrays([pa.array(pairs[:, 3]), none(len(of))]),
@@ -297,93 +508,16 @@ def _lists(table: pa.Table) -> pa.Table:
     ], names=["a", "n", "b", "m", "shared", "gram"])
 
 
-def _bitmap(docs: DataFrame) -> np.ndarray:
-    """SLOTS * 8 bits, those set that ids of docs fall on: of fixed size, whatever their number."""
-    slot = F.pmod(F.xxhash64("doc"), F.lit(SLOTS * 8))
-    # Spark counts from one: numbers 1 to 32768 are the bits of bucket 1.
-    rows = docs.groupBy(F.bitmap_bucket_number(slot + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("bits"))
-    out = np.zeros((SLOTS * 8 // 32768, 4096), np.uint8)
-    for row in rows.toLocalIterator():
-        out[row.bucket - 1] = np.frombuffer(bytes(row.bits), np.uint8)
-    return out.reshape(-1)
-
-
-def _sets(bits: np.ndarray):
-    """The sets of documents whose slot (third column) is set: those that are asked for, and a few
-    more, without the texts having to move."""
-
-    def run(batches):
-        for batch in batches:
-            slot = _ids(batch.column("slot"))
-            batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
-            for b in slices(batch, "text"):
-                grams, at = shingles(b.column("text"), SIZE)
-                yield pa.RecordBatch.from_arrays([b.column("doc").cast(pa.int64()), pa.array([grams[s:e].tobytes() for s, e in zip(at[:-1], at[1:])], pa.binary())], names=["doc", "grams"])
-
-    return run
-
-
-def _join_group(table: pa.Table) -> pa.Table:
-    docs, known = table.column("doc").to_pylist(), table.column("family").to_pylist()
-    sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-    links = link_group(sets, known)
-    return pa.table([pa.array([docs[a] for a, _ in links], pa.int64()), pa.array([docs[b] for _, b in links], pa.int64())], names=["u", "v"])
-
-
-def _linked(docs: DataFrame, members: DataFrame, repeats: bool) -> DataFrame:
-    """Verified links (u, v) in the groups of members (group, doc, family)."""
-    members = keep(members, "members")
-    slot = F.coalesce(F.pmod(F.xxhash64("doc"), F.lit(SLOTS * 8)), F.lit(0))
-    sets = docs.select("doc", "text", slot.alias("slot")).mapInArrow(_sets(_bitmap(members)), "doc long, grams binary")
-    sets = keep(sets.where("doc is not null"), "sets")
-    if repeats:
-        sets = sets.dropDuplicates(["doc"])
-    return keep(members.join(sets, "doc").groupBy("group").applyInArrow(_join_group, "u long, v long"), "links")
-
-
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id.
-
-    component_id is the smallest id that similar documents reach; a document without words is
-    similar to nothing. Ids name documents: rows that repeat an id count as one document, with one
-    of their texts. A row without id gets no component and links nothing. Ties need no rule, as
-    components don't depend on any order.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    described = keep(docs.mapInArrow(_describe, "doc long, n long, print0 long, print1 long, signs array<long>, part int, counters binary"), "described")
-    rows = described.where("part is null").drop("part", "counters")
-    counts = _sketch(described)
-    with_set = rows.where("n > 0 and doc is not null")
-
-    # Equal sets are one family from the start, and its smallest document stands for it.
-    firsts = with_set.groupBy("n", "print0", "print1").agg(F.min("doc").alias("first"), F.min_by("signs", "doc").alias("signs"), F.count(F.lit(1)).alias("size"))
-    firsts = keep(firsts, "firsts")
-    key = ["n", "print0", "print1"]
-    repeated = firsts.where("size > 1").select(*key, "first")
-    equal = with_set.select("doc", *key).join(repeated, key).where("doc <> first").select(F.col("doc").alias("u"), F.col("first").alias("v"))
-    equal = keep(equal, "equal")
-
-    # Round one: blocks of documents with the same min-hash; a group met before is left out.
-    signed = firsts.select(F.col("first").alias("doc"), F.posexplode("signs").alias("j", "sign"))
-    met = signed.groupBy("j", "sign").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who")).where("k > 1")
-    met = met.groupBy("k", "who").agg(F.min(F.struct("j", "sign")).alias("g")).select("k", "g.j", "g.sign")
-    block = F.pmod(F.xxhash64("doc", "j"), F.ceil(F.col("k") / BLOCK))
-    members = signed.join(met, ["j", "sign"]).select(F.xxhash64("j", "sign", block).alias("group"), "doc", F.col("doc").alias("family"))
-    repeats = _repeats(rows)
-    links = _linked(docs, members, repeats)
-    family = keep(components(links), "family")
-
-    # Round two: posting lists across families.
-    n_docs = max(rows.count(), 1)
-    buckets = int(max(64, min(n_docs // 1000, 1 << 20)))
-    known = firsts.select(F.col("first").alias("doc")).join(family.withColumnRenamed("node", "doc"), "doc", "left")
-    known = known.select("doc", F.coalesce("component", "doc").alias("family"))
-    prefixes = docs.where("doc is not null").mapInArrow(_prefixes(counts), "doc long, n long, grams binary")
-    posts = (prefixes.dropDuplicates(["doc"]) if repeats else prefixes).join(known, "doc")
-    lists = posts.mapInArrow(_post(buckets), "bucket int, rows binary").groupBy("bucket").applyInArrow(_lists, "a long, n long, b long, m long, shared long, gram long")
-    lists = keep(lists, "lists")
+def _late(sets: DataFrame, family: DataFrame) -> DataFrame:
+    """Links between families."""
+    family = family.select(F.col("node").alias("doc"), F.col("component").alias("_family"))
+    known = lambda rows: rows.join(family, "doc", "left").withColumn("family", F.coalesce("_family", "doc"))
+    chunks = known(sets.select("doc", "grams")).select("doc", "family", "grams").mapInArrow(_chunks, "docs binary, families binary, sizes binary, grams binary")
+    chunks = keep(chunks.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    buckets = _buckets(sets.agg(F.sum("n")).first()[0])
+    levels = chunks.mapInArrow(_weigh(buckets), "bucket int, chunk long, packed binary").groupBy("bucket").applyInArrow(_levels, "chunk long, bucket int, levels binary")
+    posts = chunks.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(_prefixes(buckets), "bucket int, rows binary")
+    lists = keep(posts.groupBy("bucket").applyInArrow(_lists, "a long, n long, b long, m long, shared long, gram long"), "lists")
     long_lists = lists.where("gram is not null").select("gram", F.col("a").alias("doc"), "n")
     per_doc = long_lists.groupBy("doc").agg(F.count(F.lit(1)).alias("more"))
     pairs = lists.where("gram is null").groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("shared").alias("shared"))
@@ -396,27 +530,64 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # component go, a block of partners at a time, to groups around one document.
     pairs = keep(pairs.select("a", "b"), "pairs")
     near = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "doc")
-    near = keep(near.join(near.groupBy("component").agg(F.count(F.lit(1)).alias("k")), "component"), "near")
-    small = near.where(F.col("k") <= 2 * BLOCK).select(F.xxhash64("component", F.lit("candidates")).alias("group"), "doc")
-    large = pairs.join(near.where(F.col("k") > 2 * BLOCK).select(F.col("doc").alias("a")), "a")
+    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
+    small = near.join(sizes.where(F.col("k") <= 2 * BLOCK), "component").select(F.xxhash64("component", F.lit("candidates")).alias("group"), "doc")
+    large = pairs.join(near.join(sizes.where(F.col("k") > 2 * BLOCK), "component").select(F.col("doc").alias("a")), "a")
     large = large.join(large.groupBy("a").agg(F.count(F.lit(1)).alias("k")), "a")
     around = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / (2 * BLOCK))))
-    pairs = small.unionByName(large.select(around.alias("group"), F.explode(F.array("a", "b")).alias("doc")).distinct())
+    close = small.unionByName(large.select(around.alias("group"), F.explode(F.array("a", "b")).alias("doc")).distinct())
     wide = long_lists.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who"))
     wide = wide.groupBy("k", "who").agg(F.min("gram").alias("gram"))
     wide = long_lists.join(wide.select("gram", F.ceil(F.col("k") / BLOCK).alias("blocks")), "gram").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks"))
     wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     wide = wide.select(F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "doc")
-    members = pairs.unionByName(wide).join(known, "doc").select("group", "doc", "family")
-    late = _linked(docs, members, repeats)
+    return _linked(sets, known(close.unionByName(wide)).select("group", "doc", "family"))
+
 
-    found = components(equal.unionByName(links).unionByName(late))
-    out = rows.select("doc", "n").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+def _buckets(grams: int | None) -> int:
+    return int(max(64, min((grams or 0) // BUCKET, 1 << 18)))
 
 
-def _repeats(rows: DataFrame) -> bool:
-    return rows.where("doc is not null").groupBy("doc").count().where("count > 1").limit(1).count() > 0
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id.
+
+    component_id is the smallest id that similar documents reach; a document without words is
+    similar to nothing. Ids name documents: rows that repeat an id are one document that links
+    with whatever any of its texts links with. A row without id gets no component and links
+    nothing. Ties need no rule, as components don't depend on any order; an empty table gives an
+    empty one.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FAMILIES)).alias("doc"), F.col(text_col).alias("text"))
+    # About five bytes of text to a word, half of whose n-grams are posted.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    posts = docs.mapInArrow(_post(_buckets(size // 10)), _POSTS).groupBy("bucket").applyInArrow(_shared, "chunk binary, docs binary, counts binary")
+    rows = keep(posts.groupBy("chunk").applyInArrow(_described, "doc long, n long, print0 long, print1 long, some boolean"), "described")
+
+    # Equal sets are one class, and its smallest document stands for it.
+    same = F.struct("n", "print0", "print1").alias("same")
+    with_set = rows.where("some and doc is not null").select("doc", same)
+    classes = with_set.groupBy("same").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("size"))
+    classes = keep(classes, "classes")
+    wanted = classes.select(F.col("first").alias("doc")).distinct()
+    slot = F.pmod(F.xxhash64("doc"), F.lit(BITS))
+    sets = docs.select("doc", "text", slot.alias("slot")).mapInArrow(_sets(_bitmap(wanted)), "doc long, n long, signs array<long>, grams binary")
+    sets = keep(sets.join(wanted, "doc"), "sets")
+    repeats = rows.where("doc is not null").groupBy("doc").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc")
+    links = _families(sets)
+    if repeats.limit(1).count():
+        # Each of the texts of a document stands for it.
+        own = with_set.join(repeats, "doc").join(classes, "same").select(F.col("doc").alias("u"), F.col("first").alias("v"))
+        links = links.unionByName(own)
+    late = _late(sets, keep(components(links), "family"))
+
+    found = components(links.unionByName(late)).withColumnRenamed("node", "first")
+    classes = classes.join(found, "first", "left").select("same", "size", F.coalesce("component", "first").alias("component"))
+    total = max(rows.count(), 1)
+    grouped = join_unique(rows.where("some and doc is not null").select("doc", "n", same), classes, "same", "size", total, "inner").select("doc", "n", "component")
+    alone = rows.where("not some or doc is null").select("doc", "n", F.col("doc").alias("component"))
+    return grouped.unionByName(alone).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

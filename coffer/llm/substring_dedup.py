@@ -129,7 +129,7 @@ def _compare(buckets: int):
                 words = Words(b.column("text"))
                 docs, keys = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "key"))
                 first, owner = _firsts(words)
-                names = words.hashes(False)
+                names, other = words.prints(False)
                 got = anchors(names, first)
                 shared = b.column("shared")
                 values, sizes = shared.flatten(), np.diff(shared.offsets.to_numpy())
@@ -149,7 +149,7 @@ def _compare(buckets: int):
                 rows = np.empty(len(hit), _WINDOW)
                 rows["anchor"], rows["doc"], rows["key"], rows["at"] = got, docs[owner], keys[owner], at - words.at[owner]
                 rows["one"] = windows(names, SIZE)[at]
-                rows["two"] = (windows(mix(names ^ _SALTS[32]), SIZE)[at] >> np.uint64(32)).astype(np.uint32)
+                rows["two"] = (windows(other, SIZE)[at] >> np.uint64(32)).astype(np.uint32)
                 deal = mix(keys.astype(np.int64).view(np.uint64))[owner] % block
                 hot = block > 1
                 bucket = (mix(got ^ mix(deal + np.uint64(1))) % np.uint64(buckets)).astype(np.int64)

@@ -12,6 +12,7 @@ import gc
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -41,15 +42,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_values(lower: bool) -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-    values[SPACE] = 0
-    if lower:
-        values[65:91] = values[97:123]
-    return values
-
-
-_VALUES = {lower: _byte_values(lower) for lower in (False, True)}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word beyond which it is hashed by itself.
+LONG = 64
+_K1, _K2 = np.uint64(_BASE), np.uint64(0xC2B2AE3D27D4EB4F)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -131,17 +130,35 @@ class Words:
 
     def hashes(self, lower: bool) -> np.ndarray:
         """A 64-bit hash of each word; A-Z count as a-z if lower."""
-        if not len(self):
-            return np.zeros(0, np.uint64)
-        n = len(self.data)
-        total = _VALUES[lower][self.data]
-        total *= powers(_BASE, n)
-        np.cumsum(total, out=total)
-        got = total[self.end - 1]
-        inner = self.start > 0
-        got[inner] -= total[self.start[inner] - 1]
-        got *= powers(pow(_BASE, -1, 1 << 64), n)[self.start]
-        return mix(got + (self.end - self.start).astype(np.uint64))
+        return self.prints(lower)[0]
+
+    def prints(self, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of each word that don't follow from each other: eight bytes at a time
+        go into a state of 128 bits; words beyond LONG bytes are hashed by XXH3 with 128 bits."""
+        start, length = self.start, self.end - self.start
+        if not len(start):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[:-8] = _LOWER[self.data] if lower else self.data
+        eight = np.ndarray(len(self.data), "<u8", padded, strides=(1,))
+        one, two = length.astype(np.uint64) * _K1, length.astype(np.uint64) ^ _K2
+        live, done = slice(None), 0
+        while True:
+            left = length[live] - done
+            part = eight[start[live] + done] & _MASKS[np.minimum(left, 8)]
+            one[live] = mix(one[live] ^ part)
+            state = two[live]
+            state = ((state << np.uint64(29) | state >> np.uint64(35)) + part) * _K2
+            two[live] = state ^ state >> np.uint64(31)
+            done += 8
+            more = np.flatnonzero((left > 8) & (left <= LONG - done + 8))
+            if not len(more):
+                break
+            live = more if isinstance(live, slice) else live[more]
+        for i in np.flatnonzero(length > LONG).tolist():
+            whole = xxhash.xxh3_128_intdigest(padded[start[i] : self.end[i]].tobytes())
+            one[i], two[i] = whole & 0xFFFFFFFFFFFFFFFF, whole >> 64
+        return mix(one + two * _K1), mix(two ^ one * _K2)
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:

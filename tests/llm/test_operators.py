@@ -13,6 +13,9 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import zstandard
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from coffer.llm import bpe, components, embed_dedup, exact_dedup, jaccard_join, langid, lm, mixing, pii, substring_dedup, warc, words
@@ -149,16 +152,37 @@ def test_jaccard_groups(spark, seed):
     assert kept == set(want.values())
 
 
-def test_jaccard_without_round_one(spark, monkeypatch):
-    """Posting lists alone find every link, with long lists and small blocks as well."""
-    monkeypatch.setattr(jaccard_join, "SHORT", 2)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
-    df, by_id, _ = documents(spark, 2, 30)
-    got = collected(jaccard_join.jaccard_groups(df))
+@pytest.mark.parametrize("block, one", [(512, 1 << 22), (3, 0)])
+def test_jaccard_without_families(spark, monkeypatch, block, one):
+    """Posting lists alone find every link, with small blocks and star rounds as well."""
+    monkeypatch.setattr(jaccard_join, "_families", lambda sets: sets.sparkSession.createDataFrame([], "u long, v long"))
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(components, "ONE", one)
+    df, by_id, _ = documents(spark, 2, 40)
+    got = collected(jaccard_join.jaccard_groups(df.repartition(5)))
     sets = shingle_sets(by_id)
     assert {i: r.component_id for i, r in got.items()} == brute_components(sets, similar)
 
 
+def test_posting_lists_long_and_short(monkeypatch):
+    """A list becomes pairs of documents of different families, or stays a list if it is long."""
+    rows = np.array([(7, 1, 1, 10), (7, 2, 1, 10), (7, 3, 3, 11), (7, 4, 4, 30), (9, 5, 5, 8), (9, 6, 5, 8)], np.int64).T
+    table = pa.table([pa.array([zstandard.ZstdCompressor().compress(np.ascontiguousarray(rows).tobytes())], pa.binary())], names=["rows"])
+    found = lambda: sorted(zip(*(c.to_pylist() for c in jaccard_join._lists(table).select(["a", "b", "gram"]).columns)), key=str)
+    assert found() == [(1, 3, None), (2, 3, None)]  # of a family nothing, and 11 is too far from 30
+    monkeypatch.setattr(jaccard_join, "SHORT", 2)
+    assert found() == [(1, None, 7), (2, None, 7), (3, None, 7)]
+
+
+@given(st.sets(st.integers(0, 60), min_size=1), st.sets(st.integers(0, 60), min_size=1))
+def test_first_pass_keeps_who_has_a_partner(a, b):
+    """What step 1 counts on: similar sets share enough of their first elements."""
+    first = lambda s: set(sorted(s)[: jaccard_join.prefix_length(len(s)) + jaccard_join.extra(len(s))])
+    if similar(a, b):
+        for s in (a, b):
+            assert len(first(a) & first(b)) >= jaccard_join.extra(jaccard_join.least(len(s))) + 1
+
+
 def test_trie_finds_what_brute_force_finds():
     r = random.Random(5)
     for trial in range(40):
@@ -191,9 +215,27 @@ def test_jaccard_edges(spark):
     rows = sorted(((r.doc_id or 0), r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(df).collect() if r.doc_id is not None)
     assert rows == [(1, 2, 1), (1, 2, 1), (2, 0, 2)]
     assert jaccard_join.jaccard_groups(df.limit(0)).collect() == []
-
-
-def test_components(spark):
+    # Rows that repeat an id are one document with the links of all of their texts.
+    df = spark.createDataFrame([(1, "a b c d e f g h"), (5, "A B C d e f g h"), (5, "i j k l"), (7, "i j k l"), (8, "x"), (9, "y")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(df).collect()) == [(1, 4, 1), (5, 1, 1), (5, 4, 1), (7, 1, 1), (8, 1, 8), (9, 1, 9)]
+
+
+def test_words_made_to_collide(spark):
+    """The words of Thue and Morse and their complements, which polynomials modulo 2**64 confuse."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    one, two = words.Words(pa.array([f"{a} {b}"])).prints(False)
+    assert one[0] != one[1] and two[0] != two[1]
+    df = spark.createDataFrame([(1, f"{a} q r s t"), (2, f"{b} q r s t")], "doc_id long, text string")
+    assert [r.component_id for r in jaccard_join.jaccard_groups(df).orderBy("doc_id").collect()] == [1, 2]
+    rest = " ".join(f"w{i}" for i in range(49))
+    df = spark.createDataFrame([(1, f"{rest} {a}"), (2, f"{rest} {b}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeats(df).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("one", [1 << 22, 0])
+def test_components(spark, monkeypatch, one):
+    monkeypatch.setattr(components, "ONE", one)
     r = random.Random(3)
     for edges in ([], [(1, 2)], [(i, i + 1) for i in range(300)], [(0, i) for i in range(1, 400)], [(r.randrange(500), r.randrange(500)) for _ in range(350)]):
         df = spark.createDataFrame(edges, "u long, v long").repartition(4)
