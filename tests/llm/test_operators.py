@@ -597,39 +597,138 @@ def test_lm_scores(spark):
     assert lm.score_texts(df.limit(0), PIECES).collect() == []
 
 
+def random_model(size, start, pad, pairs, seed=3):
+    rng = np.random.default_rng(seed)
+    model = lm.Model(size, start, pad, seed=seed)
+    for name in ("gate", "value"):
+        setattr(model, name, rng.standard_normal((size, lm.EXPERTS)).astype(np.float32))
+    model.pairs = np.unique(np.array([a * size + b for a, b in pairs], np.uint32))
+    model.ratio = (rng.random(size) + 0.1).astype(np.float32)
+    model.normalise(rng.random((len(model.pairs), lm.EXPERTS)), rng.random((size, lm.EXPERTS)))
+    return model
+
+
+def plain_score(model, ids):
+    """Natural logarithm of the probability of ids after start, an id at a time in double precision."""
+    line = [model.start] * (lm.CONTEXT + 1) + ids
+    s = {k: v.astype(float) for k, v in model.small.items()}
+    known = {int(p): i for i, p in enumerate(model.pairs)}
+    total = 0.0
+    for i, target in enumerate(ids):
+        here = i + lm.CONTEXT  # the place of the id before
+        first = i // lm.STEP * lm.STEP  # the window's first place
+        last = line[here]
+        q = model.embed[last].astype(float) @ s["q"]
+        places = range(first, here + 1)
+        score = [q @ (model.embed[line[j]] @ s["k"]) / math.sqrt(lm.DIM) + s["bias"][here - j] for j in places]
+        weight = np.exp(np.array(score) - max(score))
+        weight /= weight.sum()
+        gate = model.gate[last] + sum(w * (model.embed[line[j]] @ s["v"] + model.value[line[j]]) for w, j in zip(weight, places))
+        gate = np.exp(gate - gate.max())
+        pair = known.get(last * model.size + target)
+        each = model.rest[last] * model.single[target].astype(float) + (0 if pair is None else model.weights[pair])
+        total += math.log(gate / gate.sum() @ each)
+    return total
+
+
 def test_lm_is_causal_and_normalised():
-    subwords = lm.Subwords(PIECES)
-    model = lm.Model(50, 48, 49, seed=3)
     rng = np.random.default_rng(0)
-    model.gate = rng.standard_normal(model.gate.shape).astype(np.float32)
-    model.normalise(rng.random((50, lm.EXPERTS)))
+    subwords = lm.Subwords(PIECES)
+    model = random_model(50, 48, 49, rng.integers(0, 48, (300, 2)).tolist())
     window = rng.integers(0, 48, (1, lm.WIDTH + 1))
-    k = 5
-    total = 0.0
-    for candidate in range(50):
-        w = window.copy()
-        w[0, lm.CONTEXT + 1 + k] = candidate
-        total += math.exp(model.score(w)[0, k])
-    assert math.isclose(total, 1, rel_tol=1e-4)
+    for k in (0, 5, lm.STEP - 1):
+        total = 0.0
+        for candidate in range(50):
+            w = window.copy()
+            w[0, lm.CONTEXT + 1 + k] = candidate
+            total += math.exp(model.score(w)[0, k])
+        assert math.isclose(total, 1, rel_tol=1e-4)
     later = window.copy()
     later[0, lm.CONTEXT + 1 + k + 1 :] = 7
     assert np.allclose(model.score(window)[0, : k + 1], model.score(later)[0, : k + 1])
     assert np.allclose(model.score(window), np.log(model.forward(window)[-1]), atol=1e-5)
-    assert subwords.size == subwords.pad + 1
-
-
-def test_lm_gradient_steps_help():
+    assert subwords.size == subwords.pad + 1 and subwords.size**2 < 1 << 32
+
+
+def test_lm_gradients():
+    """Steps go down the slope that differences show."""
+    rng = np.random.default_rng(1)
+    model = random_model(20, 18, 19, rng.integers(0, 18, (60, 2)).tolist())
+    windows = rng.integers(0, 18, (6, lm.WIDTH + 1))
+    loss = lambda m: -m.score(windows).astype(float).sum()
+    for name, table in (("embed", 0), ("gate", 0), ("value", 0), ("q", 1), ("k", 1), ("v", 1), ("bias", 1)):
+        before, own = model.copy(), model.copy()
+        own.tables = before.tables = None
+        own.train(windows, {}, np.zeros(own.weights.shape, np.float32), np.zeros((20, lm.EXPERTS), np.float32), 1e-4)
+        of = lambda m: m.small[name] if table else getattr(m, name)  # noqa: E731,B023
+        step = (of(own) - of(before)).copy()
+        of(before)[...] = of(before) + step * (1e-2 / max(np.abs(step).max(), 1e-12))
+        model.tables = None
+        assert loss(before) < loss(model), name
+
+
+def test_lm_rounds_help():
     rng = np.random.default_rng(0)
     model = lm.Model(20, 18, 19)
-    cycle = np.array([(start + np.arange(lm.WIDTH + 1)) % 7 for start in range(7)] * 10)
-    model.gate[np.arange(20), np.arange(20) % lm.EXPERTS] = 1.0
-    model.normalise(rng.random((20, lm.EXPERTS)) + 0.1)
+    cycle = np.array([(start + step * np.arange(lm.WIDTH + 1)) % 7 for start in range(7) for step in (1, 2)] * 5)
+    model.pairs = np.unique(cycle[:, :-1] * 20 + cycle[:, 1:]).astype(np.uint32)
+    model.ratio[:] = 0.01
+    model.normalise(rng.random((len(model.pairs), lm.EXPERTS)) + 0.1, rng.random((20, lm.EXPERTS)) + 0.1)
     squares, logs = {}, []
-    for _ in range(30):
-        counts = np.zeros((20, lm.EXPERTS), np.float32)
-        logs.append(model.train(cycle, squares, counts))
-        model.normalise(counts)
-    assert logs[-1] > logs[0] * 0.8 and logs[-1] > -0.9 * len(cycle) * lm.STEP * math.log(7)
+    for _ in range(40):
+        pairs, single = np.zeros(model.weights.shape, np.float32), np.zeros((20, lm.EXPERTS), np.float32)
+        logs.append(model.train(cycle, squares, pairs, single))
+        model.normalise(pairs[:-1], single)
+    # Which step a line has only ids before the last one tell: two next ids are as likely without.
+    assert logs[-1] > logs[0] and logs[-1] > -0.3 * len(cycle) * lm.STEP * math.log(2)
+
+
+def test_lm_scores_equal_a_plain_version(spark, monkeypatch):
+    subwords = lm.Subwords(PIECES)
+    r = random.Random(6)
+    v = vocabulary(6, 30)
+    rows = [(i, " ".join(r.choice(v) for _ in range(r.randint(1, 40)))) for i in range(12)] + [(20, None), (21, " "), (22, "Ünï 日本 😀 " * 9)]
+    ids = {}
+    for i, text in rows:
+        out = []
+        for w in (text or "").encode().lower().split():
+            own = subwords.model.encode(w.decode())
+            out += [2 * p + (k + 1 == len(own)) for k, p in enumerate(own)]
+        ids[i] = [*out, subwords.end]
+    pairs = [(a, b) for own in list(ids.values())[:6] for a, b in zip(own, own[1:])]
+    model = random_model(subwords.size, subwords.start, subwords.pad, pairs)
+    monkeypatch.setattr(lm, "fit", lambda windows, pairs, path: model)
+    got = collected(lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PIECES))
+    for i, own in ids.items():
+        assert math.isclose(got[i].score, plain_score(model, own) / math.log(10), rel_tol=1e-4)
+
+
+def test_lm_beats_the_base(spark):
+    """The attention model alone, on held-out texts of invented languages."""
+    r = random.Random(8)
+    tongues = [["".join(r.choice(a) + r.choice("aeiou") for _ in range(r.randint(1, 2))) for _ in range(25)] for a in ("bdfg", "klmn", "prst", "vwxz")]
+    word = lambda t: "".join(r.choice(t) for _ in range(r.randint(1, 3)))
+    rows = [(i, " ".join(word(tongues[i % 4]) for _ in range(r.randint(100, 300)))) for i in range(250)]
+    got = [x for x in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), PIECES).collect() if x.held_out]
+    tokens = sum(x.n_tokens for x in got)
+    assert sum(x.score for x in got) / tokens > sum(x.base_score for x in got) / tokens + 0.1
+
+
+def test_counts_add_up(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(lm.Counts, "MERGE", 50)
+    monkeypatch.setattr(lm.Counts, "LARGE", 120)
+    counts, out, want = lm.Counts(), [], Counter()
+    for _ in range(60):
+        keys, n = np.unique(rng.integers(0, 300, 30).astype(np.uint64), return_counts=True)
+        want.update(dict(zip(keys.tolist(), n.tolist())))
+        if full := counts.add(keys, n):
+            out.append(full)
+    got = Counter()
+    for keys, n in [*out, counts.merged()]:
+        assert len(set(keys.tolist())) == len(keys)
+        got.update(dict(zip(keys.tolist(), n.tolist())))
+    assert out and got == want and len(lm.Counts().merged()[0]) == 0
 
 
 def test_windows_score_each_id_once():
@@ -668,8 +767,8 @@ def test_lm_scores_do_not_depend_on_what_is_at_hand(spark, monkeypatch, frequent
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     subwords = lm.Subwords(PIECES)
     model = lm.Model(subwords.size, subwords.start, subwords.pad)
-    model.normalise(np.zeros((model.size, lm.EXPERTS)))
-    monkeypatch.setattr(lm, "fit", lambda windows, path: model)
+    model.normalise(np.zeros((0, lm.EXPERTS)), np.zeros((model.size, lm.EXPERTS)))
+    monkeypatch.setattr(lm, "fit", lambda windows, pairs, path: model)
     key = lambda x: (x.doc_id is None, x.doc_id or 0, x.score)
     whole = sorted(lm.score_texts(df, PIECES).collect(), key=key)
     monkeypatch.setattr(lm, "FREQUENT", frequent)
