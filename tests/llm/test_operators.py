@@ -600,8 +600,9 @@ def test_lm_scores(spark):
 def random_model(size, start, pad, pairs, seed=3):
     rng = np.random.default_rng(seed)
     model = lm.Model(size, start, pad, seed=seed)
-    for name in ("gate", "value"):
-        setattr(model, name, rng.standard_normal((size, lm.EXPERTS)).astype(np.float32))
+    model.embed = rng.standard_normal((size, lm.DIM)).astype(np.float32)
+    model.small["qk"] = rng.standard_normal((lm.DIM, lm.DIM)).astype(np.float32)
+    model.small["v"] = rng.standard_normal((lm.DIM, lm.EXPERTS)).astype(np.float32)
     model.pairs = np.unique(np.array([a * size + b for a, b in pairs], np.uint32))
     model.ratio = (rng.random(size) + 0.1).astype(np.float32)
     model.normalise(rng.random((len(model.pairs), lm.EXPERTS)), rng.random((size, lm.EXPERTS)))
@@ -613,18 +614,17 @@ def plain_score(model, ids):
     line = [model.start] * (lm.CONTEXT + 1) + ids
     s = {k: v.astype(float) for k, v in model.small.items()}
     known = {int(p): i for i, p in enumerate(model.pairs)}
+    longest = 50 / (math.sqrt(max((model.embed.astype(float) ** 2).sum(1))) + 1e-6)
     total = 0.0
     for i, target in enumerate(ids):
         here = i + lm.CONTEXT  # the place of the id before
-        first = i // lm.STEP * lm.STEP  # the window's first place
+        places = range(i // lm.STEP * lm.STEP, here + 1)  # from the window's first one
+        x = model.embed[[line[j] for j in places]].astype(float)
+        query = x[-1] @ s["qk"]
+        query *= min(1, longest / np.linalg.norm(query))
+        weight = np.exp(x @ query + s["bias"][[here - j for j in places]])
+        gate = np.exp(np.clip(weight @ x / weight.sum() @ s["v"], -60, 60))
         last = line[here]
-        q = model.embed[last].astype(float) @ s["q"]
-        places = range(first, here + 1)
-        score = [q @ (model.embed[line[j]] @ s["k"]) / math.sqrt(lm.DIM) + s["bias"][here - j] for j in places]
-        weight = np.exp(np.array(score) - max(score))
-        weight /= weight.sum()
-        gate = model.gate[last] + sum(w * (model.embed[line[j]] @ s["v"] + model.value[line[j]]) for w, j in zip(weight, places))
-        gate = np.exp(gate - gate.max())
         pair = known.get(last * model.size + target)
         each = model.rest[last] * model.single[target].astype(float) + (0 if pair is None else model.weights[pair])
         total += math.log(gate / gate.sum() @ each)
@@ -646,7 +646,7 @@ def test_lm_is_causal_and_normalised():
     later = window.copy()
     later[0, lm.CONTEXT + 1 + k + 1 :] = 7
     assert np.allclose(model.score(window)[0, : k + 1], model.score(later)[0, : k + 1])
-    assert np.allclose(model.score(window), np.log(model.forward(window)[-1]), atol=1e-5)
+    assert np.allclose(model.score(window).reshape(-1), np.log(model.forward(window)[-1]), atol=1e-5)
     assert subwords.size == subwords.pad + 1 and subwords.size**2 < 1 << 32
 
 
@@ -656,15 +656,17 @@ def test_lm_gradients():
     model = random_model(20, 18, 19, rng.integers(0, 18, (60, 2)).tolist())
     windows = rng.integers(0, 18, (6, lm.WIDTH + 1))
     loss = lambda m: -m.score(windows).astype(float).sum()
-    for name, table in (("embed", 0), ("gate", 0), ("value", 0), ("q", 1), ("k", 1), ("v", 1), ("bias", 1)):
+    for name in ("embed", "qk", "v", "bias"):
         before, own = model.copy(), model.copy()
-        own.tables = before.tables = None
-        own.train(windows, {}, np.zeros(own.weights.shape, np.float32), np.zeros((20, lm.EXPERTS), np.float32), 1e-4)
-        of = lambda m: m.small[name] if table else getattr(m, name)  # noqa: E731,B023
-        step = (of(own) - of(before)).copy()
-        of(before)[...] = of(before) + step * (1e-2 / max(np.abs(step).max(), 1e-12))
-        model.tables = None
-        assert loss(before) < loss(model), name
+        own.prepare()
+        own.longest = before.longest = np.float32(1e9)  # the bound has no gradient
+        before.prepare = own.prepare = lambda: None
+        own.train(windows, {}, 1e-4)
+        of = lambda m: m.embed if name == "embed" else m.small[name]  # noqa: E731,B023
+        step = of(own) - of(before)
+        was = loss(before)
+        of(before)[...] += step * (1e-3 / np.abs(step).max())
+        assert loss(before) < was, name
 
 
 def test_lm_rounds_help():
@@ -676,9 +678,10 @@ def test_lm_rounds_help():
     model.normalise(rng.random((len(model.pairs), lm.EXPERTS)) + 0.1, rng.random((20, lm.EXPERTS)) + 0.1)
     squares, logs = {}, []
     for _ in range(40):
-        pairs, single = np.zeros(model.weights.shape, np.float32), np.zeros((20, lm.EXPERTS), np.float32)
-        logs.append(model.train(cycle, squares, pairs, single))
-        model.normalise(pairs[:-1], single)
+        pairs, other = np.zeros(model.weights.shape, np.float32), np.zeros((20, lm.EXPERTS), np.float32)
+        logs.append(lm._train(model, cycle, squares, pairs, other)[0])
+        assert not other.any() and math.isclose(pairs.sum(), cycle[:, lm.CONTEXT + 1 :].size, rel_tol=1e-3)
+        model.normalise(pairs[:-1], other)
     # Which step a line has only ids before the last one tell: two next ids are as likely without.
     assert logs[-1] > logs[0] and logs[-1] > -0.3 * len(cycle) * lm.STEP * math.log(2)
 
@@ -697,7 +700,7 @@ def test_lm_scores_equal_a_plain_version(spark, monkeypatch):
         ids[i] = [*out, subwords.end]
     pairs = [(a, b) for own in list(ids.values())[:6] for a, b in zip(own, own[1:])]
     model = random_model(subwords.size, subwords.start, subwords.pad, pairs)
-    monkeypatch.setattr(lm, "fit", lambda windows, pairs, path: model)
+    monkeypatch.setattr(lm, "fit", lambda lines, pairs, path: model)
     got = collected(lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PIECES))
     for i, own in ids.items():
         assert math.isclose(got[i].score, plain_score(model, own) / math.log(10), rel_tol=1e-4)
@@ -731,6 +734,16 @@ def test_counts_add_up(monkeypatch):
     assert out and got == want and len(lm.Counts().merged()[0]) == 0
 
 
+def test_rows_finds_all_keys():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 3000):
+        keys = np.unique(rng.integers(0, 1 << 32, n).astype(np.uint32))
+        rows = lm.Rows(keys)
+        assert (rows.of(keys) == np.arange(len(keys))).all()
+        others = np.setdiff1d(np.r_[rng.integers(0, 1 << 32, 2000).astype(np.uint32), np.uint32(0)], keys)
+        assert (rows.of(others) == len(keys)).all()
+
+
 def test_windows_score_each_id_once():
     subwords = lm.Subwords(PIECES)
     s = lm.Stream(pa.array(["some words here", None, "", "x " * 100]), subwords)
@@ -747,14 +760,16 @@ def test_lm_trains_on_every_window():
     v = vocabulary(4)
     r = random.Random(4)
     rows = ["one two", None, "", " ".join(r.choice(v) for _ in range(90_000)), " ".join(r.choice(v) for _ in range(700))]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows)], names=["key", "text"])
-    gathered = [b.column("windows").drop_null() for b in lm._gather(PIECES)([batch])]
-    lines = pa.RecordBatch.from_arrays([pa.concat_arrays(gathered)], names=["windows"])
-    got = np.concatenate(list(lm._windows(lines)))
-    s = lm.Stream(batch.column(1), subwords)
+    n = pa.array(range(len(rows)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([n, n, pa.array(rows), pa.array([False] * 5)], names=["key", "id", "text", "held_out"])
+    lines = pa.concat_arrays([b.column("line").drop_null() for b in lm._gather(PIECES)([batch])])
+    got = list(lm._windows(lines))
+    assert all(len(w) == lm.READ for w, _ in got[:-1])
+    owner, got = np.concatenate([o for _, o in got]), np.concatenate([w for w, _ in got])
+    s = lm.Stream(batch.column(2), subwords)
     doc = np.repeat(np.arange(len(rows)), s.n_windows)
     number = np.concatenate([np.arange(n) for n in s.n_windows])
-    assert s.n_windows.max() > lm.READ and (got == s.windows(doc, number)).all()
+    assert s.n_windows.max() > lm.READ and (got == s.windows(doc, number)).all() and (owner == doc).all()
     targets = got[:, lm.CONTEXT + 1 :]
     assert (targets[targets != subwords.pad] == s.ids).all()
 
@@ -768,7 +783,7 @@ def test_lm_scores_do_not_depend_on_what_is_at_hand(spark, monkeypatch, frequent
     subwords = lm.Subwords(PIECES)
     model = lm.Model(subwords.size, subwords.start, subwords.pad)
     model.normalise(np.zeros((0, lm.EXPERTS)), np.zeros((model.size, lm.EXPERTS)))
-    monkeypatch.setattr(lm, "fit", lambda windows, pairs, path: model)
+    monkeypatch.setattr(lm, "fit", lambda lines, pairs, path: model)
     key = lambda x: (x.doc_id is None, x.doc_id or 0, x.score)
     whole = sorted(lm.score_texts(df, PIECES).collect(), key=key)
     monkeypatch.setattr(lm, "FREQUENT", frequent)
