@@ -1,17 +1,17 @@
 """Exact de-duplication by a tree of merges of sorted digest runs, in DataFrame operations only.
 
-Every input partition is a run of (digest, largest id, rows). The digest space is cut into
-fanout ** 2 slices and the runs into as many groups. In round one each run hands the part of
-slice digit one to one of its fanout owners, which merges fanout runs at once; in round two the
-owners of a slice hand what is left to its last owner. A group of copies that holds any share of
-the rows is thus merged by fanout tasks into a row each, and then into one.
+Every input partition is a run of (digest, largest id, rows), and a run has one of 2 ** bits
+owners. A digest's home is the owner whose number its second hash ends in. In each round the
+owners exchange parts of their runs as binomial trees do: two bits of a digest's owner become those
+of its home, so each owner gets parts of four runs, sorts them together and keeps of equal digests
+one, with the largest id and the sum of rows. After the last round every digest is at home, in one
+sorted run. A group of copies of any size is a row of each run after the first round, and no owner
+ever merges more than four of those.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import join_unique, keep
@@ -19,13 +19,6 @@ from .workspace import join_unique, keep
 _KEY = ("digest", "n_bytes", "check")
 
 
-def _merge(runs: DataFrame, tasks: int, **owner: Column) -> DataFrame:
-    """One round: every part of a run goes to its owner, which merges the sorted parts. What
-    counts as equal must agree in digest, length and a second hash."""
-    moved = runs.withColumns(owner).repartition(tasks, *owner).sortWithinPartitions(*owner, "digest")
-    return moved.groupBy(*owner, *_KEY).agg(F.max("keep_id").alias("keep_id"), F.sum("size").alias("size"))
-
-
 def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Id, SHA-256, length in bytes and a 64-bit hash of each text; null counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -37,23 +30,34 @@ def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-#: Rows of digests for a task of the tree.
-ROWS = 500_000
+#: Rows of digests for a task of the tree, and bits of an owner's number that a round settles.
+ROWS, STEP = 500_000, 2
 
 
-def groups(rows: DataFrame, total: int, fanout: int | None = None) -> DataFrame:
-    """(digest, n_bytes, check, keep_id, size) of each distinct text from digests(), of which there
-    are total rows. The tree has fanout ** 2 tasks: as many as shuffles have, and more for more rows."""
-    if fanout is None:
-        fanout = math.isqrt(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // ROWS, 16) - 1) + 1
-    tasks = fanout * fanout
-    first, second = F.pmod("check", F.lit(fanout)), F.pmod(F.shiftright("check", 32), F.lit(fanout))
-    runs = rows.select(*_KEY, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("size"), F.pmod(F.spark_partition_id(), F.lit(tasks)).alias("run"))
-    half = _merge(runs, tasks, slice=first, owner=F.floor(F.col("run") / fanout))
-    return _merge(half.drop("slice", "owner"), tasks, slice=first, part=second).drop("slice", "part")
+def tree_bits(partitions: int, total: int) -> int:
+    """Bits of an owner's number: as many owners as shuffles have partitions, more for more rows."""
+    return max(partitions, total // ROWS, 4).bit_length()
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fanout: int | None = None) -> DataFrame:
+def groups(rows: DataFrame, total: int, bits: int | None = None) -> DataFrame:
+    """(digest, n_bytes, check, keep_id, size) of each distinct text from digests(), of which there
+    are total rows. What counts as equal agrees in digest, length and a second hash."""
+    if bits is None:
+        bits = tree_bits(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total)
+    home = F.shiftright("check", 8).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
+    runs = rows.select(*_KEY, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("size"), F.spark_partition_id().bitwiseAND((1 << bits) - 1).alias("owner"))
+    for low in range(0, bits, STEP):
+        settled = ((1 << STEP) - 1) << low & ((1 << bits) - 1)
+        runs = runs.withColumn("owner", F.col("owner").bitwiseAND(~settled).bitwiseOR(home.bitwiseAND(settled)))
+        # The largest of a struct is found by merging sorted rows, where that of a number would be
+        # found in a hash table.
+        merged = runs.repartition(1 << bits, "owner").groupBy("owner", *_KEY)
+        runs = merged.agg(F.max(F.struct("keep_id")).alias("kept"), F.sum("size").alias("size"))
+        runs = runs.select(*_KEY, F.col("kept.keep_id").alias("keep_id"), "size", "owner")
+    return runs.drop("owner")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
 
     Of rows with identical texts (null: empty) that with the largest id stays. Rows that repeat
@@ -62,7 +66,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = keep(digests(docs, id_col, text_col), "digests")
     total = rows.count()
-    merged = keep(groups(rows, total, fanout), "groups")
+    merged = keep(groups(rows, total, bits), "groups")
     same = F.struct("digest", "n_bytes", "check").alias("same")
     found = join_unique(rows.select("id", "digest", same), merged.select(same, "keep_id", "size"), "same", "size", total, "inner")
     return found.select(

@@ -84,10 +84,10 @@ def test_slices_cover_all_rows():
 # Exact dedup
 
 
-@pytest.mark.parametrize("fanout", [None, 2, 5])
-def test_exact_dedup(spark, fanout):
+@pytest.mark.parametrize("bits", [None, 2, 5])
+def test_exact_dedup(spark, bits):
     df, by_id, _ = documents(spark)
-    got = collected(exact_dedup.exact_dedup(df, fanout=fanout))
+    got = collected(exact_dedup.exact_dedup(df, bits=bits))
     groups = {}
     for i, t in by_id.items():
         groups.setdefault(t, []).append(i)
@@ -108,6 +108,16 @@ def test_exact_dedup_hot_group_and_edges(spark):
     assert rows == sorted([(True, 0, 1, 3, False), (False, 1, 1, 3, True), (False, 1, 1, 3, True), (True, 0, 2, 2, False), (False, 2, 2, 2, True)])
 
 
+def test_exact_dedup_merges_sorted_runs(spark):
+    """A shuffle to the owners, a sort and a merge of sorted rows in each round, and no hash table."""
+    rows = exact_dedup.digests(spark.range(100).selectExpr("id AS doc_id", "CAST(id % 7 AS string) AS text"), "doc_id", "text")
+    plan = exact_dedup.groups(rows, 100, 5)._jdf.queryExecution().executedPlan().toString()
+    rounds = 3  # of two, two and one bits
+    assert plan.count("REPARTITION_BY_NUM") == plan.count("Exchange") == rounds
+    assert plan.count("SortAggregate") == 2 * rounds and plan.count("+- Sort [") >= rounds and "HashAggregate" not in plan
+    assert exact_dedup.tree_bits(8, 0) == 4 and exact_dedup.tree_bits(200, 10**9) == 11
+
+
 # Jaccard join
 
 
