@@ -120,7 +120,7 @@ def _pairs(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     """(u, v, n_u, n_v) of classes of vectors of dim components that are similar."""
     n = max(classes.count(), 1)
     share = min(1.0, SAMPLE / n)
-    sample = classes.where(F.pmod(F.xxhash64("first", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)).select("first", "x").limit(2 * SAMPLE)
+    sample = classes.where(F.pmod(F.xxhash64("first", F.lit("sample")), F.lit(1 << 62)).cast("double") < share * float(1 << 62)).select("first", "x").limit(2 * SAMPLE)
     x = _matrix(sample.orderBy("first").select("x").toArrow().column(0).combine_chunks(), dim)
     mean, projection = learn_rotation(_unit(x) if len(x) else x)
     coded = classes.select("first", "x").mapInArrow(_code(mean, projection, dim), "id long, code long").withColumnRenamed("id", "first")

@@ -2,8 +2,9 @@
 
 Each language has probabilities of the pieces of a fixed public vocabulary. A word's probability
 is the sum over all its segmentations into pieces, by the forward algorithm; a text's is the
-product over its words. The probabilities are learned by expectation-maximisation on a bounded
-sample of labelled rows; every text is scored whole.
+product over its words. A character that is no piece has a probability by how often a language has
+such ones. The probabilities are learned by expectation-maximisation on a bounded sample of labelled
+rows; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ from pyspark.sql import functions as F
 from .words import Words, mix, powers, release, slices
 from .workspace import ship
 
-#: Labelled rows of each language that the model is fitted to, about; chosen by a hash of the id.
-SAMPLE = 1500
+#: Labelled rows of each language that the model is fitted to, and bytes of their texts, about and at
+#: most; chosen by a hash of the id.
+SAMPLE, SAMPLE_BYTES = 1500, 8_000_000
 ROUNDS = 2
-#: Characters of the longest piece that is used.
-LONGEST = 12
-#: Words up to here are scored in plain numbers, longer ones in logarithms.
+#: Words up to here are scored in plain numbers, longer ones in logarithms, and learned from in
+#: stretches of so many characters.
 PLAIN = 36
-UNKNOWN = 1e-6
+#: The probability of one character among those that are no pieces.
+UNKNOWN = 1e-4
 #: Word scores that a worker keeps.
 CACHE = 400_000
 MARK = "▁"
@@ -39,7 +41,7 @@ def vocabulary(path: str) -> list[str]:
     """Pieces in lower case, without control, unknown and byte pieces."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return sorted({p for p in pieces if p and len(p) <= LONGEST})
+    return sorted({p for p in pieces if p})
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -61,6 +63,7 @@ class Pieces:
     def __init__(self, pieces: list[str]):
         self.n = len(pieces)
         hashes = np.zeros(self.n, np.uint64)
+        self.lengths = sorted({1, *map(len, pieces)})
         for length in sorted({len(p) for p in pieces}):
             of = [i for i, p in enumerate(pieces) if len(p) == length]
             hashes[of] = mix(_hash(_codes([pieces[i] for i in of]))[:, -1] + np.uint64(length))
@@ -97,7 +100,7 @@ def word_scores(words: list[str], pieces: Pieces, prob: np.ndarray) -> np.ndarra
         ahead = [np.full((len(rows), prob.shape[1]), 1.0 if plain else 0.0)]
         for end in range(1, length + 1):
             now = np.zeros_like(ahead[0]) if plain else np.full_like(ahead[0], -np.inf)
-            for start in range(max(0, end - LONGEST), end):
+            for start in (end - n for n in pieces.lengths if n <= end):
                 piece = pieces.at(total, start, end)
                 before = ahead[start - end]
                 if end - start > 1:
@@ -113,20 +116,19 @@ def word_scores(words: list[str], pieces: Pieces, prob: np.ndarray) -> np.ndarra
                 else:
                     now = np.logaddexp(now, before + log[piece])
             ahead.append(now)
-            if len(ahead) > LONGEST:
+            if len(ahead) > pieces.lengths[-1]:
                 del ahead[0]
         out[rows] = np.log(ahead[-1]) if plain else ahead[-1]
     return out
 
 
 def _expected(words: list[str], counts: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
-    """Expected counts of the pieces in one language, by the forward-backward algorithm."""
+    """Expected counts of the pieces in one language, and of characters that are none, by the
+    forward-backward algorithm; words of at most PLAIN characters."""
     out = np.zeros(pieces.n + 1)
     for length, rows in _by_length(words):
-        if length > PLAIN:
-            continue
         total = _hash(_codes([words[i] for i in rows]))
-        spans = [(s, e, pieces.at(total, s, e)) for e in range(1, length + 1) for s in range(max(0, e - LONGEST), e)]
+        spans = [(s, e, pieces.at(total, s, e)) for e in range(1, length + 1) for s in (e - n for n in reversed(pieces.lengths) if n <= e)]
         weight = {(s, e): np.where((p >= 0) | (e - s == 1), prob[p], 0.0) for s, e, p in spans}
         ahead, behind = np.zeros((length + 1, len(rows))), np.zeros((length + 1, len(rows)))
         ahead[0] = behind[length] = 1.0
@@ -145,13 +147,18 @@ def fit(words: dict[str, dict[str, int]], pieces: Pieces) -> tuple[list[str], np
     languages = sorted(words)
     columns = []
     for language in languages:
-        own = list(words[language])
-        counts = np.array([words[language][w] for w in own], float)
+        stretches: dict[str, int] = {}
+        for w, n in words[language].items():
+            for k in range(0, len(w), PLAIN):
+                stretches[w[k : k + PLAIN]] = stretches.get(w[k : k + PLAIN], 0) + n
+        own = list(stretches)
+        counts = np.array([stretches[w] for w in own], float)
         prob = np.full(pieces.n + 1, 1.0 / (pieces.n + 1))
-        prob[-1] = UNKNOWN
         for _ in range(ROUNDS):
-            seen = _expected(own, counts, pieces, prob)[:-1] + 0.01
-            prob = np.r_[seen / seen.sum(), UNKNOWN]
+            prob[-1] *= UNKNOWN
+            seen = _expected(own, counts, pieces, prob) + 0.01
+            prob = seen / seen.sum()
+        prob[-1] *= UNKNOWN
         columns.append(prob)
     return languages, np.stack(columns, 1) if columns else np.zeros((pieces.n + 1, 0))
 
@@ -174,10 +181,10 @@ def _count(batches):
 
 def learn(labelled: DataFrame, path: str, id_col: str, text_col: str, label_col: str) -> tuple[list[str], np.ndarray]:
     """fit() to a sample of about SAMPLE rows of each label, the same in every run."""
-    counts = labelled.groupBy(F.col(label_col).alias("_label")).count().where("_label is not null")
-    share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("count"))
+    counts = labelled.groupBy(F.col(label_col).alias("_label")).agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.octet_length(text_col)).alias("_bytes")).where("_label is not null")
+    share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("_rows"), F.lit(float(SAMPLE_BYTES)) / F.greatest("_bytes", F.lit(1)))
     sample = labelled.join(F.broadcast(counts), F.col(label_col) == F.col("_label"))
-    sample = sample.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
+    sample = sample.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 62)).cast("double") < share * float(1 << 62))
     rows = sample.select("_label", text_col).mapInArrow(_count, "language string, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n"))
     words: dict[str, dict[str, int]] = {}
     for row in rows.toLocalIterator():

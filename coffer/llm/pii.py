@@ -41,8 +41,8 @@ PATTERNS = {
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Types whose entities have check digits, and what stands around an entity.
 CHECKED = {"iban": (r"\b", r"\b"), "card": (r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])")}
-#: Draws for an entity before what still collides is numbered.
-DRAWS = 8
+#: Draws of an entity's own format and length, and after these of longer ones.
+DRAWS, LONGER = 8, 4
 
 # Vowels and consonants of a script, each drawn for its like.
 _CLASSES = [
@@ -187,29 +187,30 @@ def _given(key: str) -> dict[str, str]:
 def surrogates(parts: DataFrame, key: str) -> DataFrame:
     """(kind, form, tail, to) of distinct (kind, form, tail): keyed, like the form, different from
     every other surrogate and from every form that occurs with that tail."""
-    # The tail may be one only if it is part of what is told apart.
     drawn = parts.withColumn("attempt", F.lit(0))
     forms = parts.select("kind", F.col("form").alias("to"), "tail").withColumn("real", F.lit(True))
-    for attempt in range(DRAWS):
+    # If too few of the form are left, as for names of two letters, what still collides gives way to
+    # a longer print of its own, in letters of its script or in digits.
+    print_of = F.sha2(F.concat_ws("|", F.lit(key), "kind", "form", "tail", F.col("attempt").cast("string")), 256)
+    letters = None
+    for script, chars in _CONSONANTS.items():
+        test, own_print = F.col("form").rlike(rf"\p{{Is{script}}}"), F.translate(F.substring(print_of, 1, 12), _HEX, chars)
+        letters = F.when(test, own_print) if letters is None else letters.when(test, own_print)
+    letters = letters.otherwise(F.translate(F.substring(print_of, 1, 12), _HEX, _LATIN))
+    digits = F.translate(F.substring(F.concat(print_of, print_of), F.lit(1), F.length("form") + 2), "abcdef", "012345")
+    longer = F.when(F.col("kind").isin("card", "ssn", "phone"), digits).otherwise(letters)
+    for attempt in range(DRAWS + LONGER):
         like, final = _surrogate(F.col("kind"), F.col("form"), key, F.col("attempt"))
-        own = keep(drawn.withColumn("_like", like).withColumn("to", final).drop("_like"), "surrogates")
+        to = final if attempt < DRAWS else F.when(F.col("attempt") < DRAWS, final).otherwise(longer)
+        own = keep(drawn.withColumn("_like", like).withColumn("to", to).drop("_like"), "surrogates")
         taken = own.groupBy("kind", "to", "tail").agg(F.min("form").alias("owner"), F.count(F.lit(1)).alias("n"))
         taken = taken.join(forms, ["kind", "to", "tail"], "left").where("n > 1 or real")
         clash = own.join(taken, ["kind", "to", "tail"]).where("real or form <> owner").select("kind", "form", "tail", F.lit(True).alias("again"))
         clash = keep(clash, "clashes")
-        if attempt + 1 == DRAWS or clash.limit(1).count() == 0:
-            break
+        if clash.limit(1).count() == 0:
+            return own.select("kind", "form", "tail", "to")
         drawn = own.drop("to").join(clash, ["kind", "form", "tail"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(False)).cast("int")).drop("again")
-    # Too few of the form are left, as for names of two letters: what still collides gives way to
-    # a print of its own, as it may be the form itself or another one that occurs.
-    print_of = F.substring(F.sha2(F.concat_ws("|", F.lit(key), "kind", "form", "tail"), 256), 1, 12)
-    letters = None
-    for script, chars in _CONSONANTS.items():
-        test, own_print = F.col("form").rlike(rf"\p{{Is{script}}}"), F.translate(print_of, _HEX, chars)
-        letters = F.when(test, own_print) if letters is None else letters.when(test, own_print)
-    longer = letters.otherwise(F.translate(print_of, _HEX, _LATIN))
-    digits = F.concat("to", F.translate(F.substring(F.sha2(F.concat_ws("|", F.lit(key), "kind", "form", "tail"), 256), 1, 12), "abcdef", "012345"))
-    return own.join(clash, ["kind", "form", "tail"], "left").select("kind", "form", "tail", F.when(~F.coalesce("again", F.lit(False)), F.col("to")).when(F.col("kind").isin("card", "ssn", "phone"), digits).otherwise(longer).alias("to"))
+    raise ValueError("surrogates collide however long they get: is the key's hash known to the texts' writer?")
 
 
 def _written(kind: Column, entity: Column, to: Column, given: Column, title: Column) -> Column:

@@ -363,6 +363,38 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.language_id(df.withColumn("lang", F.lit(None).cast("string")), PIECES).collect()} == {"und"}
 
 
+def test_languages_without_spaces(spark):
+    """Words beyond PLAIN characters are learned from, and characters that are no pieces."""
+    r = random.Random(2)
+    scripts = {"han": [chr(0x4E00 + r.randrange(20000)) for _ in range(300)], "thai": [chr(c) for c in range(0x0E01, 0x0E2F)], "cyr": list("абвгдежзиклмнопрст")}
+    rows = [(i, "".join(r.choice(scripts[lang]) for _ in range(60)), lang) for i in range(240) for lang in [list(scripts)[i % 3]]]
+    got = collected(langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES))
+    wrong = [i for i, _, lang in rows if got[i].held_out and got[i].lang_pred != lang]
+    assert not wrong and sum(g.held_out for g in got.values()) > 50
+
+
+def test_expected_counts_equal_all_segmentations():
+    names = ["a", "b", "ab", "ba", "aba", "bbbbbbbbbbbbbb"]
+    pieces = langid.Pieces(names)
+    prob = np.random.default_rng(1).random(7) * 0.2
+    at = {p: i for i, p in enumerate(names)}
+
+    def every(w):
+        if not w:
+            yield ()
+        for n in range(1, len(w) + 1):
+            if w[:n] in at or n == 1:
+                yield from ((at.get(w[:n], 6), *rest) for rest in every(w[n:]))
+
+    for w in ("a", "abab", "abcab", "b" * 15):
+        ways = list(every(w))
+        each = np.array([np.prod(prob[list(x)]) for x in ways])
+        want = np.zeros(7)
+        for x, p in zip(ways, each / each.sum()):
+            np.add.at(want, list(x), 3 * p)
+        assert np.allclose(langid._expected([w], np.array([3.0]), pieces, prob), want)
+
+
 def test_forward_sums_all_segmentations():
     pieces = langid.Pieces(["a", "b", "ab", "ba", "aba"])
     rng = np.random.default_rng(0)
@@ -381,8 +413,15 @@ def test_forward_sums_all_segmentations():
 
     for w in ("a", "ab", "abab", "abcab", "bababa", "ccc"):
         assert np.allclose(langid.word_scores([w], pieces, prob)[0], np.log(total(w)))
+    # Beyond PLAIN characters in logarithms: the same sum.
     long = "ab" * 40
-    assert np.isfinite(langid.word_scores([long], pieces, prob)).all()
+    part = langid.word_scores(["ab" * 10], pieces, prob)
+    plain, langid_plain = [], langid.PLAIN
+    for limit in (0, 1000):
+        langid.PLAIN = limit
+        plain.append(langid.word_scores([long, "ab" * 10], pieces, prob))
+    langid.PLAIN = langid_plain
+    assert np.allclose(plain[0], plain[1]) and np.allclose(plain[0][1], part[0])
 
 
 # Mixing
@@ -555,6 +594,15 @@ def test_pii_surrogates_are_distinct(spark):
     assert not any((r.kind, r.to) in known for r in rows)
 
 
+def test_pii_surrogates_when_few_are_left(spark, monkeypatch):
+    """Forms beyond what their format has room for get longer ones, which collide with nothing."""
+    letters = "aeioubcd"
+    forms = [("name", a + b, "") for a in letters for b in letters] + [("ssn", str(i), "") for i in range(10)]
+    rows = pii.surrogates(spark.createDataFrame(forms, "kind string, form string, tail string"), "key").collect()
+    assert len({(r.kind, r.to) for r in rows}) == len(forms) and not {(r.kind, r.to, "") for r in rows} & set(forms)
+    assert all(r.to.isdigit() for r in rows if r.kind == "ssn") and any(len(r.to) > 2 for r in rows)
+
+
 def test_pii_check_digits(spark):
     rows = [
         (1, "order 4111111111111112 or 5111 4111 1111 1113"), (2, "code GB82WEST12345698765433 only"),
