@@ -56,26 +56,34 @@ def warc_entries(records: DataFrame) -> DataFrame:
 def msi_directories(directories: DataFrame, depth: int = 256) -> DataFrame:
     """(directory, path) of (directory, parent, default_dir), by a recursive query: names from the
     root down. A root, which has no parent or itself, adds no name, nor does one that is empty or
-    a dot; a circle ends where it closes."""
-    spark = directories.sparkSession
-    named = directories.select("directory", "parent", X.default_dir_name("default_dir").alias("name"))
+    a dot; a circle ends where it closes. With a column archive, directories are those of an archive
+    and so are the results."""
+    spark, of = directories.sparkSession, _archive(directories)
+    named = directories.select(F.col("archive") if of else F.lit("").alias("archive"), "directory", "parent", X.default_dir_name("default_dir").alias("name"))
     named.createOrReplaceTempView("_msi_directories")
-    return spark.sql(f"""
-        WITH RECURSIVE up(start, cur, segs, seen) MAX RECURSION LEVEL {depth + 1} AS (
-          SELECT directory, directory, CAST(array() AS ARRAY<STRING>), CAST(array() AS ARRAY<STRING>) FROM _msi_directories
+    found = spark.sql(f"""
+        WITH RECURSIVE up(archive, start, cur, segs, seen) MAX RECURSION LEVEL {depth + 1} AS (
+          SELECT archive, directory, directory, CAST(array() AS ARRAY<STRING>), CAST(array() AS ARRAY<STRING>) FROM _msi_directories
           UNION ALL
-          SELECT up.start, d.parent, IF(d.name IS NULL, up.segs, concat(array(d.name), up.segs)), concat(up.seen, array(up.cur))
-          FROM up JOIN _msi_directories d ON up.cur = d.directory
+          SELECT up.archive, up.start, d.parent, IF(d.name IS NULL, up.segs, concat(array(d.name), up.segs)), concat(up.seen, array(up.cur))
+          FROM up JOIN _msi_directories d ON up.cur = d.directory AND up.archive = d.archive
           WHERE d.parent IS NOT NULL AND d.parent <> '' AND d.parent <> d.directory AND NOT array_contains(up.seen, up.cur) AND size(up.seen) < {depth})
-        SELECT start AS directory, array_join(max_by(segs, size(seen)), '/') AS path FROM up GROUP BY start""")
+        SELECT archive, start AS directory, array_join(max_by(segs, size(seen)), '/') AS path FROM up GROUP BY archive, start""")
+    return found.select(*of, "directory", "path")
+
+
+def _archive(df: DataFrame) -> list[str]:
+    return ["archive"] if "archive" in df.columns else []
 
 
 def msi_paths(members: DataFrame, files: DataFrame, components: DataFrame, directories: DataFrame) -> DataFrame:
     """members (name, ...) of the cabinets with their installed path: three joins. A member without
-    a file row keeps its name, a file without a component its bare long name."""
+    a file row keeps its name, a file without a component its bare long name. The tables of many
+    archives have a column archive, which is then part of every key."""
+    of = _archive(members)
     paths = msi_directories(directories).withColumnRenamed("path", "dir_path")
-    f = files.select(F.col("file").alias("name"), "component", X.file_long_name("file_name").alias("long_name"))
-    out = members.join(f, "name", "left").join(components.select("component", "directory"), "component", "left").join(paths, "directory", "left")
+    f = files.select(*of, F.col("file").alias("name"), "component", X.file_long_name("file_name").alias("long_name"))
+    out = members.join(f, [*of, "name"], "left").join(components.select(*of, "component", "directory"), [*of, "component"], "left").join(paths, [*of, "directory"], "left")
     path = F.when(F.col("long_name").isNull(), F.col("name")).when(F.coalesce("dir_path", F.lit("")) == "", F.col("long_name")).otherwise(F.concat_ws("/", "dir_path", "long_name"))
     return out.select(*members.columns, path.alias("path"))
 

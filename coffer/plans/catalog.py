@@ -99,6 +99,7 @@ _PACKED: dict[str, tuple[str, Callable, str, str]] = {
     "crx": (".crx", pack.crx_bytes, "Crx", _DOS),
     "sfx": (".exe", _sfx, "Zip", _DOS),
     "tar": (".tar", pack.tar_bytes, "Tar", _UNIX),
+    "sevenz": (".7z", pack.sevenz_bytes, "SevenZ", "NULL"),
     "cpio": (".cpio", pack.cpio_bytes, "Cpio", _UNIX),
     "ar": (".a", pack.ar_bytes, "Ar", _UNIX),
     "deb": (".deb", _deb, "Deb", _UNIX),
@@ -108,7 +109,7 @@ _PACKED: dict[str, tuple[str, Callable, str, str]] = {
     **{f"tar_{e}": (f".tar.{e}", _in_tar(k), "Tar", _UNIX) for e, k in (("gz", "Gzip"), ("bz2", "Bzip2"), ("xz", "Xz"), ("zst", "Zstd"), ("lz4", "Lz4"), ("br", "Brotli"))},
 }
 
-_READ = ("zip", "tar_zst", "cpio", "ar", "deb", "rpm", "cab", "conda", "sfx")
+_READ = ("zip", "sevenz", "tar_zst", "cpio", "ar", "deb", "rpm", "cab", "conda", "sfx")
 
 
 def _list_query(name: str):
@@ -132,6 +133,119 @@ def _tree(spark, d, ext, writer):
     return scan.list_entries(pack_rows(documents(spark, d, ext), writer)).select("archive", "format", "kind", "path", "size")
 
 
+# Small archives: ten documents or one in each
+
+
+def _msi(files):
+    """Each document a component in a folder of its language."""
+    rows = [(f"f{i}", f"c{i}", *n.split("/"), b) for i, (n, b) in enumerate(files)]
+    tables = {
+        "Media": ({"DiskId": "i", "LastSequence": "i", "Cabinet": "s"}, [(1, len(rows), "#cab1")]),
+        "Directory": ({"Directory": "s", "Directory_Parent": "s", "DefaultDir": "s"}, [("TARGETDIR", None, "SourceDir"), *((f"D_{x}", "TARGETDIR", f"{x.upper()}~1|{x}") for x in sorted({r[2] for r in rows}))]),
+        "Component": ({"Component": "s", "Directory_": "s"}, [(c, f"D_{folder}") for _, c, folder, _, _ in rows]),
+        "File": ({"File": "s", "Component_": "s", "FileName": "s"}, [(f, c, f"{f.upper()}~1.TXT|{name}") for f, c, _, name, _ in rows]),
+    }
+    return pack.msi_bytes(tables, {"cab1": pack.cab_bytes([(r[0], r[4]) for r in rows])})
+
+
+def _locked_zip(files):
+    """The old cipher and the strong one by turns."""
+    return pack.locked_zip_bytes(files, "secret", int(files[0][0][:-4]) // 10 % 2 == 1)
+
+
+def _dmg(files):
+    return pack.dmg_bytes(pack.hfs_bytes(files))
+
+
+#: name: (extension, writer, format reported, documents of an archive, path in SQL)
+_SMALL: dict[str, tuple[str, Callable, str, int, str]] = {
+    **{n: (f".{e}", w, f, 10, "CAST(doc_id AS VARCHAR) || '.txt'") for n, e, w, f in (
+        ("rar", "rar", pack.rar_bytes, "Rar"), ("squashfs", "sqfs", pack.squashfs_bytes, "Squashfs"), ("appimage", "AppImage", pack.appimage_bytes, "AppImage"),
+        ("hfs", "hfs", pack.hfs_bytes, "HfsPlus"), ("dmg", "dmg", _dmg, "Dmg"), ("arc", "arc", pack.arc_bytes, "Arc"), ("lbr", "lbr", pack.lbr_bytes, "Lbr"),
+        ("alz", "alz", pack.alz_bytes, "Alz"), ("arj", "arj", pack.arj_bytes, "Arj"), ("zoo", "zoo", pack.zoo_bytes, "Zoo"), ("stuffit", "sit", pack.stuffit_bytes, "StuffIt"),
+        ("locked_zip", "zip", _locked_zip, "Zip"),
+    )},
+    "msi": (".msi", _msi, "Msi", 10, "lang || '/' || CAST(doc_id AS VARCHAR) || '.txt'"),
+    **{n: (f".{n}", w, f, 1, "CAST(doc_id AS VARCHAR) || '.txt'") for n, w, f in (("macbinary", pack.macbinary_bytes, "MacBinary"), ("applesingle", pack.applesingle_bytes, "AppleSingle"), ("hqx", pack.binhex_bytes, "BinHex"))},
+    "dms": (".dms", pack.dms_bytes, "Dms", 1, "CAST(doc_id AS VARCHAR) || '.adf'"),
+}
+
+
+def small_archives(spark, d, name: str) -> DataFrame:
+    ext, writer, _, n, _ = _SMALL[name]
+    docs = _table(spark, d, "documents")
+    own = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    rows = docs.select(
+        F.concat(F.expr(f"doc_id div {n}").cast("string"), F.lit(ext)).alias("archive"), (F.concat_ws("/", "lang", own) if name == "msi" else own).alias("name"),
+        F.coalesce("text", F.lit("")).cast("binary").alias("body"), F.col("doc_id").alias("seq"),
+    )
+    return pack_rows(rows, writer)
+
+
+def _small_query(name: str):
+    def run(spark, d):
+        entries = scan.list_entries(small_archives(spark, d, name), content=True, password="secret").where("kind = 'File'")
+        # A disk image's size is known only when it is read.
+        size = F.when(F.col("format") == "Dms", F.octet_length("content")).otherwise(F.col("size")).cast("long").alias("size")
+        return entries.select("archive", "format", "path", "is_encrypted", size, F.md5("content").alias("body_md5"))
+
+    return run
+
+
+def _small_sql(name: str) -> str:
+    ext, _, format, n, path = _SMALL[name]
+    return f"""SELECT CAST(doc_id // {n} AS VARCHAR) || '{ext}' AS archive, '{format}' AS format, {path} AS path, {"true" if name == "locked_zip" else "false"} AS is_encrypted,
+        {_SIZE} AS size, md5(coalesce(text, '')) AS body_md5 FROM documents"""
+
+
+# The sink
+
+
+def _with_evil(files):
+    return pack.zip_bytes([*files, ("../evil.txt", b"x"), ("__MACOSX/._a", b"y"), ("/etc/evil", b"z")])
+
+
+def _folder(spark) -> str:
+    """A folder that driver and executors share; the sink writes through the file system."""
+    import tempfile
+    import uuid
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{named.removeprefix('file://')}/extract-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="coffer-extract-")
+
+
+def _tens(spark, d) -> DataFrame:
+    rows = _table(spark, d, "documents").select(F.concat(F.expr("doc_id div 10").cast("string"), F.lit(".zip")).alias("archive"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("body"), F.col("doc_id").alias("seq"))
+    return pack_rows(rows, _with_evil)
+
+
+def extract_status(spark, d):
+    """What the sink says of every entry: documents are written, metadata is passed over, and what
+    would lie outside fails."""
+    from ..operators import extract as E
+
+    return E.extract_archives(_tens(spark, d), _folder(spark)).select("archive", F.col("idx").cast("long").alias("idx"), "path", "status", "error_class", "bytes")
+
+
+_STATUS_SQL = f"""WITH f AS (SELECT CAST(doc_id // 10 AS VARCHAR) || '.zip' AS archive, doc_id, CAST(doc_id AS VARCHAR) || '.txt' AS path, {_SIZE} AS bytes FROM documents)
+SELECT archive, row_number() OVER (PARTITION BY archive ORDER BY doc_id) - 1 AS idx, path, 'OK' AS status, NULL AS error_class, bytes FROM f
+UNION ALL SELECT archive, count(*), '../evil.txt', 'FAILED', 'PATH_TRAVERSAL', NULL FROM f GROUP BY archive
+UNION ALL SELECT archive, count(*) + 2, '/etc/evil', 'FAILED', 'PATH_TRAVERSAL', NULL FROM f GROUP BY archive"""
+
+
+def extract_written(spark, d):
+    """The files that the sink wrote, each archive in a folder of its name."""
+    from ..operators import extract as E
+
+    to = _folder(spark)
+    E.extract_archives(_tens(spark, d), to).write.format("noop").mode("overwrite").save()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(to)
+    return files.select(F.substring_index("path", "/", -2).alias("path"), F.col("length").alias("size"), F.md5("content").alias("body_md5"))
+
+
+_WRITTEN_SQL = f"SELECT CAST(doc_id // 10 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, {_SIZE} AS size, md5(coalesce(text, '')) AS body_md5 FROM documents"
+
+
 # Single compressed files
 
 _KINDS = ("Gzip", "Bzip2", "Xz", "Zstd", "Lz4", "Brotli")
@@ -389,6 +503,20 @@ def warc_relation(spark, d):
 _RELATION_SQL = "SELECT regexp_replace(archive, '[.]warc$', '') AS archive, idx, path, modified_s, body_md5 FROM (" + _warc_sql(".warc") + ")"
 
 
+def warc_nameless(spark, d):
+    """Records half of which have no address: they are named by how many entries come before."""
+    p = _table(spark, d, "pages")
+    uri = F.when(F.col("page_id") % 2 == 1, F.col("url"))
+    records = p.select(F.expr("page_id div 100").cast("string").alias("archive"), F.col("page_id").alias("record_no"), F.lit("resource").alias("type"), uri.alias("uri"), F.lit("2024-03-01T12:00:00Z").alias("date"), F.coalesce("html", F.lit("")).cast("binary").alias("block"))
+    return R.warc_entries(records).select("archive", F.col("idx").cast("long").alias("idx"), "path", F.md5("content").alias("body_md5"))
+
+
+_NAMELESS_SQL = """WITH p AS (SELECT page_id, page_id // 100 AS of, coalesce(html, '') AS html, row_number() OVER (PARTITION BY page_id // 100 ORDER BY page_id) - 1 AS idx, list_transform(list_filter(string_split(string_split(string_split(regexp_replace(url, '^.*?://', ''), '?')[1], '#')[1], '/'), lambda x: x <> '' AND x <> '.'), lambda x: CASE WHEN x = '..' THEN '_' ELSE x END) AS parts FROM pages),
+q AS (SELECT *, CASE WHEN page_id % 2 = 0 THEN 'record-' || CAST(idx AS VARCHAR) WHEN len(parts) = 0 THEN 'index' ELSE array_to_string(parts, '/') END AS base FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY of, base ORDER BY page_id) - 1 AS again FROM q)
+SELECT CAST(of AS VARCHAR) AS archive, idx, base || CASE WHEN again > 0 THEN '-' || CAST(again AS VARCHAR) ELSE '' END AS path, md5(html) AS body_md5 FROM r"""
+
+
 def _msi_tables(spark, d):
     """Regions and nations as folders, suppliers as files, the first region below itself and two
     folders in a circle."""
@@ -412,6 +540,19 @@ _MSI_SQL = """SELECT 'F' || CAST(s_suppkey AS VARCHAR) AS name, CASE WHEN s_supp
     FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 
 
+def msi_many(spark, d):
+    """The same tables in two archives at once, in the second with other names: keys don't mix."""
+    members, files, components, directories = _msi_tables(spark, d)
+    twice = lambda df, change: df.withColumn("archive", F.lit("a.msi")).unionByName(df.withColumns({**change, "archive": F.lit("b.msi")}))
+    tables = twice(members, {}), twice(files, {"file_name": F.concat("file_name", F.lit(".b"))}), twice(components, {}), twice(directories, {"default_dir": F.when(F.col("default_dir") == ".", ".").otherwise(F.concat(F.lit("x"), F.regexp_extract("default_dir", r"([^|:]*)(:.*)?$", 1)))})
+    return R.msi_paths(*tables).select("archive", "name", "path")
+
+
+_MSI_MANY_SQL = f"""WITH m AS ({_MSI_SQL})
+SELECT 'a.msi' AS archive, name, path FROM m UNION ALL
+SELECT 'b.msi', name, CASE WHEN path NOT LIKE '%/%' THEN path ELSE 'x' || replace(regexp_replace(path, '/[^/]*$', ''), '/', '/x') || '/' || regexp_extract(path, '[^/]*$') || '.b' END FROM m"""
+
+
 def wim_join(spark, d):
     """Documents as entries of images, their bodies found by hash."""
     docs = _table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
@@ -510,6 +651,13 @@ def signature_places(spark, d):
 _PLACE_SQL = f"SELECT doc_id, {_SIZE} AS at FROM documents"
 
 
+# The formats in the order in which equal rules are decided.
+_FORMATS = (
+    "Jar Apk Ipa Epub Docx Xlsx Pptx Odt Ods Odp Crx Conda Zip Cpio SevenZ Rar Tar Cab Deb Ar Rpm Xar Msi Iso Squashfs AppImage Wim Sfx Warc HfsPlus Apfs Dmg Arj Zoo Lbr Crunch Arc Squeeze BinHex MacBinary AppleSingle CompactPro PackIt StuffIt5 StuffIt StuffItX Alz Nsis PowerPacker Lzx Dms"
+).split()
+_REGISTRY_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}')" for i, f in enumerate(_FORMATS)) + ") t(priority, format)"
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds_and_sizes(spark, sf_dir)
 
@@ -520,6 +668,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         **{f"{n}_bodies": _body_query(n) for n in _READ},
         "xar_tree": lambda s, d: _tree(s, d, ".xar", pack.xar_bytes),
         "wim_tree": lambda s, d: _tree(s, d, ".wim", pack.wim_bytes),
+        "iso_tree": lambda s, d: _tree(s, d, ".iso", pack.iso_bytes),
+        **{f"{n}_files": _small_query(n) for n in _SMALL},
+        "extract_status": extract_status,
+        "extract_written": extract_written,
+        "warc_nameless": warc_nameless,
+        "registry": lambda s, d: scan.formats(s).select("priority", "format"),
+        "msi_many": msi_many,
         "raw_files": raw_files,
         "detected_compressors": detected_compressors,
         "decompressed": decompressed,
@@ -558,6 +713,13 @@ def oracle_sql() -> dict[str, str]:
         **{f"{n}_bodies": _body_sql(_PACKED[n][0], _PACKED[n][2]) for n in _READ},
         "xar_tree": _TREE_SQL.format(ext=".xar", format="Xar", size=_SIZE),
         "wim_tree": _TREE_SQL.format(ext=".wim", format="Wim", size=_SIZE),
+        "iso_tree": _TREE_SQL.format(ext=".iso", format="Iso", size=_SIZE),
+        **{f"{n}_files": _small_sql(n) for n in _SMALL},
+        "extract_status": _STATUS_SQL,
+        "extract_written": _WRITTEN_SQL,
+        "warc_nameless": _NAMELESS_SQL,
+        "registry": _REGISTRY_SQL,
+        "msi_many": _MSI_MANY_SQL,
         "raw_files": _RAW_SQL,
         "detected_compressors": _COMPRESSOR_SQL,
         "decompressed": _DECOMPRESSED_SQL,

@@ -164,6 +164,41 @@ def test_extract_times_and_links(tmp_path):
     assert r.extracted == 1 and not (tmp_path / "b/evil").is_symlink()
 
 
+def test_extract_never_leaves_the_folder(tmp_path):
+    from coffer.schema import DIR, SYMLINK, Archive, Entry
+
+    def archive(*rows):
+        return Archive("Tar", [Entry(p.encode(), p, DIR if p.endswith("/") else SYMLINK if to else "File", to, read=None if to or p.endswith("/") else lambda: b"pwned") for p, to in rows])
+
+    def outside():
+        return sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if not str(p).startswith(str(tmp_path / "out") + "/") and p != tmp_path / "out")
+
+    # Links that each look harmless lead, one after another, to a sibling with the same beginning.
+    chain = archive(("x/", None), ("x/y", ".."), ("x/y/z", "../out-evil"), ("x/y/z/pwned", None))
+    r = E.extract_all(chain, str(tmp_path / "out"))
+    assert not outside() and ("x/y/z", "PATH_TRAVERSAL") in [(f[1], f[2]) for f in r.failed]
+    # A link whose way changes after it was laid is taken away in the end, and nothing goes through it.
+    late = archive(("d/", None), ("d/p", "q/../up"), ("d/q", ".."), ("d/p/pwned", None), ("ok", "d"))
+    r = E.extract_all(late, str(tmp_path / "out" / "late"))
+    assert not (tmp_path / "out" / "up").exists() and not (tmp_path / "out" / "late" / "d" / "p").is_symlink()
+    assert {f[1] for f in r.failed} >= {"d/p/pwned", "d/p"} and (tmp_path / "out" / "late" / "ok").is_symlink()
+    # Folders through a link that was there before.
+    (tmp_path / "out" / "old").mkdir()
+    os.symlink(str(tmp_path / "elsewhere"), tmp_path / "out" / "old" / "l")
+    (tmp_path / "elsewhere").mkdir()
+    r = E.extract_all(archive(("l/", None), ("l/f", None)), str(tmp_path / "out" / "old"))
+    assert r.extracted == 0 and outside() == ["elsewhere"]
+
+
+def test_msi_paths_of_many_archives(spark):
+    one = lambda a, name: ((a, "T", None, "SourceDir"), (a, "D", "T", name))
+    directories = spark.createDataFrame([*one("a", "one"), *one("b", "two")], "archive string, directory string, parent string, default_dir string")
+    components = spark.createDataFrame([("a", "c", "D"), ("b", "c", "D")], "archive string, component string, directory string")
+    files = spark.createDataFrame([("a", "f", "c", "X|x"), ("b", "f", "c", "Y|y")], "archive string, file string, component string, file_name string")
+    members = spark.createDataFrame([("a", "f"), ("b", "f"), ("c", "f")], "archive string, name string")
+    assert {(r.archive, r.path) for r in R.msi_paths(members, files, components, directories).collect()} == {("a", "one/x"), ("b", "two/y"), ("c", "f")}
+
+
 def test_extract_archives(spark, tmp_path):
     files = frame(spark, [("my.zip", pack.zip_bytes([("a.txt", b"A"), ("../b", b"B")])), ("bad.zip", b"PK\3\4")])
     rows = {(r.archive, r.path): (r.status, r.error_class, r.bytes) for r in E.extract_archives(files, str(tmp_path)).collect()}
