@@ -4,7 +4,8 @@ Writing: a page becomes an HTTP response with chunked transfer framing. A respon
 ``segment`` bytes is cut: its first part is a response record with WARC-Segment-Number 1, the rest
 are continuation records that name it in WARC-Segment-Origin-ID; the last has the total length.
 Records are dealt over the archives by their own ids, so the segments of a page lie in several
-archives. A payload that occurs again is a revisit record without it.
+archives. A payload that occurs again is a revisit record without it. An archive is one gzip stream,
+as Spark's text writer makes it, so that it can lie in any store that Spark writes to.
 
 Reading: archives are parsed record by record, continuation records are grouped by origin, put in
 the order of their numbers and checked against the total length; then the chunks are decoded.
@@ -21,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import folder, join_unique, keep, ship
+from .workspace import folder, forget, join_unique, keep, ship
 
 SEGMENT = 64 * 1024
 CHUNK = 8 * 1024
-ARCHIVE = 32 << 20
+#: Bytes of payloads of an archive, and of the smallest ones that many tasks are worth.
+ARCHIVE, LEAST = 32 << 20, 1 << 20
 CRLF = b"\r\n"
 _END = CRLF * 2
 
@@ -117,74 +119,85 @@ def urn(text: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, text)}>"
 
 
-def segments(page: int, url: str, payload: bytes, size: int) -> list[tuple[str, bytes]]:
-    """(id, record) of a page's response and its continuations."""
-    block = http_response(payload)
-    origin = urn(f"page/{page}")
+def _common(page: int | None, url: str | None, sha1: str) -> list[tuple[str, str]]:
     uri = " ".join((url or f"page:{page}").split())
-    common = [("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", uri)]
-    head = [("WARC-Type", "response"), ("WARC-Record-ID", origin), *common, ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("X-Page-ID", str(page)), ("Content-Type", "application/http;msgtype=response")]
+    own = [("X-Page-ID", str(page))] if page is not None else []
+    return [("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{sha1}"), *own]
+
+
+def segments(name: str, page: int | None, url: str | None, payload: bytes, size: int) -> list[tuple[str, bytes]]:
+    """(id, record) of a page's response and its continuations; name is the row's own."""
+    block = http_response(payload)
+    origin = urn(name)
+    common = _common(page, url, digest(payload))
+    head = [("WARC-Type", "response"), ("WARC-Record-ID", origin), *common, ("Content-Type", "application/http;msgtype=response")]
     parts = cut(block, size)
     if len(parts) == 1:
         return [(origin, record(head, block))]
     out = [(origin, record([*head, ("WARC-Segment-Number", "1")], parts[0]))]
     for n, part in enumerate(parts[1:], 2):
-        own = urn(f"page/{page}/{n}")
-        tail = [("WARC-Type", "continuation"), ("WARC-Record-ID", own), *common, ("WARC-Segment-Origin-ID", origin), ("WARC-Segment-Number", str(n))]
+        own = urn(f"{name}/{n}")
+        tail = [("WARC-Type", "continuation"), ("WARC-Record-ID", own), *common[:2], ("WARC-Segment-Origin-ID", origin), ("WARC-Segment-Number", str(n))]
         if n == len(parts):
             tail.append(("WARC-Segment-Total-Length", str(len(block))))
         out.append((own, record(tail, part)))
     return out
 
 
-def revisit(page: int, url: str, refers_to: int, sha1: str) -> tuple[str, bytes]:
-    own = urn(f"page/{page}")
-    uri = " ".join((url or f"page:{page}").split())
-    headers = [("WARC-Type", "revisit"), ("WARC-Record-ID", own), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", uri), ("WARC-Refers-To", urn(f"page/{refers_to}")), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Payload-Digest", f"sha1:{sha1}"), ("X-Page-ID", str(page)), ("X-Refers-To-Page", str(refers_to))]
+def revisit(name: str, page: int | None, url: str | None, refers_to: int, refers_name: str, sha1: str) -> tuple[str, bytes]:
+    own = urn(name)
+    headers = [("WARC-Type", "revisit"), ("WARC-Record-ID", own), *_common(page, url, sha1), ("WARC-Refers-To", urn(refers_name)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page", str(refers_to))]
     return own, record(headers, b"")
 
 
-def _records(size: int, archives: int):
+def _records(size: int):
     def run(batches):
         for batch in batches:
             for b in (batch.slice(i, 200) for i in range(0, len(batch), 200)):
-                of, raw = [], []
-                for page, url, html, sha1, refers in zip(*(c.to_pylist() for c in b.columns)):
-                    found = segments(page, url, (html or "").encode(), size) if refers is None else [revisit(page, url, refers, base64.b32encode(sha1).decode())]
-                    of += [int(own[10:18], 16) % archives for own, _ in found]
+                ids, raw = [], []
+                for page, url, html, sha1, copy, last in zip(*(c.to_pylist() for c in b.columns)):
+                    sha1 = base64.b32encode(sha1).decode()
+                    name = lambda page, url, copy: f"page/{page}/{sha1}/{url}/{copy}"  # noqa: E731,B023
+                    own = name(page, url, copy)
+                    found = segments(own, page, url, (html or "").encode(), size) if last is None else [revisit(own, page, url, last["page"], name(last["page"], last["url"], 0), sha1)]
+                    ids += [own for own, _ in found]
                     # The line separator of the writer gives the record its second end of line.
                     raw += [r[:-2].decode("utf-8") for _, r in found]
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(raw, pa.string())], names=["archive", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(raw, pa.string())], names=["record", "value"])
 
     return run
 
 
 def write_archives(pages: DataFrame, path: str, archives: int | None = None, segment: int = SEGMENT, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write a WARC record for each row of pages to files under path, about ``archives`` of them: by
-    default so many that each has ARCHIVE bytes of payloads.
+    default as many as shuffles have partitions, with LEAST to ARCHIVE bytes of payloads in each.
 
-    Of rows with equal payloads of at least least_bytes bytes that with the largest id is a
-    response and the others revisit it. Only digests are shuffled to find out which; a payload of
-    very many pages is no hot key (join_unique), and revisits go on without their html.
+    Of rows with equal payloads of at least least_bytes bytes those with the largest id are
+    responses and the others revisit it; a null id is smaller than any. Only digests are shuffled to
+    find out which; a payload of very many pages is no hot key (join_unique), and revisits go on
+    without their html. Rows that repeat as a whole are told apart by a number.
     """
     ship(pages.sparkSession)
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.unhex(F.sha1(html.cast("binary"))).alias("sha1"))
-    prints = keep(rows.select("page", "sha1", F.octet_length(html).alias("n")), "prints")
+    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.unhex(F.sha1(html.cast("binary"))).alias("sha1"), F.lit(0).cast("long").alias("copy"))
+    own = ["page", "url", "sha1"]
+    prints = keep(rows.select(*own, F.octet_length(html).cast("long").alias("n")), "prints")
     if archives is None:
-        archives = max(4, (prints.agg(F.sum("n")).first()[0] or 0) // ARCHIVE)
+        size = prints.agg(F.sum("n")).first()[0] or 0
+        archives = max(min(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // LEAST), size // ARCHIVE, 4)
+    if prints.groupBy(*own).agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count():
+        whole = rows.groupBy(*own).agg(F.max("html").alias("html"), F.count(F.lit(1)).alias("k"))
+        rows = whole.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select(*rows.columns)
     prints = prints.where(F.col("n") >= least_bytes)
     total = max(prints.count(), 1)
-    if prints.select("page").distinct().count() < total:
-        rows = rows.dropDuplicates(["page"])
-        prints = prints.dropDuplicates(["page"])
-    copies = prints.groupBy("sha1", "n").agg(F.max("page").alias("last"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    copies = copies.select(F.struct("sha1", "n").alias("same"), "last", "k")
-    older = join_unique(prints.select("page", F.struct("sha1", "n").alias("same")), copies, "same", "k", total, "inner").where("page <> last").select("page", "last")
-    joined = rows.join(keep(older, "older"), "page", "left")
-    joined = joined.select("page", "url", F.when(F.col("last").isNull(), F.col("html")).alias("html"), "sha1", "last")
-    records = joined.mapInArrow(_records(segment, archives), "archive int, value string")
-    records.repartition(archives, "archive").select("value").write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    same = F.struct("sha1", "n").alias("same")
+    copies = prints.groupBy("sha1", "n").agg(F.max(F.struct("page", "url")).alias("last"), F.count(F.lit(1)).alias("k")).where("k > 1").select(same, "last", "k")
+    older = join_unique(prints.select("page", same), copies, "same", "k", total, "inner").where("NOT page <=> last.page")
+    older = keep(older.select(F.struct("page", "same.sha1").alias("row"), "last").distinct(), "older")
+    joined = rows.withColumn("row", F.struct("page", "sha1")).join(older, "row", "left")
+    joined = joined.select("page", "url", F.when(F.col("last").isNull(), F.col("html")).alias("html"), "sha1", "copy", "last")
+    records = joined.mapInArrow(_records(segment), "record string, value string")
+    records.repartition(archives, "record").select("value").write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def _parsed(batches):
@@ -244,16 +257,18 @@ def read_archives(spark, path: str) -> DataFrame:
     whole = parsed.where("kind = 'response' and number = 0").select("page", "n_bytes", "sha1", "claimed")
     split = parsed.where("number > 0").select("origin", "number", "total", "page", "claimed", "block")
     joined = split.groupBy("origin").applyInArrow(_reassembled, "page long, n_bytes long, sha1 string, claimed string")
-    responses = keep(whole.unionByName(joined), "responses")
+    responses = whole.unionByName(joined)
     checked = F.when(F.col("sha1") == F.coalesce("claimed", "sha1"), F.col("sha1")).otherwise(F.raise_error(F.concat(F.lit("wrong payload digest of page "), F.col("page").cast("string"))))
-    responses = responses.select("page", "n_bytes", checked.alias("sha1"))
-    revisits = parsed.where("kind = 'revisit'").select("page", "refers_to")
-    counts = revisits.groupBy("refers_to").agg(F.count(F.lit(1)).alias("k"))
-    targets = responses.withColumnRenamed("page", "refers_to").join(counts, "refers_to")
-    total = max(parsed.where("kind = 'revisit'").count(), 1)
-    resolved = join_unique(revisits, keep(targets, "targets"), "refers_to", "k", total, "inner")
+    responses = keep(responses.select("page", "n_bytes", checked.alias("sha1")), "responses")
+    target = F.struct(F.col("refers_to").alias("page"), F.col("claimed").alias("sha1")).alias("target")
+    revisits = parsed.where("kind = 'revisit'").select("page", "refers_to", target)
+    counts = revisits.groupBy("target").agg(F.count(F.lit(1)).alias("k"))
+    targets = responses.select(F.struct("page", "sha1").alias("target"), "n_bytes").dropDuplicates(["target"]).join(counts, "target")
+    total = max(revisits.count(), 1)
+    resolved = join_unique(revisits, keep(targets, "targets"), "target", "k", total, "left")
+    wrong = F.raise_error(F.concat(F.lit("nothing to revisit for page "), F.coalesce(F.col("page").cast("string"), F.lit("null"))))
     out = responses.select("page", "n_bytes", "sha1", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    out = out.unionByName(resolved.select("page", "n_bytes", "sha1", F.lit("revisit").alias("record_type"), "refers_to"))
+    out = out.unionByName(resolved.select("page", F.coalesce("n_bytes", wrong.cast("long")).alias("n_bytes"), "target.sha1", F.lit("revisit").alias("record_type"), "refers_to"))
     return out.select(F.col("page").alias("page_id"), F.col("n_bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", "refers_to")
 
 
@@ -263,14 +278,14 @@ _DDL = "kind string, record string, page long, origin string, number int, total
 def archive_pages(pages: DataFrame, segment: int = SEGMENT, least_bytes: int = 0) -> DataFrame:
     """Write pages as WARC archives to the shared folder and read them back: one row per page.
 
-    Null html counts as empty and a null url as page:<id>. Ids name pages: rows that repeat an id
-    and its html are one page and come back once; a row without id can't be named in an archive
-    and is left out. An empty table gives an empty one; other columns are ignored.
+    Null html counts as empty and a null url as page:<id>. A null id is smaller than any. Rows that
+    repeat an id are records of their own, whether their html is the same (then alike responses or
+    revisits) or not. An empty table gives an empty one; other columns are ignored.
     """
     spark = pages.sparkSession
-    pages = pages.where(F.col("page_id").isNotNull())
     path = f"{folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, None, segment, least_bytes)
+    forget(spark, path)
     return read_archives(spark, path)
 
 

@@ -2,6 +2,7 @@
 repeated rows, empty tables and columns whose names clash with the operators' own."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -476,21 +477,35 @@ def test_mixing_edges(spark):
 def test_warc_round_trip(spark):
     html = [None, "", "<p>short</p>", "é" * 5000, "日本語 text " * 800, "<p>short</p>", "x\r\n\r\nWARC/1.1\r\n\r\n0\r\n\r\n", "<p>short</p>"]
     rows = [(i * 2, f"http://e.org/{i}?a b" if i % 3 else None, h, "clash") for i, h in enumerate(html)]
-    df = spark.createDataFrame([*rows, rows[3], (None, "u", "lost", "c")], "page_id long, url string, html string, archive string")
-    got = collected(warc.archive_pages(df, segment=1000), "page_id")
-    by_payload = {}
-    for i, _, h, _ in rows:
-        by_payload.setdefault(h or "", []).append(i)
-    for i, _, h, _ in rows:
-        raw, last = (h or "").encode(), max(by_payload[h or ""])
-        r = got[i]
-        assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if i == last else "revisit", None if i == last else last)
-    assert len(got) == len(rows)
+    # A row that repeats, one without an id, an id with another html, and one with an older payload.
+    odd = [rows[3], (None, "u", "lost", "c"), (None, None, "<p>short</p>", "c"), (0, "v", "é" * 5000, "c"), (6, "w", "é" * 5000, "c")]
+    df = spark.createDataFrame([*rows, *odd], "page_id long, url string, html string, archive string")
+    got = [tuple(r) for r in warc.archive_pages(df.repartition(3), segment=1000).collect()]
+    last = {}
+    for i, _, h, _ in [*rows, *odd]:
+        last[h or ""] = max(last.get(h or "", -1), -1 if i is None else i)
+    want = []
+    for i, _, h, _ in [*rows, *odd]:
+        raw, of = (h or "").encode(), last[h or ""]
+        first = of in (i, -1)
+        want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if first else "revisit", None if first else of))
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == len(rows) + len(odd)
     assert warc.archive_pages(df.limit(0)).collect() == []
+    few = [tuple(r) for r in warc.archive_pages(df, least_bytes=100).collect()]
+    assert sorted(r[0] for r in few if r[3] == "revisit") == [0]
+
+
+def test_warc_refers_to_records_that_exist(spark, tmp_path):
+    rows = [(i, f"u{i % 3}" if i % 5 else None, "same" if i % 2 else f"own {i}") for i in range(40)] + [(39, "u0", "same"), (39, "zz", "same")]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), str(tmp_path / "w"), segment=50)
+    found = [h for p in (tmp_path / "w").glob("part-*") for h, _ in warc.parse(gzip.decompress(p.read_bytes()))]
+    ids = [h["warc-record-id"] for h in found]
+    assert len(set(ids)) == len(ids) and {h["warc-refers-to"] for h in found if h["warc-type"] == "revisit"} <= set(ids)
+    assert sum(h["warc-type"] != "continuation" for h in found) == len(rows)
 
 
 def test_warc_segments():
-    parts = warc.segments(1, "http://x/", "日本".encode() * 3000, 700)
+    parts = warc.segments("page/1", 1, "http://x/", "日本".encode() * 3000, 700)
     assert len(parts) > 10 and all(len(list(warc.parse(r))) == 1 for _, r in parts)
     read = []
     for h, block in (next(iter(warc.parse(r))) for _, r in parts):
