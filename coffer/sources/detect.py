@@ -129,7 +129,7 @@ def detect(name: str, buf: bytes) -> str:
         return "Warc"
     if _ext(own, "dmg") or images.koly(buf):
         return "Dmg"
-    if codecs.detect_compressor(buf) or codecs.compressor_by_name(own):
+    if codecs.detect_compressor(buf[:HEADER]) or codecs.compressor_by_name(own):
         return "Compressed"
     if buf[:2] == b"MZ" and dos.is_nsis(buf):
         return "Nsis"
@@ -166,8 +166,8 @@ def open_archive(name: str, buf: bytes, options: Options | None = None, carved:
 
 
 def _compressed(own: str, buf: bytes, options: Options) -> Archive:
-    kind = codecs.detect_compressor(buf) or codecs.compressor_by_name(own)
-    plain = codecs.decompress(buf, kind)
+    kind = codecs.detect_compressor(buf[:HEADER]) or codecs.compressor_by_name(own)
+    plain = codecs.decompress(buf[:], kind)
     if tars.is_tar(plain):
         return tars.open_tar(plain, own, options)
     modified = None

@@ -27,7 +27,9 @@ def open_cab(buf: bytes, name: str, options: Options, format: str = "Cab") -> Ar
     for bit in (1, 2):
         if flags & bit:
             for _ in range(2):
-                at = buf.index(b"\0", at) + 1
+                at = buf.find(b"\0", at) + 1
+                if not at:
+                    raise corrupt("cabinet name")
     folders = []
     for _ in range(n_folders):
         if at + 8 > len(buf):
@@ -235,7 +237,7 @@ def warc_records(buf: bytes):
             at += 2
             continue
         end = buf.find(b"\r\n\r\n", at)
-        if not buf.startswith(b"WARC/1.", at) or end < 0:
+        if buf[at : at + 7] != b"WARC/1." or end < 0:
             raise corrupt("WARC record")
         headers = {}
         for line in buf[at:end].split(b"\r\n")[1:]:

@@ -8,6 +8,8 @@ of archives that were made in memory. ``read_archives`` reads files; ``register`
 from __future__ import annotations
 
 import json
+import mmap
+import os
 from typing import Iterator
 
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from ..errors import ArchiveError
-from ..schema import ENTRY_SCHEMA, Archive, Options
+from ..schema import ENTRY_SCHEMA, SYMLINK, Archive, Options
 from ..shipping import ship
 from .detect import REGISTRY, open_archive, probe
 
@@ -159,6 +161,49 @@ class _Part(InputPartition):
         self.path = path
 
 
+def load(system, path: str, listing: bool):
+    """A file's bytes, of which only those are read that are looked at. A file of this machine or a
+    mounted store is mapped. Of others a listing gets the index of a ZIP or 7z archive, with
+    nothing where the bodies are, if the index says all that a listing says; else all bytes."""
+    if system.type_name == "local":
+        with open(path, "rb") as f:
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.fstat(f.fileno()).st_size else b""
+    with system.open_input_file(path) as f:
+        size = f.size()
+        if listing and size > INDEXED:
+            for start in _index_at(f, size):
+                raw = mmap.mmap(-1, size)  # takes memory only where something is put
+                raw[:512], raw[start:] = f.read_at(512, 0), f.read_at(size - start, start)
+                try:
+                    archive = open_archive(path, raw)
+                    if all(e.kind != SYMLINK for e in archive.entries):
+                        return raw
+                except ArchiveError:
+                    pass  # the index is packed or lies elsewhere
+        return f.read_at(size, 0)
+
+
+#: Files up to here are read as a whole.
+INDEXED = 1 << 20
+
+
+def _index_at(f, size: int) -> Iterator[int]:
+    """Where the index of an archive begins that ends with one."""
+    head = f.read_at(32, 0)
+    if head[:4] in (b"PK\3\4", b"PK\5\6"):
+        n = min(size, (1 << 16) + 22)
+        tail = f.read_at(n, size - n)
+        end = tail.rfind(b"PK\5\6")
+        if end >= 0 and end + 22 <= n:
+            length = int.from_bytes(tail[end + 12 : end + 16], "little")
+            if length != 0xFFFFFFFF and length <= size - n + end:
+                yield size - n + end - length
+    elif head[:6] == b"7z\xbc\xaf\x27\x1c":
+        at = 32 + int.from_bytes(head[12:20], "little")
+        if at < size:
+            yield at
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType):
         self.options = options
@@ -196,12 +241,11 @@ class ArchiveReader(DataSourceReader):
 
         if partition is None:
             return
-        path = self.options["path"]
+        path, o = self.options["path"], self.options
         system = fs.FileSystem.from_uri(path)[0] if "://" in path else fs.LocalFileSystem()
-        with system.open_input_stream(partition.path, compression=None) as f:
-            raw = f.read()
-        o = self.options
-        yield from _batches(rows_of(partition.path, raw, o.get("password"), o.get("encoding"), o.get("content", "false").lower() == "true", o.get("mode", "FAILFAST"), self.idxs))
+        body = o.get("content", "false").lower() == "true"
+        raw = load(system, partition.path, not body)
+        yield from _batches(rows_of(partition.path, raw, o.get("password"), o.get("encoding"), body, o.get("mode", "FAILFAST"), self.idxs))
 
 
 class ArchiveSource(DataSource):

@@ -47,6 +47,71 @@ def test_round_trip(name):
         assert e.value.kind == "INVALID_INDEX"
 
 
+@pytest.mark.parametrize("name", [*WRITERS, "x.tar.gz", "x.warc", "x.dmg", "x.sqfs", "x.zoo"])
+def test_mapped_files(tmp_path, name):
+    from pyarrow import fs
+
+    from coffer.sources import scan
+
+    own = {"x.tar.gz": lambda f: pack.compress(pack.tar_bytes(f), "Gzip"), "x.warc": lambda f: pack.warc_bytes([("resource", f"a://{n}", b) for n, b in f]), "x.dmg": lambda f: pack.dmg_bytes(pack.hfs_bytes(f)), "x.sqfs": lambda f: pack.squashfs_bytes([(n.replace("/", "-"), b) for n, b in f]), "x.zoo": pack.zoo_bytes}
+    raw = (own[name] if name in own else WRITERS[name][0])(FILES)
+    (tmp_path / name).write_bytes(raw)
+    mapped = scan.load(fs.LocalFileSystem(), str(tmp_path / name), True)
+    plain = listing(name, raw)[1]
+    assert not isinstance(mapped, bytes) and plain and listing(name, mapped)[1] == plain
+    (tmp_path / "none").write_bytes(b"")
+    assert scan.load(fs.LocalFileSystem(), str(tmp_path / "none"), True) == b""
+
+
+class Remote:
+    """A store that says which bytes were read."""
+
+    type_name = "remote"
+
+    def __init__(self, raw):
+        self.raw, self.read = raw, 0
+
+    def open_input_file(self, path):
+        return self
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *a):
+        pass
+
+    def size(self):
+        return len(self.raw)
+
+    def read_at(self, n, at):
+        self.read += n
+        return self.raw[at : at + n]
+
+
+@pytest.mark.parametrize("name, writer", [("x.zip", lambda f: pack.zip_bytes(f, zipfile.ZIP_STORED)), ("x.7z", lambda f: pack.sevenz_bytes(f, False)), ("x.tar", pack.tar_bytes)])
+def test_listing_reads_the_index(name, writer):
+    from coffer.sources import scan
+
+    files = [(f"d/{i}.bin", bytes([i]) * 300_000) for i in range(20)]
+    raw = writer(files)
+    store = Remote(raw)
+    found = scan.load(store, name, True)
+    entries = lambda a: [(e.path, e.size, e.kind, e.modified, e.mode) for e in a.entries]
+    assert entries(detect.open_archive(name, found)) == entries(detect.open_archive(name, raw))
+    assert store.read < 100_000 if name != "x.tar" else found == raw
+    store = Remote(raw)
+    assert scan.load(store, name, False) == raw and store.read == len(raw)
+    # Links are read from bodies, so all bytes are wanted.
+    if name == "x.zip":
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("big", bytes(3_000_000))
+            info = zipfile.ZipInfo("link")
+            info.external_attr = 0o120777 << 16
+            z.writestr(info, "big")
+        assert scan.load(Remote(out.getvalue()), name, True) == out.getvalue()
+
+
 @pytest.mark.parametrize("name", WRITERS)
 def test_broken_archives_fail_cleanly(name):
     raw = WRITERS[name][0](FILES)
