@@ -4,7 +4,12 @@ A rotation is learned on a bounded sample so that the signs of rotated vectors a
 that lose little (iterative quantisation). Every vector gets a code of BITS bits, cut into TABLES
 parts, and looks in each table for codes whose part differs in at most one bit. By counting, this
 finds all pairs of codes that differ in at most 2 * TABLES - 1 bits. Candidates within that
-distance are ranked again with the original vectors.
+distance are ranked again with the original vectors. A pair counts at the first table that has it.
+
+Cells of the tables that at most HOT vectors look into give pairs. The vectors of a larger cell and
+those that look into it are dealt into blocks, and each two blocks meet in a task, which says for
+each vector how many it links with, and links that join what is joined: as many rows as vectors,
+however many pairs there are.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, smallest
 from .workspace import join_unique, keep, ship
 
 THRESHOLD = 0.98
@@ -24,6 +29,8 @@ RADIUS = 2 * TABLES - 1
 #: Vectors that the rotation is learned on, about; chosen by a hash of the id.
 SAMPLE = 20_000
 ROUNDS = 30
+#: Vectors that look into a cell beyond which it is dealt into blocks, and vectors of a block.
+HOT, BLOCK = 1024, 2048
 
 
 def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -100,14 +107,13 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = good.groupBy("label", "x").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
     classes = keep(classes, "classes")
     dims = sorted(r[0] for r in classes.select(F.size("x")).distinct().toLocalIterator())
-    pairs = spark.createDataFrame([], "u long, v long, n_u long, n_v long")
+    found = spark.createDataFrame([], _FOUND)
     for dim in dims:
-        pairs = pairs.unionByName(_pairs(classes.where(F.size("x") == dim), dim, threshold))
-    pairs = keep(pairs, "pairs")
+        found = found.unionByName(_links(classes.where(F.size("x") == dim), dim, threshold))
+    found = keep(found, "found")
 
-    both = pairs.select(F.col("u").alias("first"), F.col("n_v").alias("n")).unionByName(pairs.select(F.col("v").alias("first"), F.col("n_u").alias("n")))
-    others = both.groupBy("first").agg(F.sum("n").alias("others"))
-    of_class = components(pairs.select("u", "v")).select(F.col("node").alias("first"), "component")
+    others = found.where("n is not null").groupBy("first").agg(F.sum("n").alias("others"))
+    of_class = components(found.where("other is not null").select(F.col("first").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("first"), "component")
     classes = classes.join(others, "first", "left").join(of_class, "first", "left")
     classes = keep(classes.select(F.struct("label", "x").alias("same"), "size", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id")), "linked")
     total = max(rows.count(), 1)
@@ -116,25 +122,82 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return found.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _pairs(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(u, v, n_u, n_v) of classes of vectors of dim components that are similar."""
+#: n: how many vectors first links with, in part; other: one that it links with.
+_FOUND = "first long, n long, other long"
+
+
+def _meet(dim: int, threshold: float):
+    """The links between a block of vectors of a cell and one of vectors that look into it."""
+
+    def run(group: pa.Table) -> pa.Table:
+        looks = group.column("looks").to_numpy()
+        first, code, size = (group.column(c).to_numpy() for c in ("first", "code", "size"))
+        x = _unit(_matrix(group.column("x").combine_chunks(), dim))
+        here, there = np.flatnonzero(~looks), np.flatnonzero(looks)
+        differ = code.view(np.uint64)[here][:, None] ^ code.view(np.uint64)[there][None, :]
+        near = (first[here][:, None] < first[there][None, :]) & (np.bitwise_count(differ) <= RADIUS)
+        for t in range(int(group.column("t")[0].as_py())):
+            near &= np.bitwise_count(differ >> np.uint64(PART * t) & np.uint64((1 << PART) - 1)) > 1
+        near &= x[here] @ x[there].T >= threshold
+        n = near.astype(np.int64)
+        counts = np.r_[n @ size[there], n.T @ size[here]]
+        i, j = np.nonzero(near)
+        node, least = smallest(first[here][i], first[there][j])
+        node, least = node[node != least], least[node != least]
+        ids, some = np.r_[first[here], first[there]], counts > 0
+        none = lambda k: pa.nulls(k, pa.int64())
+        return pa.table([
+            pa.array(np.r_[ids[some], node]), pa.concat_arrays([pa.array(counts[some]), none(len(node))]),
+            pa.concat_arrays([none(int(some.sum())), pa.array(least)]),
+        ], names=["first", "n", "other"])
+
+    return run
+
+
+def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """Links of classes of vectors of dim components: rows of _FOUND."""
     n = max(classes.count(), 1)
     share = min(1.0, SAMPLE / n)
     sample = classes.where(F.pmod(F.xxhash64("first", F.lit("sample")), F.lit(1 << 62)).cast("double") < share * float(1 << 62)).select("first", "x").limit(2 * SAMPLE)
     x = _matrix(sample.orderBy("first").select("x").toArrow().column(0).combine_chunks(), dim)
     mean, projection = learn_rotation(_unit(x) if len(x) else x)
     coded = classes.select("first", "x").mapInArrow(_code(mean, projection, dim), "id long, code long").withColumnRenamed("id", "first")
-    coded = keep(classes.select("first", "label").join(coded, "first"), "codes")
+    coded = keep(classes.select("first", "label", "size").join(coded, "first"), "codes")
     mask = (1 << PART) - 1
     part = [F.shiftright("code", PART * t).bitwiseAND(F.lit(mask)) for t in range(TABLES)]
-    kept = coded.select("label", "first", "code", F.posexplode(F.array(*part)).alias("t", "part"))
-    asked = coded.select(F.col("label").alias("l"), F.col("first").alias("f"), F.col("code").alias("c"), F.posexplode(F.array(*part)).alias("s", "p"))
     flips = F.array(*map(F.lit, [0, *(1 << i for i in range(PART))]))
-    asked = asked.withColumn("flip", F.explode(flips)).select("l", "f", "c", "s", F.col("p").bitwiseXOR(F.col("flip")).alias("q"))
-    near = (F.col("first") < F.col("f")) & (F.bit_count(F.col("code").bitwiseXOR(F.col("c"))) <= RADIUS)
-    found = kept.join(asked, (F.col("label") == F.col("l")) & (F.col("t") == F.col("s")) & (F.col("part") == F.col("q")) & near)
-    found = keep(found.select(F.col("first").alias("u"), F.col("f").alias("v")).distinct(), "candidates")
+    cell = F.struct("label", "t", "part").alias("cell")
+    placed = coded.select("first", "code", "label", F.posexplode(F.array(*part)).alias("t", "part"))
+    # How many are in each cell, and how many look into it.
+    sizes = placed.groupBy("label", "t", "part").agg(F.count(F.lit(1)).alias("k"))
+    looking = sizes.withColumn("flip", F.explode(flips)).groupBy("label", "t", F.col("part").bitwiseXOR(F.col("flip")).alias("part")).agg(F.sum("k").alias("asked"))
+    hot = looking.where(F.col("asked") > HOT).join(sizes, ["label", "t", "part"])
+    hot = keep(hot.select(cell, "asked", F.ceil(F.col("k") / BLOCK).alias("blocks"), F.ceil(F.col("asked") / BLOCK).alias("asking")), "hot")
+    total = max(hot.agg(F.sum("asked")).first()[0] or 0, 1)
+    kept = join_unique(placed.select("first", "code", cell), hot, "cell", "asked", total)
+    asks = placed.withColumn("flip", F.explode(flips)).select("first", "code", "label", "t", F.col("part").bitwiseXOR(F.col("flip")).alias("part")).select("first", "code", cell)
+    asks = join_unique(asks, hot, "cell", "asked", total)
+
+    # Small cells: pairs.
+    a = kept.where("asked is null").select("cell", F.col("first").alias("u"), F.col("code").alias("code_u"))
+    b = asks.where("asked is null").select("cell", F.col("first").alias("v"), F.col("code").alias("code_v"))
+    differ = F.col("code_u").bitwiseXOR(F.col("code_v"))
+    new = F.lit(True)
+    for t in range(TABLES - 1):
+        new = new & ((F.col("cell.t") <= t) | (F.bit_count(F.shiftright(differ, PART * t).bitwiseAND(F.lit(mask))) > 1))
+    pairs = keep(a.join(b, "cell").where((F.col("u") < F.col("v")) & (F.bit_count(differ) <= RADIUS) & new).select("u", "v"), "candidates")
     whole = classes.select("first", "x", "size")
-    found = found.join(whole.select(F.col("first").alias("u"), "x", F.col("size").alias("n_u")), "u")
-    found = found.join(whole.select(F.col("first").alias("v"), F.col("x").alias("y"), F.col("size").alias("n_v")), "v")
-    return found.select("u", "v", "n_u", "n_v", "x", "y").mapInArrow(_rank(dim, threshold), "u long, v long, n_u long, n_v long")
+    pairs = pairs.join(whole.select(F.col("first").alias("u"), "x", F.col("size").alias("n_u")), "u")
+    pairs = pairs.join(whole.select(F.col("first").alias("v"), F.col("x").alias("y"), F.col("size").alias("n_v")), "v")
+    pairs = pairs.select("u", "v", "n_u", "n_v", "x", "y").mapInArrow(_rank(dim, threshold), "u long, v long, n_u long, n_v long")
+    sides = F.explode(F.array(F.struct(F.col("u").alias("first"), F.col("n_v").alias("n"), F.col("v").alias("other")), F.struct(F.col("v").alias("first"), F.col("n_u").alias("n"), F.lit(None).cast("long").alias("other"))))
+    found = pairs.select(sides.alias("side")).select("side.*")
+
+    # Hot cells: blocks of those in a cell and of those that look into it, each with each.
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    own = lambda of: F.pmod(F.xxhash64("first"), F.col(of))
+    here = kept.where("asked is not null").select("cell", "first", "code", F.lit(False).alias("looks"), own("blocks").alias("block"), every("asking").alias("asker"))
+    there = asks.where("asked is not null").select("cell", "first", "code", F.lit(True).alias("looks"), every("blocks").alias("block"), own("asking").alias("asker"))
+    blocks = here.unionByName(there).join(whole, "first").select("cell", F.col("cell.t").alias("t"), "block", "asker", "first", "code", "looks", "size", "x")
+    met = blocks.groupBy("cell", "block", "asker").applyInArrow(_meet(dim, threshold), _FOUND)
+    return found.unionByName(met)

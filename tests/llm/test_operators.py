@@ -526,7 +526,10 @@ def test_warc_segments():
 # Embeddings
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("hot, block", [(1024, 2048), (1, 7), (25, 2048)])
+def test_embeddings(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(embed_dedup, "HOT", hot)
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
     rng = np.random.default_rng(0)
     base = rng.standard_normal((60, 16))
     x = np.vstack([base, base[:30] + 0.05 * rng.standard_normal((30, 16)), base[:20], base[:20] * 3, rng.standard_normal((40, 16))])
@@ -561,6 +564,23 @@ def test_embeddings(spark):
     assert embed_dedup.similar_vectors(df.limit(0)).collect() == []
 
 
+def test_embeddings_count_a_dense_group(spark, monkeypatch):
+    """Near copies of one vector, all linked with each other: blocks count what pairs would."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal(16) + 0.002 * rng.standard_normal((90, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(np.vstack([x, rng.standard_normal((60, 16))]))], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.98).sum(1) - 1
+    seen = []
+    for hot in (1024, 4):
+        monkeypatch.setattr(embed_dedup, "HOT", hot)
+        monkeypatch.setattr(embed_dedup, "BLOCK", 11)
+        got = collected(embed_dedup.similar_vectors(df), "vec_id")
+        seen.append({i: tuple(r) for i, r in got.items()})
+        assert sum(got[i].n_links for i in range(90)) >= 0.9 * want.sum() and {got[i].component_id for i in range(90)} == {0}
+    assert seen[0] == seen[1] and (want == 89).all()
+
+
 # PII
 
 
