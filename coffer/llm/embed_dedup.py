@@ -30,7 +30,7 @@ RADIUS = 2 * TABLES - 1
 SAMPLE = 20_000
 ROUNDS = 30
 #: Vectors that look into a cell beyond which it is dealt into blocks, and vectors of a block.
-HOT, BLOCK = 1024, 2048
+HOT, BLOCK = 128, 2048
 
 
 def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -78,11 +78,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup() keeps, with all their columns."""
     rows = keep(digests(docs, id_col, text_col), "digests")
-    merged = groups(rows, rows.count()).select("digest", F.col("keep_id").alias("_id"), F.col("n_bytes").alias("_n"))
+    merged = groups(rows, rows.count()).select("digest", F.col("keep_id").alias("id"), "n_bytes")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    merged = merged.withColumnRenamed("digest", "_digest")
-    same = (F.unhex(F.sha2(text, 256)) == F.col("_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.octet_length(text) == F.col("_n"))
-    return docs.join(merged, same, "left_semi")
+    own = docs.select(F.struct("*").alias("row"), F.unhex(F.sha2(text, 256)).alias("digest"), F.col(id_col).cast("long").alias("id"), F.octet_length(text).cast("long").alias("n_bytes"))
+    same = (own["digest"] == merged["digest"]) & own["id"].eqNullSafe(merged["id"]) & (own["n_bytes"] == merged["n_bytes"])
+    return own.join(merged, same, "left_semi").select("row.*")
 
 
 SQL = """

@@ -594,5 +594,18 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of docs that stand for their group: of each group the one with the smallest id;
     rows without id stay."""
     groups = jaccard_groups(docs, id_col, text_col)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id")).distinct()
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"))
+    return own.join(gone, "id", "left_anti").select("row.*")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 4], ' ')) AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT u, v FROM pairs JOIN sizes s ON s.doc_id = u JOIN sizes t ON t.doc_id = v WHERE 100 * k >= 75 * (s.n + t.n - k)),
+both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT u, v FROM both_ways UNION SELECT reach.u, b.v FROM reach JOIN both_ways b ON reach.v = b.u)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(doc_id, (SELECT min(v) FROM reach WHERE u = doc_id)), doc_id) AS component_id FROM d LEFT JOIN sizes USING (doc_id)
+"""

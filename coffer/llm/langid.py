@@ -181,11 +181,12 @@ def _count(batches):
 
 def learn(labelled: DataFrame, path: str, id_col: str, text_col: str, label_col: str) -> tuple[list[str], np.ndarray]:
     """fit() to a sample of about SAMPLE rows of each label, the same in every run."""
-    counts = labelled.groupBy(F.col(label_col).alias("_label")).agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.octet_length(text_col)).alias("_bytes")).where("_label is not null")
-    share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("_rows"), F.lit(float(SAMPLE_BYTES)) / F.greatest("_bytes", F.lit(1)))
-    sample = labelled.join(F.broadcast(counts), F.col(label_col) == F.col("_label"))
-    sample = sample.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 62)).cast("double") < share * float(1 << 62))
-    rows = sample.select("_label", text_col).mapInArrow(_count, "language string, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n"))
+    labelled = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("label is not null")
+    counts = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
+    share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("rows"), F.lit(float(SAMPLE_BYTES)) / F.greatest("bytes", F.lit(1)))
+    sample = labelled.join(F.broadcast(counts), "label")
+    sample = sample.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 62)).cast("double") < share * float(1 << 62))
+    rows = sample.select("label", "text").mapInArrow(_count, "language string, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n"))
     words: dict[str, dict[str, int]] = {}
     for row in rows.toLocalIterator():
         own, w = words.setdefault(row.language, {}), _word(row.word.encode())

@@ -78,14 +78,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs as the mix takes them: a row for each time a document is taken, with all columns. The
     document at a source's cut comes last with the words that fit, up to the end of the last of
     them; a document without words is no part of a mix."""
-    taken = mix_sources(docs, id_col, text_col, source_col).where("taken > 0").select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    taken = taken.dropDuplicates(["_id", "_size"])
-    out = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & (n_words(F.col(text_col)) == F.col("_size")))
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
-    left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(r"([\x20\x09-\x0D]*" + WORD + ")"), F.lit(1))
-    text = F.when(left >= F.col("_size"), F.col(text_col)).otherwise(F.concat_ws("", F.slice(words, F.lit(1), F.greatest(left, F.lit(1)).cast("int"))))
-    return out.withColumn(text_col, text).select(*(F.col(text_col) if c == text_col else F.col(c) for c in docs.columns))
+    taken = mix_sources(docs, id_col, text_col, source_col).where("taken > 0").select(F.col(id_col).alias("id"), "size", "taken").dropDuplicates(["id", "size"])
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), n_words(F.col(text_col)).alias("size"))
+    out = own.join(taken, own["id"].eqNullSafe(taken["id"]) & (own["size"] == taken["size"])).select("row", taken["size"], "taken")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    left = F.col("taken") - (F.col("copy") - 1) * F.col("size")
+    text = F.col("row")[text_col]
+    words = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*" + WORD + ")"), F.lit(1))
+    text = F.when(left >= F.col("size"), text).otherwise(F.concat_ws("", F.slice(words, F.lit(1), F.greatest(left, F.lit(1)).cast("int"))))
+    return out.select(F.col("row").withField(text_col, text).alias("row")).select("row.*")
 
 
 SQL = f"""

@@ -34,4 +34,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_warc_segments": warc.SQL, "op7_exact_dedup": exact_dedup.SQL, "op10_mix_sources": mixing.SQL}
+    return {"op3_warc_segments": warc.SQL, "op4_substring_dedup": substring_dedup.SQL, "op5_jaccard_join": jaccard_join.SQL, "op7_exact_dedup": exact_dedup.SQL, "op10_mix_sources": mixing.SQL}
