@@ -1,10 +1,11 @@
 """Byte-level BPE that is exact in linear time, after a rank file.
 
-Bytes stand as Latin-1 characters in an Aho-Corasick automaton of all tokens, which gives the
-longest token at every place. From there the encoder walks on with the longest token that is
-compatible with the one before it, or else a shorter one, or else steps back and never comes to
+Bytes stand as Latin-1 characters in an Aho-Corasick automaton of all tokens, whose trie gives the
+longest token at a place. From there the encoder walks on with the longest token that is compatible with the one before it, or else a shorter one, or else steps back and never comes to
 that place again. Two tokens are compatible if merging their joint bytes by rank gives just the
 two; a sequence in which all neighbours are compatible is the one that the merges give.
+
+A worker keeps the ids of a piece of text, and the bytes that they decode to, for when it comes again.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from .words import release
 from .workspace import ship
 
-#: Entries of the two halves of a worker's cache: a full half becomes the older one, and what is
-#: still in use moves to the new one. The memo of pairs starts anew when it is full.
+#: Entries of the two halves of a worker's cache, which stays for its next tasks: a full half becomes
+#: the older one, and what is still in use moves to the new one. The memo of pairs starts anew when
+#: it is full.
 CACHE = 300_000
 PAIRS = 1_000_000
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -36,51 +38,60 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
+    """Texts are Latin-1 within: a character stands for a byte."""
+
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
-        self.tokens = {i: b for b, i in ranks.items()}
+        self.ranks = {t.decode("latin-1"): i for t, i in ranks.items()}
+        size = max(ranks.values(), default=-1) + 1
+        self.tokens: list[bytes] = [b""] * size
+        for token, i in ranks.items():
+            self.tokens[i] = token
+        self.names = list(map(str, range(size)))
+        self.most = max(map(len, ranks), default=1)
         self.find = regex.compile(pattern).findall
         # Whether a blank and letters are one match and a mark behind them another, as in the
         # patterns of the GPT-2 family.
         self.by_kind = r" ?\p{L}+" in pattern and r" ?[^\s\p{L}\p{N}]+" in pattern
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for token in ranks:
-            self.automaton.add_word(token.decode("latin-1"))
+        for token in self.ranks:
+            self.automaton.add_word(token)
         self.automaton.make_automaton()
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
-        self._shorter: dict[bytes, int] = {}
-        self._whole: dict[bytes, bool] = {}
-        self._pieces: dict[str, tuple[int, str, bytes]] = {}
-        self._older: dict[str, tuple[int, str, bytes]] = {}
-        self._marks: dict[str, tuple[int, str, bytes]] = {}
-
-    def merged(self, raw: bytes) -> list[bytes]:
+        self._pairs: dict[int, bool] = {}
+        self._shorter: dict[str, int] = {}
+        self._whole: list[bool | None] = [None] * size
+        self._pieces: dict[str, tuple[str, bytes]] = {}
+        self._older: dict[str, tuple[str, bytes]] = {}
+        self._marks: dict[str, tuple[str, bytes]] = {}
+
+    def merged(self, text: str) -> list[str]:
         """The merges by rank, one at a time: the pair of lowest rank first, the leftmost of equal
         ones. For single tokens and pairs, which are short."""
-        parts = [raw[i : i + 1] for i in range(len(raw))]
-        rank = self.ranks.get
-        while len(parts) > 1:
-            best, at = min((r, i) if (r := rank(parts[i] + parts[i + 1])) is not None else (1 << 60, i) for i in range(len(parts) - 1))
-            if best == 1 << 60:
+        parts, rank, none = list(text), self.ranks.get, 1 << 60
+        costs = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while costs:
+            best = min(costs)
+            if best == none:
                 break
+            at = costs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del costs[at]
+            if at:
+                costs[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(costs):
+                costs[at] = rank(parts[at] + parts[at + 1], none)
         return parts
 
-    def _compatible(self, a: bytes, b: bytes) -> bool:
-        known = self._pairs.get((a, b))
-        if known is None:
-            if len(self._pairs) >= PAIRS:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self.merged(a + b) == [a, b]
+    def _compatible(self, pair: int, a: str, b: str) -> bool:
+        if len(self._pairs) >= PAIRS:
+            self._pairs.clear()
+        known = self._pairs[pair] = self.merged(a + b) == [a, b]
         return known
 
-    def _reached(self, token: bytes) -> bool:
-        known = self._whole.get(token)
-        if known is None:
-            known = self._whole[token] = len(token) == 1 or self.merged(token) == [token]
+    def _reached(self, i: int, token: str) -> bool:
+        known = self._whole[i] = len(token) == 1 or self.merged(token) == [token]
         return known
 
-    def _less(self, token: bytes) -> int:
+    def _less(self, token: str) -> int:
         """The length of the longest proper prefix that is a token; 0 for none."""
         known = self._shorter.get(token)
         if known is None:
@@ -88,90 +99,91 @@ class Encoder:
             self._shorter[token] = known
         return known
 
-    def split(self, raw: bytes) -> list[bytes]:
-        """The tokens of one match of the pattern."""
-        if raw in self.ranks:
-            return [raw]
-        n = len(raw)
-        longest = [1] * n
-        for end, length in self.automaton.iter(raw.decode("latin-1")):
-            if length > longest[end - length + 1]:
-                longest[end - length + 1] = length
-        out: list[bytes] = []
+    def split(self, text: str) -> list[int]:
+        """The ids of one match of the pattern."""
+        rank, prefix, most = self.ranks.get, self.automaton.longest_prefix, self.most
+        i = rank(text)
+        if i is not None:
+            return [i]
+        pairs, whole, n = self._pairs.get, self._whole, len(text)
+        out: list[int] = []
         dead = None  # places that are come to in vain; mostly there are none
-        at, length, last = 0, longest[0], None
-        compatible, pairs, whole = self._compatible, self._pairs, self._whole
+        at, last, length = 0, -1, 0
         while True:
+            if not length:
+                # What the trie has of the text at a place begins with the longest token there.
+                length = prefix(text[at : at + most]) or 1
+                i = rank(text[at : at + length])
+                while i is None and length > 1:
+                    length -= 1
+                    i = rank(text[at : at + length])
+                if i is None:
+                    raise ValueError("the ranks lack a single byte of the text")
             end = at + length
-            token = raw[at:end]
             if dead is None or not dead[end]:
-                reached = whole.get(token)
+                reached = whole[i]
                 if reached is None:
-                    reached = self._reached(token)
+                    reached = self._reached(i, text[at:end])
                 if reached:
-                    fits = True if last is None else pairs.get((last, token))
+                    fits = True if last < 0 else pairs(last << 32 | i)
                     if fits is None:
-                        fits = compatible(last, token)
+                        fits = self._compatible(last << 32 | i, text[at - len(self.tokens[last]) : at], text[at:end])
                     if fits:
-                        out.append(token)
+                        out.append(i)
                         if end == n:
                             return out
-                        at, length, last = end, longest[end], token
+                        at, last, length = end, i, 0
                         continue
-            length = self._less(token)
+            length = self._less(text[at:end])
             while not length:
                 if not out:
-                    raise ValueError("the ranks lack a single byte of the text")
+                    raise ValueError("no sequence of tokens gives the text")
                 if dead is None:
                     dead = bytearray(n + 1)
                 dead[at] = 1
-                token = out.pop()
-                at -= len(token)
-                last = out[-1] if out else None
-                length = self._less(token)
+                end = at
+                at -= len(self.tokens[out.pop()])
+                last = out[-1] if out else -1
+                length = self._less(text[at:end])
+            i = rank(text[at : at + length])
 
-    def _told(self, found: list[bytes]) -> tuple[int, str, bytes]:
-        ids = [self.ranks[t] for t in found]
-        return len(ids), ",".join(map(str, ids)), b"".join([self.tokens[i] for i in ids])
+    def _told(self, ids: list[int]) -> tuple[str, bytes]:
+        return ",".join([self.names[i] for i in ids]), self.decode(ids)
 
-    def _piece(self, text: str) -> tuple[int, str, bytes]:
+    def _piece(self, text: str) -> tuple[str, bytes]:
         found = []
         for match in self.find(text):
-            found += self.split(match.encode())
+            found += self.split(match.encode().decode("latin-1"))
         return self._told(found)
 
-    def _keep(self, part: str, known: tuple[int, str, bytes]) -> None:
+    def _keep(self, part: str, known: tuple[str, bytes]) -> tuple[str, bytes]:
         if len(part) <= CACHED_LENGTH:
             if len(self._pieces) >= CACHE:
                 self._older, self._pieces = self._pieces, {}
             self._pieces[part] = known
-
-    def _word(self, part: str) -> tuple[int, str, bytes]:
-        """A blank and a part of letters alone: one match of a pattern of such parts."""
-        known = self._pieces.get(part)
-        if known is None:
-            known = self._older.get(part) or self._told(self.split(b" " + part.encode()))
-            self._keep(part, known)
         return known
 
-    def _part(self, part: str) -> tuple[int, str, bytes]:
-        """A blank and a part without white space at its ends."""
+    def _word(self, part: str) -> tuple[str, bytes]:
+        """A blank and a part of letters alone: one match of a pattern of such parts."""
         known = self._older.get(part)
         if known is None:
-            if self.by_kind and part.isalpha():
+            known = self._told(self.split(" " + part.encode().decode("latin-1")))
+        return self._keep(part, known)
+
+    def _part(self, part: str) -> tuple[str, bytes]:
+        """A blank and a part without white space at its ends, which isn't in the newer cache."""
+        if self.by_kind:
+            if part.isalpha():
                 return self._word(part)
-            if self.by_kind and part[-1] in MARKS and part[:-1].isalpha():
-                word, mark = self._word(part[:-1]), self._marks.get(part[-1])
+            if part[-1] in MARKS and part[:-1].isalpha():
+                word, mark = self._pieces.get(part[:-1]) or self._word(part[:-1]), self._marks.get(part[-1])
                 if mark is None:
                     mark = self._marks[part[-1]] = self._piece(part[-1])
-                known = word[0] + mark[0], f"{word[1]},{mark[1]}", word[2] + mark[2]
-            else:
-                known = self._piece(" " + part)
-        self._keep(part, known)
-        return known
+                return self._keep(part, (f"{word[0]},{mark[0]}", word[1] + mark[1]))
+        return self._keep(part, self._older.get(part) or self._piece(" " + part))
 
-    def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
-        """Number of ids, ids and decoded bytes of parts of text. Parts end before a single blank
+    def pieces(self, text: str) -> list[tuple[str, bytes]]:
+        """The ids of parts of text, joined by commas, and the bytes that they decode to. Parts end before a single blank
         between two other characters, which no match of a pattern crosses whose matches have white
         space only at their start or throughout."""
         parts = text.split(" ")
@@ -180,7 +192,7 @@ class Encoder:
             return self._glued(parts)
         out = list(map(self._pieces.get, parts))
         i = 0
-        out[0] = self._piece(first) if first else (0, "", b"")
+        out[0] = self._piece(first) if first else ("", b"")
         try:
             while True:
                 i = out.index(None, i)
@@ -191,7 +203,7 @@ class Encoder:
         except ValueError:
             return out if first else out[1:]
 
-    def _glued(self, parts: list[str]) -> list[tuple[int, str, bytes]]:
+    def _glued(self, parts: list[str]) -> list[tuple[str, bytes]]:
         out, part = [], [parts[0]]
         last = parts[0][-1:]
         for p in parts[1:]:
@@ -210,13 +222,8 @@ class Encoder:
                 got.append(self._piece(text))
         return got
 
-    def forget(self) -> None:
-        """Drop the cached pieces, which take the most memory; the memo of pairs stays."""
-        self._pieces, self._older = {}, {}
-        release()
-
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.pieces(text) for i in ids.split(",")]
+        return [int(i) for ids, _ in self.pieces(text) for i in ids.split(",")]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
@@ -240,12 +247,13 @@ def _digest(path: str, pattern: str):
             for b in (batch.slice(i, 500) for i in range(0, len(batch), 500)):
                 counts, ids, decoded = [], [], []
                 for text in b.column(1).to_pylist():
-                    found = own.pieces(text) if text else []
-                    counts.append(sum([x[0] for x in found]))
-                    ids.append(hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join([x[2] for x in found])).hexdigest())
+                    own_ids, raw = zip(*own.pieces(text)) if text else ((), ())
+                    joined = ",".join(own_ids)
+                    counts.append(joined.count(",") + 1 if joined else 0)
+                    ids.append(hashlib.sha256(joined.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(b"".join(raw)).hexdigest())
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        own.forget()
+        release()
 
     return run
 
@@ -257,7 +265,7 @@ def _encode(path: str, pattern: str):
             for b in (batch.slice(i, 500) for i in range(0, len(batch), 500)):
                 ids = [own.encode(t) if t else [] for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
-        own.forget()
+        release()
 
     return run
 
