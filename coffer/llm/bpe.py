@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from .words import release
 from .workspace import ship
 
-#: Entries of the two halves of a worker's cache, which stays for its next tasks: a full half becomes
-#: the older one, and what is still in use moves to the new one. The memo of pairs starts anew when
-#: it is full.
+#: Entries of the two halves of a worker's cache, which ends with a task: a full half becomes the
+#: older one, and what is still in use moves to the new one. The memo of pairs starts anew when it is
+#: full, or has more than PAIRS_KEPT when a task ends.
 CACHE = 300_000
-PAIRS = 1_000_000
+PAIRS, PAIRS_KEPT = 1_000_000, 200_000
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Longer pieces of text aren't kept in the cache.
 CACHED_LENGTH = 48
@@ -222,6 +222,13 @@ class Encoder:
                 got.append(self._piece(text))
         return got
 
+    def forget(self) -> None:
+        """Drop the cached pieces, which take the most memory, for whoever shares the executor."""
+        self._pieces, self._older = {}, {}
+        if len(self._pairs) > PAIRS_KEPT:
+            self._pairs = {}
+        release()
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, _ in self.pieces(text) for i in ids.split(",")]
 
@@ -253,7 +260,7 @@ def _digest(path: str, pattern: str):
                     ids.append(hashlib.sha256(joined.encode()).hexdigest())
                     decoded.append(hashlib.sha256(b"".join(raw)).hexdigest())
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        release()
+        own.forget()
 
     return run
 
@@ -265,7 +272,7 @@ def _encode(path: str, pattern: str):
             for b in (batch.slice(i, 500) for i in range(0, len(batch), 500)):
                 ids = [own.encode(t) if t else [] for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
-        release()
+        own.forget()
 
     return run
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, components
-from .words import mix, shingles, slices
+from .words import mix, release, shingles, slices
 from .workspace import join_unique, keep, ship
 
 SIZE = 5
@@ -41,7 +41,7 @@ BLOCK = 512
 #: Posting lists up to here are joined pair by pair, at most SHORT ** 2 / 2 of them.
 SHORT = 64
 #: N-grams of a chunk of documents, about, and of a bucket of the n-grams' order.
-CHUNK, BUCKET = 1_000_000, 2_000_000
+CHUNK, BUCKET = 400_000, 1_000_000
 #: Bits of the filter that spares most texts the shingling of step 2.
 BITS = 1 << 23
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -255,6 +255,8 @@ def _post(buckets: int):
                     size, docs = size + len(own), docs + len(n[of])
         if waiting:
             yield chunk(waiting)
+            waiting = []
+        release()
 
     return run
 
@@ -282,6 +284,8 @@ def _shared(table: pa.Table) -> pa.Table:
             own = own[hit]
             who, k = np.unique(own[own != _SEVERAL], return_counts=True)
             counts.append(who.tobytes() + k.astype(np.uint32).tobytes())
+        del keys, owners, order, same, shared
+        release()
     return pa.table([
         pa.concat_arrays([*(c.cast(pa.binary()) for c in about.column("chunk").chunks), *(c.cast(pa.binary()) for c in table.column("chunk").chunks)]),
         pa.concat_arrays([*about.column("docs").chunks, pa.nulls(len(counts), pa.binary())]),
@@ -340,6 +344,7 @@ def _sets(bits: np.ndarray):
                     signs[:, j] = mix(np.minimum.reduceat(mix(grams * seed), at[:-1]) + np.uint64(j))
                 signs = pa.ListArray.from_arrays(np.arange(0, len(n) * len(_SEEDS) + 1, len(_SEEDS), dtype=np.int32), signs.reshape(-1).view(np.int64))
                 yield pa.RecordBatch.from_arrays([b.column("doc").cast(pa.int64()), pa.array(n), signs, _binary(grams[s:e] for s, e in zip(at[:-1], at[1:]))], names=["doc", "n", "signs", "grams"])
+        release()
 
     return run
 
@@ -431,6 +436,8 @@ def _levels(table: pa.Table) -> pa.Table:
     low, high, total = np.minimum.reduceat(family, start), np.maximum.reduceat(family, start), np.add.reduceat(count, start)
     level = np.where((low == high) & (low != _FAMILIES), 0, np.log2(total).astype(np.int64) + 1).astype(np.uint8)[place]
     levels = [_pack(x.tobytes()) for x in np.split(level, np.cumsum(sizes)[:-1])]
+    del keys, families, counts, place, order, family, count
+    release()
     return pa.table([table.column("chunk"), table.column("bucket"), pa.array(levels, pa.binary())], names=["chunk", "bucket", "levels"])
 
 
