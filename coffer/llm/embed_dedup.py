@@ -6,10 +6,14 @@ parts, and looks in each table for codes whose part differs in at most one bit.
 finds all pairs of codes that differ in at most 2 * TABLES - 1 bits. Candidates within that
 distance are ranked again with the original vectors. A pair counts at the first table that has it.
 
-Cells of the tables that at most HOT vectors look into give pairs. The vectors of a larger cell and
-those that look into it are dealt into blocks, and each two blocks meet in a task, which says for
-each vector how many it links with, and links that join what is joined: as many rows as vectors,
-however many pairs there are.
+Parts that differ in at most one bit share one of their two halves. So vectors are dealt by label,
+table and half of a part, eight rows each, and a task looks up the cells of the other half. Two
+cells whose vectors have few close codes give pairs. The vectors of two cells that have many are
+dealt into blocks, and each two blocks meet in a task, which says for each vector how many it links
+with, and links that join what is joined: as many rows as vectors, however many pairs there are.
+
+Spark takes a table that is exploded, grouped or made in Python for as small as what it was made
+from, and would send it to the driver to broadcast it; so joins here name how they are done.
 """
 
 from __future__ import annotations
@@ -29,8 +33,14 @@ RADIUS = 2 * TABLES - 1
 #: Vectors that the rotation is learned on, about; chosen by a hash of the id.
 SAMPLE = 20_000
 ROUNDS = 30
-#: Vectors that look into a cell beyond which it is dealt into blocks, and vectors of a block.
-HOT, BLOCK = 128, 2048
+HALF = PART // 2
+#: Quarters of a pair of close codes for each vector of two cells beyond which these are dealt into
+#: blocks, and vectors of a block.
+HOT, BLOCK = 32, 2048
+#: Pairs of codes that are looked at at once; two cells that have more are dealt into blocks.
+AT_ONCE = 1 << 21
+#: Rows of a task that looks up cells, about.
+ROWS = 1 << 14
 
 
 def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -114,10 +124,10 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     others = found.where("n is not null").groupBy("first").agg(F.sum("n").alias("others"))
     of_class = components(found.where("other is not null").select(F.col("first").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("first"), "component")
-    classes = classes.join(others, "first", "left").join(of_class, "first", "left")
+    classes = classes.join(others.hint("merge"), "first", "left").join(of_class.hint("merge"), "first", "left")
     classes = keep(classes.select(F.struct("label", "x").alias("same"), "size", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id")), "linked")
     total = max(rows.count(), 1)
-    found = join_unique(good.select("id", F.struct("label", "x").alias("same")), classes, "same", "size", total, "inner").select("id", "n_links", "component_id")
+    found = join_unique(good.select("id", F.struct("label", "x").alias("same")), classes, "same", "size", total, "inner", shuffled=True).select("id", "n_links", "component_id")
     alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return found.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -126,18 +136,82 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 _FOUND = "first long, n long, other long"
 
 
+def _new(differ: np.ndarray, t) -> np.ndarray:
+    """Whether codes that differ so are close, and no table before t has them."""
+    ok = np.bitwise_count(differ) <= RADIUS
+    for before in range(TABLES - 1):
+        ok &= (np.bitwise_count(differ >> np.uint64(PART * before) & np.uint64((1 << PART) - 1)) > 1) | (t <= before)
+    return ok
+
+
+def _look(group: pa.Table) -> pa.Table:
+    """Pairs of close codes of the cells of some (lab, k, half of a part), k: its place in the code;
+    of two cells that have many, where they are and how many vectors they have."""
+    first, code, lab, k = (group.column(c).to_numpy() for c in ("first", "code", "lab", "k"))
+    code, k = code.view(np.uint64), k.astype(np.int64)
+    labs, place = np.unique(lab, return_inverse=True)
+    half = lambda k: (code >> (HALF * k).astype(np.uint64) & np.uint64((1 << HALF) - 1)).astype(np.int64)
+    key = ((place * (2 * TABLES) + k << HALF | half(k)) << HALF) | half(k ^ 1)
+    order = np.argsort(key)
+    first, code = first[order], code[order]
+    cells, start, size = np.unique(key[order], return_index=True, return_counts=True)
+    at = cells >> 2 * HALF
+    lab, k = labs[at // (2 * TABLES)], at % (2 * TABLES)
+    pairs, large = [], []
+    for flip in (0, *(1 << i for i in range(HALF))):
+        # Cells that are one and the same meet at their lower half only.
+        a = np.flatnonzero(k % 2 == 0) if flip == 0 else np.flatnonzero(cells & flip == 0)
+        b = np.minimum(np.searchsorted(cells, cells[a] | flip), len(cells) - 1)
+        a, b = (x[cells[b] == cells[a] | flip] for x in (a, b))
+        n = size[a] * size[b]
+        many = n > AT_ONCE
+        large.append((a[many], b[many]))
+        a, b, n = a[~many & (n > (flip == 0))], b[~many & (n > (flip == 0))], n[~many & (n > (flip == 0))]
+        i = 0
+        ends = np.cumsum(n)
+        while i < len(a):
+            to = max(int(np.searchsorted(ends, (ends[i - 1] if i else 0) + AT_ONCE, "right")), i + 1)
+            own = np.repeat(np.arange(i, to), n[i:to])
+            left, right = np.divmod(np.arange(len(own)) - (ends[own] - n[own] - (ends[i] - n[i])), size[b[own]])
+            u, v = start[a[own]] + left, start[b[own]] + right
+            ok = _new(code[u] ^ code[v], k[a[own]] // 2)
+            if flip == 0:
+                ok &= u < v
+            found = np.bincount(own[ok] - i, minlength=to - i)
+            dense = 4 * found > HOT * (size[a[i:to]] + size[b[i:to]])
+            large.append((a[i:to][dense], b[i:to][dense]))
+            ok &= ~dense[own - i]
+            pairs.append((first[u[ok]], first[v[ok]]))
+            i = to
+    u, v = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+    a, b = (np.concatenate(x) for x in zip(*large))
+    none = lambda n, kind: pa.nulls(n, kind)
+    columns = [pa.concat_arrays([pa.array(x), none(len(a), pa.int64())]) for x in (np.minimum(u, v), np.maximum(u, v))]
+    columns += [pa.concat_arrays([none(len(u), pa.int64()), pa.array(x.astype(np.int64))]) for x in (lab[a], k[a] // 2, _part(cells[a], k[a]), _part(cells[b], k[a]), size[a], size[b])]
+    return pa.table(columns, names=_LOOKED.replace(" long", "").split(", "))
+
+
+def _part(cell: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The part of a code that the halves in a cell's key are of."""
+    shared, other = cell >> HALF & (1 << HALF) - 1, cell & (1 << HALF) - 1
+    return np.where(k % 2 == 0, other << HALF | shared, shared << HALF | other)
+
+
+_LOOKED = "u long, v long, lab long, t long, a long, b long, n_a long, n_b long"
+
+
 def _meet(dim: int, threshold: float):
-    """The links between a block of vectors of a cell and one of vectors that look into it."""
+    """The links between a block of vectors of a cell and one of vectors of the other cell."""
 
     def run(group: pa.Table) -> pa.Table:
         looks = group.column("looks").to_numpy()
         first, code, size = (group.column(c).to_numpy() for c in ("first", "code", "size"))
         x = _unit(_matrix(group.column("x").combine_chunks(), dim))
         here, there = np.flatnonzero(~looks), np.flatnonzero(looks)
-        differ = code.view(np.uint64)[here][:, None] ^ code.view(np.uint64)[there][None, :]
-        near = (first[here][:, None] < first[there][None, :]) & (np.bitwise_count(differ) <= RADIUS)
-        for t in range(int(group.column("t")[0].as_py())):
-            near &= np.bitwise_count(differ >> np.uint64(PART * t) & np.uint64((1 << PART) - 1)) > 1
+        t, a, b = (group.column("cells")[0].as_py()[c] for c in ("t", "a", "b"))
+        near = _new(code.view(np.uint64)[here][:, None] ^ code.view(np.uint64)[there][None, :], t)
+        if a == b:
+            near &= first[here][:, None] < first[there][None, :]
         near &= x[here] @ x[there].T >= threshold
         n = near.astype(np.int64)
         counts = np.r_[n @ size[there], n.T @ size[here]]
@@ -162,42 +236,37 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     x = _matrix(sample.orderBy("first").select("x").toArrow().column(0).combine_chunks(), dim)
     mean, projection = learn_rotation(_unit(x) if len(x) else x)
     coded = classes.select("first", "x").mapInArrow(_code(mean, projection, dim), "id long, code long").withColumnRenamed("id", "first")
-    coded = keep(classes.select("first", "label", "size").join(coded, "first"), "codes")
-    mask = (1 << PART) - 1
-    part = [F.shiftright("code", PART * t).bitwiseAND(F.lit(mask)) for t in range(TABLES)]
-    flips = F.array(*map(F.lit, [0, *(1 << i for i in range(PART))]))
-    cell = F.struct("label", "t", "part").alias("cell")
-    placed = coded.select("first", "code", "label", F.posexplode(F.array(*part)).alias("t", "part"))
-    # How many are in each cell, and how many look into it.
-    sizes = placed.groupBy("label", "t", "part").agg(F.count(F.lit(1)).alias("k"))
-    looking = sizes.withColumn("flip", F.explode(flips)).groupBy("label", "t", F.col("part").bitwiseXOR(F.col("flip")).alias("part")).agg(F.sum("k").alias("asked"))
-    hot = looking.where(F.col("asked") > HOT).join(sizes, ["label", "t", "part"])
-    hot = keep(hot.select(cell, "asked", F.ceil(F.col("k") / BLOCK).alias("blocks"), F.ceil(F.col("asked") / BLOCK).alias("asking")), "hot")
-    total = max(hot.agg(F.sum("asked")).first()[0] or 0, 1)
-    kept = join_unique(placed.select("first", "code", cell), hot, "cell", "asked", total)
-    asks = placed.withColumn("flip", F.explode(flips)).select("first", "code", "label", "t", F.col("part").bitwiseXOR(F.col("flip")).alias("part")).select("first", "code", cell)
-    asks = join_unique(asks, hot, "cell", "asked", total)
-
-    # Small cells: pairs.
-    a = kept.where("asked is null").select("cell", F.col("first").alias("u"), F.col("code").alias("code_u"))
-    b = asks.where("asked is null").select("cell", F.col("first").alias("v"), F.col("code").alias("code_v"))
-    differ = F.col("code_u").bitwiseXOR(F.col("code_v"))
-    new = F.lit(True)
-    for t in range(TABLES - 1):
-        new = new & ((F.col("cell.t") <= t) | (F.bit_count(F.shiftright(differ, PART * t).bitwiseAND(F.lit(mask))) > 1))
-    pairs = keep(a.join(b, "cell").where((F.col("u") < F.col("v")) & (F.bit_count(differ) <= RADIUS) & new).select("u", "v"), "candidates")
-    whole = classes.select("first", "x", "size")
-    pairs = pairs.join(whole.select(F.col("first").alias("u"), "x", F.col("size").alias("n_u")), "u")
-    pairs = pairs.join(whole.select(F.col("first").alias("v"), F.col("x").alias("y"), F.col("size").alias("n_v")), "v")
+    coded = keep(classes.select("first", F.xxhash64("label").alias("lab")).join(coded.hint("merge"), "first"), "codes")
+    # Labels meet by their hashes here and are compared before a link counts.
+    half = F.array(*[F.shiftrightunsigned("code", HALF * k).bitwiseAND(F.lit((1 << HALF) - 1)) for k in range(2 * TABLES)])
+    dealt = coded.select("first", "code", "lab", F.posexplode(half).alias("k", "half"))
+    tasks = max(2 * TABLES * n // ROWS, 2 * classes.sparkSession.sparkContext.defaultParallelism)
+    dealt = dealt.select(F.pmod(F.xxhash64("lab", "k", "half"), F.lit(tasks)).alias("task"), "first", "code", "lab", "k")
+    looked = keep(dealt.groupBy("task").applyInArrow(_look, _LOOKED), "candidates")
+
+    # Few: pairs.
+    whole = classes.select("first", "label", "x", "size")
+    side = lambda u, x: whole.select(F.col("first").alias(u), F.col("label").alias(f"label_{u}"), F.col("x").alias(x), F.col("size").alias(f"n_{u}")).hint("merge")
+    pairs = looked.where("u is not null").select("u", "v").join(side("u", "x"), "u").join(side("v", "y"), "v").where("label_u = label_v")
     pairs = pairs.select("u", "v", "n_u", "n_v", "x", "y").mapInArrow(_rank(dim, threshold), "u long, v long, n_u long, n_v long")
     sides = F.explode(F.array(F.struct(F.col("u").alias("first"), F.col("n_v").alias("n"), F.col("v").alias("other")), F.struct(F.col("v").alias("first"), F.col("n_u").alias("n"), F.lit(None).cast("long").alias("other"))))
     found = pairs.select(sides.alias("side")).select("side.*")
-
-    # Hot cells: blocks of those in a cell and of those that look into it, each with each.
-    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
-    own = lambda of: F.pmod(F.xxhash64("first"), F.col(of))
-    here = kept.where("asked is not null").select("cell", "first", "code", F.lit(False).alias("looks"), own("blocks").alias("block"), every("asking").alias("asker"))
-    there = asks.where("asked is not null").select("cell", "first", "code", F.lit(True).alias("looks"), every("blocks").alias("block"), own("asking").alias("asker"))
-    blocks = here.unionByName(there).join(whole, "first").select("cell", F.col("cell.t").alias("t"), "block", "asker", "first", "code", "looks", "size", "x")
-    met = blocks.groupBy("cell", "block", "asker").applyInArrow(_meet(dim, threshold), _FOUND)
+    dense = looked.where("u is null")
+    if dense.first() is None:
+        return found
+
+    # Many: blocks of the vectors of a cell and of those of the other, each with each.
+    cell = lambda part: F.struct("lab", "t", F.col(part).alias("part"))
+    blocks_of = lambda n: F.ceil(F.col(n) / BLOCK).cast("long")
+    role = lambda part, n, other, looks: F.struct(cell(part).alias("cell"), F.col(n).alias("k"), F.struct(F.struct("lab", "t", "a", "b").alias("cells"), F.lit(looks).alias("looks"), blocks_of(n).alias("own"), blocks_of(other).alias("others")).alias("role"))
+    roles = dense.select(F.explode(F.array(role("a", "n_a", "n_b", False), role("b", "n_b", "n_a", True))).alias("r")).select("r.*")
+    roles = keep(roles.groupBy("cell").agg(F.max("k").alias("k"), F.collect_list("role").alias("roles")), "dense")
+    total = max(roles.agg(F.sum("k")).first()[0] or 0, 1)
+    parts = F.array(*[F.shiftrightunsigned("code", PART * t).bitwiseAND(F.lit((1 << PART) - 1)) for t in range(TABLES)])
+    cells = coded.select("first", "code", "lab", F.posexplode(parts).alias("t", "part")).withColumn("t", F.col("t").cast("long")).select("first", "code", cell("part").alias("cell"))
+    met = join_unique(cells, roles, "cell", "k", total, "inner", shuffled=True).select("first", "code", F.explode("roles").alias("role")).select("first", "code", "role.*")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1))
+    met = met.select("first", "code", "cells", "looks", F.pmod(F.xxhash64("first"), F.col("own")).alias("own"), every.alias("other"))
+    met = met.select("first", "code", "cells", "looks", F.when(F.col("looks"), F.col("other")).otherwise(F.col("own")).alias("block"), F.when(F.col("looks"), F.col("own")).otherwise(F.col("other")).alias("asker"))
+    met = met.join(whole.hint("merge"), "first").groupBy("cells", "label", "block", "asker").applyInArrow(_meet(dim, threshold), _FOUND)
     return found.unionByName(met)

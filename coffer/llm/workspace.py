@@ -51,13 +51,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 HEAVY = 1000
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "left") -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "left", shuffled: bool = False) -> DataFrame:
     """left join right on key, where right has a key once and weight says how many rows of left
     (at most) have it. Keys with more than a thousandth of total, so at most a thousand of them,
-    are broadcast; the rest have no hot key left and are joined by a shuffle."""
+    are broadcast; the rest have no hot key left and are joined by a shuffle, or as Spark sees fit,
+    which may broadcast more than the driver holds; shuffled rules that out."""
     at_least = max(total // HEAVY, 1)
     heavy = F.broadcast(right.where(F.col(weight) > at_least).limit(HEAVY + 1))
     light = right.where(F.col(weight) <= at_least)
+    if shuffled:
+        light = light.hint("merge")
     hot = left.join(heavy, key)
     rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)
     return hot.unionByName(rest)

@@ -598,6 +598,56 @@ def test_embeddings_count_a_dense_group(spark, monkeypatch):
     assert seen[0] == seen[1] and (want == 89).all()
 
 
+def test_embeddings_broadcast_only_what_is_bounded(spark, monkeypatch):
+    """Tables that grow with the input are not broadcast, however small Spark takes them for."""
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.standard_normal(16) + 0.002 * rng.standard_normal((40, 16)), rng.standard_normal((200, 16))])
+    df = spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    plans = []
+
+    def keep(table, name, keep=embed_dedup.keep):
+        plans.append(table._jdf.queryExecution())
+        return keep(table, name)
+
+    monkeypatch.setattr(embed_dedup, "keep", keep)
+    monkeypatch.setattr(embed_dedup, "HOT", 4)
+    plans.append(embed_dedup.similar_vectors(df)._jdf.queryExecution())
+    asked = [p.optimizedPlan().toString().count("strategy=broadcast") for p in plans]
+    assert [p.sparkPlan().toString().count("BroadcastHashJoin") for p in plans] == asked and sum(asked) > 0
+
+
+def test_embeddings_look_up_all_close_codes(monkeypatch):
+    """Pairs and pairs of cells together are all codes within the radius, each once."""
+    rng = np.random.default_rng(3)
+    n = 400
+    code = rng.integers(0, 1 << 63, 20, dtype=np.uint64)[rng.integers(0, 20, n)]
+    for _ in range(8):
+        code ^= np.where(rng.random(n) < 0.5, np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64), np.uint64(0))
+    lab = rng.integers(0, 2, n)
+    part = lambda i, t: int(code[i]) >> 16 * t & 0xFFFF
+    close = lambda i, j: int(code[i] ^ code[j]).bit_count() <= embed_dedup.RADIUS
+    tables = lambda i, j: [t for t in range(4) if (part(i, t) ^ part(j, t)).bit_count() <= 1]
+    want = sorted((i, j) for j in range(n) for i in range(j) if lab[i] == lab[j] and close(i, j) and tables(i, j))
+    assert len(want) > 100
+    rows = [(i, k) for i in range(n) for k in range(8)]
+    for hot, at_once in ((1 << 20, 1 << 21), (1 << 20, 3), (1, 1 << 21)):
+        monkeypatch.setattr(embed_dedup, "HOT", hot)
+        monkeypatch.setattr(embed_dedup, "AT_ONCE", at_once)
+        got, dense = [], 0
+        for task in range(2):
+            own = [(i, k) for i, k in rows if (int(code[i]) >> 8 * k & 1) == task]
+            table = pa.table({"first": [i for i, _ in own], "code": [int(code[i].view(np.int64)) for i, _ in own], "lab": [int(lab[i]) for i, _ in own], "k": pa.array([k for _, k in own], pa.int32())})
+            for r in embed_dedup._look(table).to_pylist():
+                if r["u"] is not None:
+                    got.append((r["u"], r["v"]))
+                    continue
+                a, b = ([i for i in range(n) if lab[i] == r["lab"] and part(i, r["t"]) == r[side]] for side in "ab")
+                assert (len(a), len(b)) == (r["n_a"], r["n_b"])
+                dense += 1
+                got += [(min(i, j), max(i, j)) for i in a for j in b if (i < j or r["a"] != r["b"]) and close(i, j) and tables(i, j)[0] == r["t"]]
+        assert sorted(got) == want and (dense > 0) == ((hot, at_once) != (1 << 20, 1 << 21))
+
+
 # PII
 
 
