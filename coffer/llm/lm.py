@@ -11,8 +11,7 @@ the score.
 All windows of every training document take part: their pairs are counted, and in each round every
 partition goes through its windows by gradient steps on the attention and the weights of experts,
 and counts how much each expert explains of each id and pair; changes are averaged and counts
-summed in a tree of tasks. Only where the experts start from comes from a bounded sample: topics
-of STARTS documents' windows.
+summed in a tree of tasks. The experts start from topics of the counts of all those pairs.
 """
 
 from __future__ import annotations
@@ -34,14 +33,14 @@ WIDTH, EXPERTS, DIM = CONTEXT + STEP, 8, 8
 ROUNDS = 1
 #: Pairs of ids that have weights of their own.
 PAIRS = 1 << 19
-#: Documents whose windows give the experts a start, and how many of each.
-STARTS, STARTED = 512, 8
 #: Windows that are read at a time.
 READ = 4096
 #: Words whose counts are at hand in each task.
 FREQUENT = 1 << 20
 CACHE = 300_000
 BATCH = 512
+#: Pairs whose topics are looked at at once.
+TOPIC = 1 << 16
 #: Windows that are scored at a time.
 SCORED = 256
 #: Bytes of ids for a task of training.
@@ -324,26 +323,26 @@ def _add_rows(total: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
     total[ids] += rows
 
 
-def topics(windows: np.ndarray, size: int, rounds: int = 30, seed: int = 0) -> np.ndarray:
-    """Distributions over ids of EXPERTS topics of windows: a mixture of unigrams by
-    expectation-maximisation; (size, EXPERTS)."""
+def topics(last: np.ndarray, target: np.ndarray, counts: np.ndarray, size: int, rounds: int = 30, seed: int = 0) -> np.ndarray:
+    """Distributions over ids of EXPERTS topics of pairs of ids and their counts: a mixture by
+    expectation-maximisation in which both ids of a pair are of its topic; (size, EXPERTS)."""
     rng = np.random.default_rng(seed)
-    out = np.full((size, EXPERTS), 1.0 / size)
-    if not len(windows):
-        return out
-    ids, place = np.unique(windows, return_inverse=True)
-    place = place.reshape(windows.shape)
-    share = rng.dirichlet(np.ones(EXPERTS), len(windows))
+    if not len(counts):
+        return np.full((size, EXPERTS), 1.0 / size)
+    prob, weight = rng.dirichlet(np.ones(EXPERTS), size) / size, np.full(EXPERTS, 1.0 / EXPERTS)
     for _ in range(rounds):
-        counts = np.stack([np.bincount(place.reshape(-1), np.repeat(share[:, e], windows.shape[1]), len(ids)) for e in range(EXPERTS)], 1)
-        overall = counts.sum(1, keepdims=True) / counts.sum()
-        prob = counts + overall * (1.0 + 0.02 * counts.sum(0))
+        sums = np.zeros((size, EXPERTS))
+        for i in range(0, len(counts), TOPIC):
+            a, b = last[i : i + TOPIC], target[i : i + TOPIC]
+            share = prob.take(a, 0) * prob.take(b, 0) * weight
+            share *= (counts[i : i + TOPIC] / share.sum(1))[:, None]
+            for e in range(EXPERTS):
+                sums[:, e] += np.bincount(a, share[:, e], size) + np.bincount(b, share[:, e], size)
+        weight = (sums.sum(0) + 1e-9) / (sums.sum() + EXPERTS * 1e-9)
+        overall = sums.sum(1, keepdims=True) / sums.sum()
+        prob = sums + (overall + 1e-9) * (1.0 + 0.02 * sums.sum(0))
         prob /= prob.sum(0)
-        logs = np.log(prob)[place].sum(1) + np.log(share.mean(0) + 1e-9)
-        share = np.exp(logs - logs.max(1, keepdims=True))
-        share /= share.sum(1, keepdims=True)
-    out[ids] = prob
-    return out
+    return prob
 
 
 def _lines(stream: Stream):
@@ -538,13 +537,13 @@ def _largest(counts: DataFrame, key: str, most: int) -> tuple[np.ndarray, np.nda
     return found[order], n[order]
 
 
-def begin(model: Model, pairs: np.ndarray, counts: np.ndarray, of: np.ndarray, total: np.ndarray, types: np.ndarray, sample: np.ndarray) -> None:
+def begin(model: Model, pairs: np.ndarray, counts: np.ndarray, of: np.ndarray, total: np.ndarray, types: np.ndarray) -> None:
     """Where a model starts from: pairs that get weights and their counts; of an id before (of), how
-    often it is one and with how many ids after it; windows of a sample, whose topics divide the
-    counts among the experts."""
-    topic = topics(sample, model.size)
+    often it is one and with how many ids after it. Topics of the pairs divide the counts among the
+    experts."""
     model.pairs = pairs.astype(np.uint32)
     last, target = (pairs // np.uint64(model.size)).astype(np.int64), (pairs % np.uint64(model.size)).astype(np.int64)
+    topic = topics(last, target, counts, model.size)
     with_weights = np.bincount(last, counts, model.size)
     rest, kinds = np.zeros(model.size), np.zeros(model.size)
     rest[of], kinds[of] = total, types
@@ -569,9 +568,7 @@ def fit(lines: DataFrame, pairs: DataFrame, path: str) -> Model:
     found = _largest(pairs, "pair", PAIRS)
     last = F.expr(f"pair div {model.size}").alias("last")
     lasts = pairs.groupBy(last).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).toArrow()
-    some = lines.select(F.substring("line", 1, 2 * (STARTED * STEP + CONTEXT + 1)).alias("line"), F.xxhash64("line").alias("order")).orderBy("order").limit(STARTS).select("line").toArrow()
-    sample = [w[:, 1:] for b in some.to_batches() for w, _ in _windows(b.column(0))]
-    begin(model, *found, *(lasts.column(c).to_numpy() for c in ("last", "n", "k")), np.concatenate(sample) if sample else np.zeros((0, WIDTH), np.int64))
+    begin(model, *found, *(lasts.column(c).to_numpy() for c in ("last", "n", "k")))
     size = lines.agg(F.sum(F.octet_length("line"))).first()[0] or 0
     tasks = max(2 * spark.sparkContext.defaultParallelism, size // TASK)
     for _ in range(ROUNDS if size else 0):

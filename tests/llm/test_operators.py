@@ -911,6 +911,26 @@ def test_lm_beats_the_base(spark):
     assert sum(x.score for x in got) / tokens > sum(x.base_score for x in got) / tokens + 0.1
 
 
+def test_lm_starts_from_all_counts(spark, monkeypatch):
+    """Where the experts start from is said by counts of all pairs, whatever lines there are to sample."""
+    monkeypatch.setattr(lm, "ROUNDS", 0)
+    rng = np.random.default_rng(6)
+    size = lm.Subwords(PIECES).size
+    tongue = np.repeat([0, 1], 400)
+    last, target = (10 + 20 * tongue + rng.integers(0, 20, 800) for _ in range(2))
+    pairs, n = np.unique(last * size + target, return_counts=True)
+    counts = spark.createDataFrame(list(zip(pairs.tolist(), n.tolist())), "pair long, n long")
+    line = lambda ids: np.array(ids, np.uint16).tobytes()
+    some = spark.createDataFrame([(line(rng.integers(10, 20 + 20 * i, lm.WIDTH + 1)),) for i in (0, 1)], "line binary")
+    models = [lm.fit(lines, counts, PIECES) for lines in (some, some.limit(1), some.limit(0))]
+    for m in models[1:]:
+        assert (m.embed == models[0].embed).all() and (m.weights == models[0].weights).all()
+    topic = lm.topics(pairs // size, pairs % size, n, size)
+    assert np.allclose(topic.sum(0), 1)
+    own = np.stack([topic[10:30].sum(0), topic[30:50].sum(0)])
+    assert (own.max(0) > 0.9).sum() >= lm.EXPERTS - 1 and set(own.argmax(0)) == {0, 1}
+
+
 def test_counts_add_up(monkeypatch):
     rng = np.random.default_rng(2)
     monkeypatch.setattr(lm.Counts, "MERGE", 50)
